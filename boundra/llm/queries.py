@@ -12,6 +12,8 @@ from boundra.llm.exact_dedup import exact_dedup
 from boundra.llm.language_id import fold, identify_language, train
 from boundra.llm.sentencepiece_codec import encode_decode
 from boundra.llm.token_counts import token_counts
+from boundra.llm.toxicity import score_toxicity
+from boundra.llm.toxicity import train as train_toxicity
 from boundra.llm.warc import archive_round_trip
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +99,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held_out))
     return identify_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    return score_toxicity(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
