@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from boundra.llm.common import table
 from boundra.llm.decontaminate import contamination_report, find_contamination
 from boundra.llm.exact_dedup import exact_dedup
+from boundra.llm.html_text import extract_text
 from boundra.llm.language_id import fold, identify_language, train
+from boundra.llm.license_scan import scan_licenses
 from boundra.llm.sentencepiece_codec import encode_decode
 from boundra.llm.token_counts import token_counts
 from boundra.llm.toxicity import score_toxicity
@@ -107,3 +109,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = train_toxicity(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
     return score_toxicity(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
