@@ -10,6 +10,7 @@ from boundra.llm.common import table
 from boundra.llm.decontaminate import contamination_report, find_contamination
 from boundra.llm.exact_dedup import exact_dedup
 from boundra.llm.html_text import extract_text
+from boundra.llm.jaccard_join import similar_groups
 from boundra.llm.language_id import fold, identify_language, train
 from boundra.llm.license_scan import scan_licenses
 from boundra.llm.sentencepiece_codec import encode_decode
@@ -119,3 +120,30 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[k : k + 3], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM d WHERE len(ws) > 0)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
