@@ -104,8 +104,8 @@ class InsultModel:
     def raw(self, words: list[str]) -> np.ndarray:
         """Decision values of words."""
         out = np.empty(len(words))
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        for a in range(0, len(words), 5000):
+            part = words[a : a + 5000]
             rows, numbers, weights = features(part)
             out[a : a + len(part)] = np.bincount(rows, weights * self.table[numbers], len(part)) / _norms(rows, weights, len(part)) + self.bias
         return out
@@ -115,21 +115,23 @@ class InsultModel:
         half = landmarks // 2
         marks = [positive[k] for k in np.argsort(-weight, kind="stable")[:half]] + negative[:half]
         words = positive + negative
-        dense = np.zeros((len(marks), _SIZE**3), np.float32)
         rows, numbers, weights = features(marks)
-        np.add.at(dense, (rows, numbers), weights)
+        used, column = np.unique(numbers, return_inverse=True)  # only features of landmarks count
+        place = np.full(_SIZE**3, len(used), np.int32)
+        place[used] = np.arange(len(used))
+        dense = np.zeros((len(marks), len(used) + 1))
+        np.add.at(dense, (rows, column), weights)
         dense /= _norms(rows, weights, len(marks))[:, None]
-        values, vectors = np.linalg.eigh(dense.astype(np.float64) @ dense.T.astype(np.float64))
+        values, vectors = np.linalg.eigh(dense @ dense.T)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         kernel = np.zeros((len(words), len(marks)))
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
             rows, numbers, weights = features(part)
-            used, back = np.unique(numbers, return_inverse=True)
-            sparse = np.zeros((len(part), len(used)), np.float32)
-            np.add.at(sparse, (rows, back), weights)
-            kernel[a : a + len(part)] = (sparse @ dense[:, used].T) / _norms(rows, weights, len(part))[:, None]
+            sparse = np.zeros((len(part), len(used) + 1))
+            np.add.at(sparse, (rows, place[numbers]), weights)
+            kernel[a : a + len(part)] = (sparse @ dense.T) / _norms(rows, weights, len(part))[:, None]
         x = np.concatenate([kernel @ root, np.ones((len(words), 1))], 1)
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         share = np.concatenate([weight / weight.sum(), np.full(len(negative), 1 / max(1, len(negative)))]) * len(words) / 2
@@ -143,7 +145,8 @@ class InsultModel:
             if np.allclose(new, w, atol=1e-6):
                 break
             w = new
-        self.table = ((root @ w[:-1]) @ dense).astype(np.float32)
+        self.table = np.zeros(_SIZE**3, np.float32)
+        self.table[used] = ((root @ w[:-1]) @ dense)[:-1]
         self.bias = float(w[-1])
 
     def calibrate(self, values: np.ndarray, labels: np.ndarray) -> None:
