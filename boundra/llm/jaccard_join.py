@@ -26,7 +26,7 @@ from boundra.llm.common import at_most, bounded_batches, materialise, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: A token in more prefixes than this is frequent; remembered word numbers per worker; rows sent to all tasks at most.
-FREQUENT, MEMORY, SENT = 200, 400_000, 2_000_000
+FREQUENT, MEMORY, SENT = 32, 400_000, 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -57,7 +57,7 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
     mixed *= _M2
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return np.unique(mixed >> np.uint64(1))  # 63 bits: the same order as signed numbers
 
 
 def _prefix(n: np.ndarray | int, percent: int):
@@ -92,30 +92,49 @@ def _linked(edges: DataFrame) -> DataFrame:
 
 def _sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, tokens) of the wanted nodes, made again from the texts of their representatives only."""
-    ids = materialise(reps.join(wanted, "node", "left_semi").select("doc_id"), "ids")
-    rows = source.join(F.broadcast(ids) if at_most(ids, SENT) else ids, "doc_id", "left_semi").select("body")
+    chosen = materialise(reps.join(wanted, "node", "left_semi").select("node", "digest", "doc_id"), "chosen")
+    few = at_most(chosen, SENT)
+    ids = chosen.select("doc_id")
+    rows = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("body")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py(), size) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), _lists(found)], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), _lists(found)], names=["digest", "tokens"])
 
-    # ids may repeat with other texts, so the node decides
-    made = rows.mapInArrow(sets, "node binary, tokens array<bigint>").join(wanted, "node", "left_semi")
-    return materialise(made.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    # ids may repeat with other texts, so the set's digest decides; rows that repeat as a whole are no harm but work
+    made = rows.mapInArrow(sets, "digest binary, tokens array<bigint>")
+    nodes = chosen.select("digest", "node")
+    return materialise(made.join(F.broadcast(nodes) if few else nodes, "digest").select("node", "tokens"), "sets")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    tokens = _sets(source, reps, materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes"), size)
-    found = (
+    """The pairs (a, b) whose sets reach the threshold.
+
+    First by the heads, the smallest tokens of each set: up to the smaller of two heads' ends both sets are
+    known, and what lies beyond can't overlap by more than the shorter rest. The whole sets are made and
+    moved only for pairs that this bound leaves.
+    """
+    heads = reps.select("node", "n", "sketch")
+    known = (
         pairs.select("a", "b")
-        .join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
+        .join(heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("of_b")), "b")
+        .join(heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a")), "a")
+    )
+    end = lambda s, n: F.when(F.size(s) < F.col(n), F.element_at(s, -1)).otherwise(F.lit(2**63 - 1))
+    upto = F.least(end(F.col("of_a"), "n_a"), end(F.col("of_b"), "n_b"))
+    known = known.withColumn("upto", upto)
+    rest = lambda s, n: F.col(n) - F.size(F.filter(F.col(s), lambda x: x <= F.col("upto")))
+    most = F.size(F.array_intersect("of_a", "of_b")) + F.least(rest("of_a", "n_a"), rest("of_b", "n_b"))
+    likely = materialise(known.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
+    tokens = _sets(source, reps, materialise(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes"), size)
+    found = (
+        likely.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
         .join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a")
         .withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     )
     enough = 100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))
-    return materialise(found.filter(enough).select("a", "b"), "links")
+    return materialise(found.filter(enough).select("a", "b").distinct(), "links")
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -143,7 +162,7 @@ def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent:
     few = at_most(common, SENT)
     # sorted numbers, eight bytes each, of checked size
     shared = spark.sparkContext.broadcast(np.sort(common.toArrow().column(0).to_numpy())) if few else None
-    schema = "sig bigint, node binary, n bigint"
+    schema = "sig bigint, node bigint, n bigint"
 
     def member(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
         if not len(often):
@@ -189,7 +208,7 @@ def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent:
     if open_nodes.isEmpty():
         return first
     tokens = _sets(source, reps, open_nodes, size).withColumn("n", F.size("tokens").cast("bigint"))
-    rest = materialise(marked(tokens, "tokens").mapInArrow(make(True), schema), "signatures")
+    rest = materialise(marked(tokens.dropDuplicates(["node"]), "tokens").mapInArrow(make(True), schema), "signatures")
     return first.filter("n > 0").unionByName(rest)
 
 
@@ -212,13 +231,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             # twice the usual prefix: what moves up when frequent tokens go to the end
             heads = [x[: 2 * _prefix(len(x), percent) + 2] for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), _lists(heads)], names=["doc_id", "n", "node", "head"]
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), _lists(heads)], names=["doc_id", "n", "digest", "head"]
             )
 
-    rows = materialise(source.mapInArrow(facts, f"doc_id {kind}, n bigint, node binary, head array<bigint>"), "facts")
+    rows = materialise(source.mapInArrow(facts, f"doc_id {kind}, n bigint, digest binary, head array<bigint>"), "facts")
     able = "n > 0 AND doc_id IS NOT NULL"
     # one class for equal sets
-    reps = materialise(rows.filter(able).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min_by("head", "doc_id").alias("head")), "reps")
+    grouped = rows.filter(able).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min_by("head", "doc_id").alias("head"))
+    # nodes are numbers from here on; they are fixed as the table is written
+    reps = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "reps")
+    reps = reps.withColumn("sketch", F.slice("head", 1, F.greatest(F.lit(1), F.ceil(F.size("head") / 2).cast("int"))))
     common = materialise(reps.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > frequent).select("token"), "frequent")
     signatures = _signatures(reps, common, source, percent, size)
     hubs = materialise(signatures.groupBy("sig").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig", "hub"), "hubs")
@@ -240,8 +262,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _linked(links)
-    placed = reps.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    placed = materialise(reps.select("node", "digest", "doc_id").join(labels, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = materialise(placed.join(least, "root").select("node", "component_id"), "components")
+    found = materialise(placed.join(materialise(least, "least"), "root").select("digest", "component_id"), "components")
     lone = rows.filter(f"NOT ({able})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.filter(able).select("doc_id", "n", "node").join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+    return rows.filter(able).select("doc_id", "n", "digest").join(found, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)

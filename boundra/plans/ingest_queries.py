@@ -15,7 +15,7 @@ from boundra.streaming.ingest import incremental_ingest
 
 @query(
     "wkb_round_trip",
-    f"WITH {fx.AREAS} SELECT layer_id, object_id, 'Polygon' AS kind, CASE WHEN k % 3 = 0 THEN 213 ELSE 129 END AS bytes, true AS same FROM a",
+    f"WITH {fx.AREAS} SELECT layer_id, object_id, 'Polygon' AS kind, CASE WHEN k % 3 = 0 THEN 209 ELSE 125 END AS bytes, true AS same FROM a",
 )
 def wkb_round_trip(spark, sf_dir):
     a = fx.areas(spark, sf_dir).select("layer_id", "object_id", "geom")
