@@ -70,7 +70,7 @@ def coverage_provenance(spark, sf_dir):
     return coverage.coverage_with_provenance(c, s, complete_only=True).select("layer_id", "scope", "snapshot_id", "downloaded_at", "etag")
 
 
-_LISTED = f"""WITH {fx.AREAS}, cv AS (SELECT 'L0' || CAST(user_id % 4 + 1 AS VARCHAR) AS layer_id, event_type AS scope, CASE WHEN event_id % 11 = 0 OR user_id % 4 = 3 THEN 'partial' ELSE 'complete' END AS completeness FROM events WHERE user_id < 8),
+_LISTED = f"""WITH {fx.AREAS}, cv AS (SELECT 'L0' || CAST(user_id % 4 + 1 AS VARCHAR) AS layer_id, event_type AS scope, CASE WHEN event_id % 11 = 0 OR user_id % 4 = 3 THEN 'partial' ELSE 'complete' END AS completeness FROM events),
 cnt AS (SELECT layer_id, count(*) AS records FROM a WHERE layer_id <> 'L02' OR k % 2 = 0 GROUP BY ALL),
 held AS (SELECT layer_id, coalesce(string_agg(DISTINCT CASE WHEN completeness = 'complete' THEN scope END, ',' ORDER BY CASE WHEN completeness = 'complete' THEN scope END), '') AS scopes FROM cv GROUP BY ALL),
 ly AS (SELECT unnest(['L01', 'L02', 'L03', 'L04', 'L05']) AS layer_id),
@@ -80,7 +80,7 @@ li AS (SELECT layer_id, coalesce(records, 0) AS records, coalesce(scopes, '') AS
 def _listed(spark, sf_dir):
     a = fx.areas(spark, sf_dir).withColumn("snapshot_id", F.when(F.col("layer_id") == "L02", F.col("k") % 2).otherwise(F.lit(5)).cast("bigint"))
     current = spark.range(1).select(F.lit("L02").alias("layer_id"), F.lit(0).cast("bigint").alias("snapshot_id"))
-    e = table(spark, sf_dir, "events").filter("user_id < 8")
+    e = table(spark, sf_dir, "events")
     cov = e.select(F.concat(F.lit("L0"), (F.col("user_id") % 4 + 1).cast("string")).alias("layer_id"), F.col("event_type").alias("scope"), F.when((F.col("event_id") % 11 == 0) | (F.col("user_id") % 4 == 3), "partial").otherwise("complete").alias("completeness"))
     layers = spark.range(5).select(F.concat(F.lit("L0"), (F.col("id") + 1).cast("string")).alias("layer_id"))
     return coverage.list_layers(layers, coverage.layer_counts(a, current), cov)

@@ -50,14 +50,14 @@ def locate_points_as_of(spark, sf_dir):
 @query(
     "locate_points_current",
     f"""WITH {fx.POINTS}, {fx.AREAS}, c AS (
-  SELECT DISTINCT 'L0' || CAST(user_id % 3 + 1 AS VARCHAR) AS layer_id, user_id % 2 + 1 AS snapshot_id FROM events WHERE user_id < 3 AND event_id % 11 <> 0
+  SELECT DISTINCT 'L0' || CAST(user_id % 3 + 1 AS VARCHAR) AS layer_id, user_id % 2 + 1 AS snapshot_id FROM events WHERE event_id % 11 <> 0
 ), s AS (SELECT a.*, CASE layer_id WHEN 'L01' THEN 1 WHEN 'L02' THEN 2 ELSE 7 END AS snapshot_id FROM a)
 SELECT * FROM (
   SELECT point_id, layer_id, object_id, name, row_number() OVER (PARTITION BY point_id ORDER BY layer_id, lower(name), object_id) AS rank, 'OK' AS status
   FROM p JOIN (SELECT s.* FROM s SEMI JOIN c USING (layer_id, snapshot_id)) ON {fx.COVERED}) WHERE rank <= 20""",
 )
 def locate_points_current(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 3")
+    e = table(spark, sf_dir, "events")
     layer = F.concat(F.lit("L0"), (F.col("user_id") % 3 + 1).cast("string"))
     coverage = e.select(
         layer.alias("layer_id"), F.concat(F.lit("current:"), layer).alias("dataset_key"), F.lit(0).alias("archive_year"), F.lit("country").alias("scope_type"), F.lit("PL").alias("scope_code"),
@@ -72,12 +72,11 @@ def locate_points_current(spark, sf_dir):
     "bbox_overlap_pairs",
     f"""WITH {fx.AREAS}
 SELECT x.layer_id AS l_layer, x.object_id AS l_object, y.layer_id AS r_layer, y.object_id AS r_object
-FROM a x JOIN a y ON x.cx - x.h <= y.cx + y.h AND y.cx - y.h <= x.cx + x.h AND x.cy - x.h <= y.cy + y.h AND y.cy - y.h <= x.cy + x.h
-WHERE x.layer_id = 'L02'""",
+FROM a x JOIN a y ON x.cx - x.h <= y.cx + y.h AND y.cx - y.h <= x.cx + x.h AND x.cy - x.h <= y.cy + y.h AND y.cy - y.h <= x.cy + x.h""",
 )
 def bbox_overlap_pairs(spark, sf_dir):
     a = fx.areas(spark, sf_dir)
-    left = a.filter("layer_id = 'L02'").select(F.col("layer_id").alias("l_layer"), F.col("object_id").alias("l_object"), "min_x", "min_y", "max_x", "max_y")
+    left = a.select(F.col("layer_id").alias("l_layer"), F.col("object_id").alias("l_object"), "min_x", "min_y", "max_x", "max_y")
     right = a.select(F.col("layer_id").alias("r_layer"), F.col("object_id").alias("r_object"), "min_x", "min_y", "max_x", "max_y")
     return bbox_candidates(left, right)
 
@@ -87,7 +86,7 @@ def bbox_overlap_pairs(spark, sf_dir):
     f"""WITH {fx.AREAS}, {RECTS}, m AS (
   SELECT DISTINCT x.layer_id AS source_layer, x.object_id AS source_id, y.layer_id, y.object_id
   FROM rects x JOIN rects y ON x.x1 <= y.x2 AND y.x1 <= x.x2 AND x.y1 <= y.y2 AND y.y1 <= x.y2
-  WHERE x.layer_id = 'L03' AND (x.layer_id <> y.layer_id OR x.object_id <> y.object_id)
+  WHERE x.layer_id <> y.layer_id OR x.object_id <> y.object_id
 ), g AS (
   SELECT m.*, t.name, s.k % 3 = 0 AND t.cx - t.h > s.cx - s.h // 2 - s.h // 4 AND t.cx + t.h < s.cx - s.h // 2 + s.h // 4 AND t.cy - t.h > s.cy - s.h // 2 - s.h // 4 AND t.cy + t.h < s.cy - s.h // 2 + s.h // 4 AS t_in_hole,
          t.k % 3 = 0 AND s.cx - s.h > t.cx - t.h // 2 - t.h // 4 AND s.cx + s.h < t.cx - t.h // 2 + t.h // 4 AND s.cy - s.h > t.cy - t.h // 2 - t.h // 4 AND s.cy + s.h < t.cy - t.h // 2 + t.h // 4 AS s_in_hole
@@ -98,7 +97,7 @@ SELECT source_layer, source_id, layer_id, object_id, name, rank FROM (
 )
 def relate_areas_intersects(spark, sf_dir):
     a = fx.areas(spark, sf_dir)
-    return relate_areas(a.filter("layer_id = 'L03'"), a)
+    return relate_areas(a, a)
 
 
 @query(
@@ -108,7 +107,7 @@ def relate_areas_intersects(spark, sf_dir):
 ), seg AS (
   SELECT CAST(vec_id AS VARCHAR) AS source_id, CAST(floor(CAST(e[2 * j - 1] AS DOUBLE) * 100000) AS BIGINT) AS ax, CAST(floor(CAST(e[2 * j] AS DOUBLE) * 100000) AS BIGINT) AS ay,
          CAST(floor(CAST(e[2 * j + 1] AS DOUBLE) * 100000) AS BIGINT) AS bx, CAST(floor(CAST(e[2 * j + 2] AS DOUBLE) * 100000) AS BIGINT) AS by_ FROM v
-), b AS (SELECT * FROM a WHERE layer_id = 'L01'), c AS (
+), b AS (SELECT * FROM a), c AS (
   SELECT layer_id, object_id, [[cx - h, cy - h, cx + h, cy - h], [cx + h, cy - h, cx + h, cy], [cx + h, cy, cx, cy], [cx, cy, cx, cy + h], [cx, cy + h, cx - h, cy + h], [cx - h, cy + h, cx - h, cy - h]] AS o,
          CASE WHEN k % 3 = 0 THEN [[hx - q, hy - q, hx + q, hy - q], [hx + q, hy - q, hx + q, hy + q], [hx + q, hy + q, hx - q, hy + q], [hx - q, hy + q, hx - q, hy - q]] ELSE [] END AS i
   FROM (SELECT *, cx - h // 2 AS hx, cy - h // 2 AS hy, h // 4 AS q FROM b)
@@ -122,16 +121,16 @@ def relate_areas_intersects(spark, sf_dir):
   UNION
   SELECT CAST(vec_id AS VARCHAR), layer_id, object_id FROM (SELECT vec_id, CAST(floor(CAST(embedding[1] AS DOUBLE) * 100000) AS BIGINT) AS x, CAST(floor(CAST(embedding[2] AS DOUBLE) * 100000) AS BIGINT) AS y FROM embeddings) JOIN b ON {fx.COVERED}
 )
-SELECT 'LX' AS source_layer, source_id, met.layer_id, met.object_id, name, row_number() OVER (PARTITION BY source_id ORDER BY met.layer_id, lower(name), met.object_id) AS rank
-FROM met JOIN a ON a.layer_id = met.layer_id AND a.object_id = met.object_id""",
+SELECT * FROM (SELECT 'LX' AS source_layer, source_id, met.layer_id, met.object_id, name, row_number() OVER (PARTITION BY source_id ORDER BY met.layer_id, lower(name), met.object_id) AS rank
+FROM met JOIN a ON a.layer_id = met.layer_id AND a.object_id = met.object_id) WHERE rank <= 20""",
 )
 def relate_lines_to_areas(spark, sf_dir):
-    return relate_areas(fx.lines(spark, sf_dir), fx.areas(spark, sf_dir).filter("layer_id = 'L01'"))
+    return relate_areas(fx.lines(spark, sf_dir), fx.areas(spark, sf_dir))
 
 
 _NEAR = f"""WITH {fx.POINTS}, m AS (
   SELECT s.point_id, t.point_id AS object_id, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) AS square
-  FROM p s JOIN p t ON abs(s.x - t.x) <= 1500 AND abs(s.y - t.y) <= 1500 WHERE s.point_id % 5 = 0
+  FROM p s JOIN p t ON abs(s.x - t.x) <= 1500 AND abs(s.y - t.y) <= 1500
 ), c AS (SELECT *, count(*) OVER (PARTITION BY point_id) AS candidates FROM m WHERE square <= 1500 * 1500),
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY square, object_id) AS rank FROM c WHERE candidates <= {{ceiling}})
 SELECT point_id, object_id, round(sqrt(square), 6) AS distance, rank, 'OK' AS status FROM r WHERE rank <= 10
@@ -141,8 +140,7 @@ UNION ALL SELECT DISTINCT point_id, NULL, NULL, NULL, 'CANDIDATE_LIMIT_EXCEEDED'
 def _near(spark, sf_dir, ceiling):
     p = fx.points(spark, sf_dir)
     targets = p.select(F.col("point_id").alias("object_id"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    # the fixture's own choice of requests: every fifth point asks
-    return nearest_within(p.filter("point_id % 5 = 0"), targets, 1500, 10, ceiling).withColumn("distance", F.round("distance", 6))
+    return nearest_within(p, targets, 1500, 10, ceiling).withColumn("distance", F.round("distance", 6))
 
 
 @query("reverse_radius_topk", _NEAR.format(ceiling=500))
