@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct words of a batch are concatenated and indexed by a suffix array (suffixes compared up to
-the longest piece). Every piece is binary-searched for its range of occurrences; the occurrences are
-the edges. Edges are sorted by where they end and relaxed from left to right, all words at once.
+The distinct words of a batch are concatenated and indexed by a suffix array, sorted by as many letters
+as most pieces have. Every piece is binary-searched for its range of occurrences, longer ones are then
+compared to their ends; the occurrences are the edges. Edges are sorted by where they end and relaxed from left to right, all words at once.
 
 The model is a BPE model, so an edge may follow another only if merging their joint text gives just
 these two pieces; of the edges that end at a place, exactly one follows what has been chosen before
@@ -72,6 +72,12 @@ class Codec:
             self.pieces[k, : len(x)] = self.letter[[ord(c) for c in x]]
         self.clear()
 
+    def forget(self) -> None:
+        """Drop the remembered words; pairs stay."""
+        pairs = self.pair_keys, self.pair_good
+        self.clear()
+        self.pair_keys, self.pair_good = pairs
+
     def clear(self) -> None:
         self.words: dict[str, int] = {}  # word -> its place in starts
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
@@ -105,7 +111,7 @@ class Codec:
         step = max(1, min(depth, 62 // bits))
         for k in range(1, step):  # the first letters packed into one number
             rank = (rank << bits) | padded[k : k + n]
-        while step < depth:  # then by doubling
+        if step < depth:  # then twice as many by their ranks
             rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
             after = np.zeros(n, np.int64)
             after[: max(0, n - step)] = rank[step:] + 1
@@ -114,7 +120,7 @@ class Codec:
         order = np.argsort(rank, kind="stable").astype(np.int32)
         low = np.zeros(len(self.ids), np.int64)
         high = np.full(len(self.ids), n, np.int64)
-        for k in range(depth):
+        for k in range(min(depth, step)):
             on = np.flatnonzero((self.length > k) & (low < high))
             if not len(on):
                 break
@@ -123,7 +129,13 @@ class Codec:
         count = np.maximum(high - low, 0)
         total = int(count.sum())
         within = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        return order[np.repeat(low, count) + within], np.repeat(np.arange(len(self.ids), dtype=np.int32), count)
+        start, piece = order[np.repeat(low, count) + within], np.repeat(np.arange(len(self.ids), dtype=np.int32), count)
+        # the few longer pieces are compared on from there
+        good = np.ones(total, bool)
+        for k in range(step, depth):
+            on = np.flatnonzero(good & (self.length[piece] > k))
+            good[on] = padded[start[on] + k] == self.pieces[piece[on], k]
+        return start[good], piece[good]
 
     @staticmethod
     def bound(text, order, low, high, target, k):
@@ -234,9 +246,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets by text."""
         if len(self.words) > WORDS:
-            pairs = self.pair_keys, self.pair_good
-            self.clear()
-            self.pair_keys, self.pair_good = pairs
+            self.forget()
         parts = [_PARTS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         fresh = []
         for part in parts:
@@ -309,6 +319,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             texts = [x.as_py().decode() for x in batch.column(1)]
             ids, offsets = c.encode(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["doc_id", "token_ids"])
+        c.forget()  # workers live on
 
     return docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
 
