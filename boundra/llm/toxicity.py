@@ -28,7 +28,7 @@ from boundra.llm.common import bounded_batches, text_bytes
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 3000, 50_000
 DECAY, LANDMARKS, ROUNDS, COST = 0.6, 160, 4, 4.0
 #: Remembered scores of words per worker, and letters of a word that are looked at at once.
-MEMORY, WIDTH = 400_000, 24
+MEMORY, WIDTH = 100_000, 24
 #: Offsets of three letters within five, by letters skipped.
 _PATTERNS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
 _SIZE = 64
