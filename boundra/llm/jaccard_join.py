@@ -6,10 +6,11 @@ number. A pair at the threshold shares at least s tokens of its prefixes if thes
 the usual ones. Rare tokens are indexed alone (one shared token is enough), frequent ones in pairs; a
 prefix with frequent tokens is extended by one, so that two shared frequent tokens make a shared pair.
 
-Sets with a common signature are compared with the smallest set of that signature only. What these links
-connect need not be compared again; only signatures whose sets still lie in several components give
-further pairs, those between different components, until no candidate is left. So a large group of near
-copies costs its size, not its square, and no link that joins two components is missed.
+Sets with a common signature are compared with one set of that signature only, that which shares most with
+others. What these links connect need not be compared again; signatures whose sets still lie in several
+components go on with another partner while that links much, and at last all pairs between different
+components are compared, those of large signatures block by block. No link that joins two components is
+missed, and no group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundra.llm.common import at_most, bounded_batches, materialise, text_bytes
 
 SHINGLE, PERCENT = 4, 85
+#: Rounds with one partner for each signature, at most, before all pairs between components are compared.
+ROUNDS = 4
+#: Signatures of more classes than LARGE are compared by clusters, in blocks of about BLOCK classes.
+LARGE, BLOCK = 200, 256
 #: A token in more prefixes than this is frequent; remembered word numbers per worker; rows sent to all tasks at most.
 FREQUENT, MEMORY, SENT = 32, 400_000, 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -212,6 +217,85 @@ def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent:
     return first.filter("n > 0").unionByName(rest)
 
 
+def _fits(percent: int) -> Column:
+    return 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+
+
+def _stars(placed: DataFrame, by: Column, percent: int) -> DataFrame:
+    """(a, b): each class with the one of the largest ``by`` of each of its signatures, if in another component."""
+    top = F.max(F.struct(by.alias("by"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))).alias("hub")
+    hubs = materialise(placed.groupBy("sig").agg(top).select("sig", "hub.b", "hub.n_b", "hub.root_b"), "hubs")
+    pairs = placed.join(hubs, "sig").filter((F.col("node") != F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(percent))
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their component ``root``, of signatures whose classes lie in several components; ``c`` rows each."""
+    placed = materialise(buckets.join(labels, "node", "left").select("sig", "node", "n", "weight", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("sig", "c")
+    return materialise(placed.join(materialise(mixed, "mixed"), "sig"), "mixed_rows")
+
+
+def _rest(placed: DataFrame, reps: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links between components: every pair with a common signature that isn't in one component yet.
+
+    Pairs of small signatures are joined. The classes of large ones are put together into clusters, and
+    each cluster is compared block by block: a task holds two blocks, counts all their common tokens by
+    one matrix product, and gives out no more links than it takes to connect what belongs together.
+    """
+    small = placed.filter(F.col("c") <= LARGE)
+    right = small.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    on = (F.col("sig") == F.col("sig_b")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(percent)
+    few = _verified(materialise(small.join(right, on).select(F.col("node").alias("a"), "b").distinct(), "rest"), reps, source, percent, size)
+    large = materialise(placed.filter(F.col("c") > LARGE), "large")
+    if large.isEmpty():
+        return few
+    hubs = large.groupBy("sig").agg(F.min("node").alias("b"))
+    clusters = _linked(large.join(materialise(hubs, "hubs"), "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    roots = large.select("node", F.col("root").alias("component")).distinct()
+    members = clusters.withColumnRenamed("root", "cluster").join(materialise(sizes, "sizes"), "cluster").join(roots, "node")
+    members = materialise(members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    tokens = _sets(source, reps, members.select("node"), size).dropDuplicates(["node"])
+    held = members.join(tokens, "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node", "component", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        # only pairs between components count, and one link for each pair of them is enough
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("tokens").combine_chunks()
+        length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        flat = lists.flatten().to_numpy()
+        distinct, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+        number = (np.cumsum(count > 1) - 1)[number] * (count > 1)[number] - (count <= 1)[number]  # -1: in one set only
+        row = np.repeat(np.arange(len(node)), length)
+        row, number = row[number >= 0], number[number >= 0]
+        common = np.zeros((len(node), len(node)), np.float32)
+        for start in range(0, int((count > 1).sum()), 20_000):
+            on = (number >= start) & (number < start + 20_000)
+            part = np.zeros((len(node), min(20_000, int((count > 1).sum()) - start)), np.float32)
+            part[row[on], number[on] - start] = 1
+            common += part @ part.T
+        enough = 100 * common >= percent * (length[:, None] + length[None, :] - common)
+        a, b = np.nonzero(np.triu(enough & (component[:, None] != component[None, :]), 1))
+        root = {int(c): int(c) for c in component}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for p, q in zip(a.tolist(), b.tolist()):
+            x, y = find(int(component[p])), find(int(component[q]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((max(node[p], node[q]), min(node[p], node[q])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return few.unionByName(materialise(held.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint"), "links"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -243,25 +327,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = reps.withColumn("sketch", F.slice("head", 1, F.greatest(F.lit(1), F.ceil(F.size("head") / 2).cast("int"))))
     common = materialise(reps.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > frequent).select("token"), "frequent")
     signatures = _signatures(reps, common, source, percent, size)
-    hubs = materialise(signatures.groupBy("sig").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig", "hub"), "hubs")
-    buckets = materialise(signatures.join(hubs, "sig"), "buckets")  # only what two or more classes have
-    fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    stars = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    stars = materialise(stars.join(reps.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").filter(fits).select("a", "b"), "pairs")
-    links = _verified(stars, reps, source, percent, size)
-    labels = _linked(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # signatures whose classes lie in several components: pairs between components
-    placed = materialise(buckets.select("sig", "node", "n").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = materialise(placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig"), "mixed")
-    left = materialise(placed.join(mixed, "sig", "left_semi"), "left")
-    right = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = left.join(right, (left["sig"] == right["sig"]) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & fits).select(F.col("node").alias("a"), "b").distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    shared = materialise(signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    buckets = materialise(signatures.join(shared, "sig"), "buckets")  # only what two or more classes have
+    # of near copies, the one most like all others shares most with them
+    weight = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
+    buckets = materialise(buckets.join(materialise(weight, "weight"), "node").select("sig", "node", "n", "weight"), "buckets")
+    links = labels = done = None
+    placed = buckets.withColumn("root", F.col("node"))
+    by = F.col("weight")
+    for turn in range(1, ROUNDS + 1):
+        pairs = _stars(placed, by, percent)
+        pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        new = _verified(pairs, reps, source, percent, size)
+        found, tried = new.count(), pairs.count()
+        links = new if links is None else links.unionByName(new)
+        done = pairs if done is None else done.unionByName(pairs)
+        labels = _linked(links) if found or labels is None else labels
+        placed = _mixed(buckets, labels)
+        by = F.xxhash64("node", F.lit(turn))
+        if found < 0.1 * tried:  # further partners would add little
+            break
+    rest = _rest(placed, reps, source, percent, size)
     if not rest.isEmpty():
-        more = _verified(rest, reps, source, percent, size)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = _linked(links)
+        labels = _linked(links.unionByName(rest))
     placed = materialise(reps.select("node", "digest", "doc_id").join(labels, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = materialise(placed.join(materialise(least, "least"), "root").select("digest", "component_id"), "components")

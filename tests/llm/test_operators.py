@@ -78,8 +78,10 @@ def near_copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 1000), (2, 20), (3, 3)])
-def test_jaccard_equals_brute_force(spark, seed, frequent):
+@pytest.mark.parametrize("seed,frequent,large,block", [(1, 1000, 16, 256), (2, 20, 4, 10), (3, 3, 2, 7)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, seed, frequent, large, block):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = near_copies(seed)
     sets = []
     for _, t in rows:
