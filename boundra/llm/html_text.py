@@ -1,10 +1,11 @@
 """Main text of HTML pages with site style trees.
 
 The pages of a host are merged into one style tree: a node is a path of tags with their class and id.
-For each node Spark counts in how many pages its texts and its child sequences stand, and from these the
-entropy-based importance of its content and of its presentation: what every page of the site repeats has
-none. Branches of low importance are removed from each page, besides those whose tag, class or role says
-that they are no article. Counting groups by node and feature, so one huge site is spread over all tasks.
+For each node Spark counts in how many distinct pages its texts and its child sequences stand (copies of a
+page count once), and from these the entropy-based importance of its content and of its presentation: what
+every page of the site repeats has none. Branches of low importance outside a marked article are removed
+from each page, besides those whose tag, class or role says that they are no article. Counting groups by
+node and feature, so one huge site is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import at_most, bounded_batches, materialise
+from boundra.llm.common import at_most, bounded_batches, broadcast_if, materialise
 
-#: A node is dropped below this importance, if at least so many pages of the site have it.
+#: A node is dropped below this importance, if at least so many distinct pages of the site have it.
 IMPORTANCE, PAGES = 0.2, 8
 #: Up to so many low nodes are sent to all tasks; more are joined by site.
 SENT = 200_000
+#: Up to so many numbers of copied pages are sent to all tasks.
+COPIED = 1_000_000
 # fixed values: HTML's void, raw-text and block elements, and names of what surrounds an article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -50,7 +53,7 @@ class Page:
     """Blocks of text in page order, each with the path of its element and whether it may be article text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []  # path, surrounding, text
+        self.blocks: list[tuple[str, bool, str, bool]] = []  # path, surrounding, text, in an article
         self.children: dict[str, list[str]] = {}  # path -> names of child elements, repeats folded
         self.text: list[str] = []
         self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, surrounding, in an article
@@ -135,12 +138,12 @@ class Page:
                 return
 
     def main_text(self, low: frozenset[str] | set[str] = frozenset()) -> str:
-        """Text of the article, or of the whole page if none is marked, without surroundings and low branches."""
+        """Text of the article, or of the whole page if none is marked, without surroundings and low branches outside it."""
         kept = []
         for path, surrounding, text, inside in self.blocks:
             if surrounding or self.articles and not inside:
                 continue
-            if low and any(path[:k] in low for k in [m.start() for m in re.finditer("/", path)][1:] + [len(path)]):
+            if low and not inside and any(path[:k] in low for k in [m.start() for m in re.finditer("/", path)][1:] + [len(path)]):
                 continue
             kept.append(text)
         return " ".join(kept)
@@ -151,10 +154,10 @@ def host_of(column) -> F.Column:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature) once for each page; kind 0: presentation, 1: content."""
+    """(host, path, kind, feature, share) once for each page; kind 0: presentation, 1: content."""
     for batch in batches:
-        hosts, paths, kinds, marks = [], [], [], []
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        hosts, paths, kinds, marks, shares = [], [], [], [], []
+        for host, source, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             page = Page(source or "")
             rows = {(path, 0, xxhash.xxh64_intdigest(" ".join(names))) for path, names in page.children.items()}
             rows |= {(path, 1, xxhash.xxh64_intdigest(text)) for path, surrounding, text, inside in page.blocks if not surrounding and (inside or not page.articles)}
@@ -163,20 +166,26 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths.append(path)
                 kinds.append(kind)
                 marks.append(mark - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(marks, pa.int64())], names=["host", "path", "kind", "feature"])
+                shares.append(share)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(marks, pa.int64()), pa.array(shares, pa.float64())], names=["host", "path", "kind", "feature", "share"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages, importance: the merged style tree of each site.
+    """host, path, site, pages, importance: the merged style tree of each site.
 
+    Pages are counted once however often a site repeats them: each of n copies counts as 1 / n page.
     Content importance is one minus the mean entropy of the node's features over its site's pages,
     presentation importance the entropy of its child sequences; a node has the larger of the two.
     """
     bounded_batches(pages.sparkSession)
-    source = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    rows = source.mapInArrow(_style_rows, "host string, path string, kind int, feature bigint")
-    sites = source.groupBy("host").agg(F.count(F.lit(1)).alias("site"))
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    source = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("page", F.xxhash64("host", "html"))
+    distinct = materialise(source.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    sites = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("site"))
+    copied = broadcast_if(distinct.filter("n > 1").groupBy("page").agg((1 / F.max("n")).alias("part")), COPIED)
+    shared = source.join(copied, "page", "left").select("host", "html", F.coalesce("part", F.lit(1.0)).alias("share"))
+    rows = shared.mapInArrow(_style_rows, "host string, path string, kind int, feature bigint, share double")
+    # the shares of a page's copies add up to one, so rounding gives whole pages
+    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("share")).cast("bigint").alias("n"))
     # sums of n log n are all that both entropies need, so no node's features are gathered
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.count(F.lit(1)).alias("features"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.log("n")).alias("logs"))
     m = F.log(F.greatest("site", F.lit(2)))
@@ -193,7 +202,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null or empty html gives an empty text, a null url a site of its own. White space in a block becomes
+    Null or empty html gives an empty text, pages without a url form one site. White space in a block becomes
     one space, blocks are joined by one. Repeated rows stay, an empty table gives no rows, further columns
     are ignored.
     """

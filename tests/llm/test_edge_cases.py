@@ -114,3 +114,17 @@ def test_extraction_special_rows(spark):
     by = {r.page_id: r for r in out}
     assert by[3].text == by[4].text == "" and by[None].text == "y & z" and by[None].n_chars == 5
     assert extract_text(pages(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("url", ["http://copies.example/", None])
+def test_copies_of_a_page_keep_their_text(spark, url):
+    rows = [(k, url, "<h1>A</h1><p>the story of A</p>") for k in range(100)]
+    assert {r.text for r in extract_text(pages(spark, rows)).collect()} == {"A the story of A"}
+
+
+def test_near_copies_of_an_article_keep_their_text(spark):
+    rows = [(k, "http://near.example/", f"<p>same on all pages</p><p class=ad>{k}</p><article><p>one story</p></article>") for k in range(20)]
+    rows += [(k, "http://bare.example/", f"<div class=slogan>same on all pages</div><div class=story>story {k % 20}</div>") for k in range(20, 80)]
+    out = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+    assert {out[k] for k in range(20)} == {"one story"}
+    assert all(out[k] == f"story {k % 20}" for k in range(20, 80))  # each page stands three times; what all share still goes
