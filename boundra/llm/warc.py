@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from boundra.llm.common import broadcast_if, materialise, new_path
 
-#: Payloads of at least so many bytes are stored once; records in one archive file.
-REVISIT_BYTES, RECORDS = 1000, 4000
+#: Payloads of at least so many bytes are stored once; records and bytes in one archive file, at most.
+REVISIT_BYTES, RECORDS, FILE_BYTES = 1000, 4000, 64 << 20
+#: Records of each of these sizes and less go to files of their own, so that few long ones don't make all files short.
+SIZES = [16 << 10, 256 << 10, 4 << 20]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
-_HEADER_BYTES = 65536
 _FIELDS = [("file", "string"), ("offset", "bigint"), ("next", "bigint"), ("record_id", "string"), ("record_type", "string"), ("url", "string"), ("refers_to", "string"), ("stated_digest", "string"), ("payload_bytes", "bigint"), ("payload_digest", "string")]
 _SCHEMA = ", ".join(f"{n} {t}" for n, t in _FIELDS)
 
@@ -33,6 +34,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the largest id are responses
     and the others revisit that id; smaller payloads are all responses. Repeated rows are records of
     their own. A row without an id is a record without a number and is never revisited by others.
+    A file holds at most ``records`` records and FILE_BYTES bytes, or a single longer record.
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     keyed = source.withColumn("size", F.octet_length("html")).withColumn("key", F.sha2("html", 256))
@@ -56,15 +58,22 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    # the writer ends each value with a line feed, the last of the record's four closing bytes
-    rows.select(F.concat(header, block, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
-
-
-def _parse(content: bytes, start: int):
-    """A candidate's fields, or None if its length doesn't lead to the end of a record."""
-    stop = content.find(b"\r\n\r\n", start, start + _HEADER_BYTES)
-    if stop < 0:
-        return None
+    value = F.concat(header, block, F.lit("\r\n\r")).alias("value")
+    # a record's bytes at most: a control character of the url becomes three, two ids and fixed lines come in addition
+    long = lambda c: F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("bigint")
+    bytes_of = lambda html: long(html) + 3 * long(F.col("url"))
+    most = source.agg(F.max(bytes_of(F.col("html"))).alias("bytes"), F.max(long(F.col("page_id"))).alias("id")).first()
+    fixed = 1000 + 2 * (most["id"] or 0)
+    low, longest = 0, (most["bytes"] or 0) + fixed
+    for high in [*[x for x in SIZES if x < longest], longest]:
+        some = rows if high == longest and not low else rows.filter((bytes_of(F.col("html")) + fixed > low) & (bytes_of(F.col("html")) + fixed <= high))
+        # the writer ends each value with a line feed, the last of the record's four closing bytes
+        some.select(value).write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", max(1, min(records, FILE_BYTES // high))).text(path)
+        low = high
+
+
+def _parse(content: bytes, start: int, stop: int):
+    """Fields, body and end of a candidate whose header ends at ``stop``, or None if its length doesn't lead to the end of a record."""
     fields = {}
     for line in content[start:stop].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
@@ -78,6 +87,26 @@ def _parse(content: bytes, start: int):
     return fields, body, end
 
 
+def _records(content: bytes) -> Iterator[tuple[int, dict, int, int]]:
+    """Start, fields, body and end of everything that looks like a record, however long its header."""
+    stop, good = -1, False
+    for match in _START.finditer(content):
+        start = match.start()
+        # all starts before a blank line share it and their last lines: where the first is none, none is
+        first = start > stop
+        if first:
+            stop = content.find(b"\r\n\r\n", start)
+            if stop < 0:
+                return
+        elif not good:
+            continue
+        parsed = _parse(content, start, stop)
+        if first:
+            good = parsed is not None
+        if parsed:
+            yield start, *parsed
+
+
 def _payload(content: bytes, fields: dict, body: int, end: int) -> tuple[int, int]:
     """Where the payload begins, and the size its HTTP header states (-1: none)."""
     if fields.get(b"content-type", "").startswith("application/http"):
@@ -93,15 +122,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for file, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             content = value.as_py()
-            for match in _START.finditer(content):
-                if not (parsed := _parse(content, match.start())):
-                    continue
-                fields, body, end = parsed
+            for start, fields, body, end in _records(content):
                 at, stated = _payload(content, fields, body, end)
                 kind, said = fields.get(b"warc-type", ""), fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
                 whole = kind != "revisit"
                 rows.append((
-                    file, match.start(), end + 4, fields.get(b"warc-record-id"), kind, fields.get(b"warc-target-uri"), fields.get(b"warc-refers-to"), said,
+                    file, start, end + 4, fields.get(b"warc-record-id"), kind, fields.get(b"warc-target-uri"), fields.get(b"warc-refers-to"), said,
                     end - at if whole else stated, hashlib.sha1(content[at:end]).hexdigest() if whole else said,
                 ))
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
@@ -127,7 +153,7 @@ def chain(candidates: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records on the chains of all archive files under ``path``, one row each.
 
-    Files are read whole, one per task and at most 2 GB. A file that is empty, or doesn't start with a
+    Files are read whole and at most 2 GB each. A file that is empty, or doesn't start with a
     record, gives none; after a broken record the rest of its file is not reached.
     """
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]*$", 0).alias("file"), "content")
@@ -142,11 +168,9 @@ def read_payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFra
         for batch in batches:
             for file, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 content, starts, texts = value.as_py(), [], []
-                for match in _START.finditer(content):
-                    if parsed := _parse(content, match.start()):
-                        fields, body, end = parsed
-                        starts.append(match.start())
-                        texts.append(content[_payload(content, fields, body, end)[0] : end].decode("utf-8", "replace"))
+                for start, fields, body, end in _records(content):
+                    starts.append(start)
+                    texts.append(content[_payload(content, fields, body, end)[0] : end].decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], names=["file", "offset", "payload"])
 
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]*$", 0).alias("file"), "content")

@@ -1,8 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+from pathlib import Path
+
 import public_tokenizers
 import pytest
 
+from boundra.llm import warc
+from boundra.llm.common import new_path
 from boundra.llm.decontaminate import contamination_report, find_contamination
 from boundra.llm.exact_dedup import exact_dedup
 from boundra.llm.html_text import extract_text
@@ -128,3 +132,25 @@ def test_near_copies_of_an_article_keep_their_text(spark):
     out = {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
     assert {out[k] for k in range(20)} == {"one story"}
     assert all(out[k] == f"story {k % 20}" for k in range(20, 80))  # each page stands three times; what all share still goes
+
+
+def test_warc_url_of_any_length(spark):
+    rows = [(k, f"http://u.example/{k}/" + "u" * (100_000 if k == 5 else 0), f"<p>{k}</p>") for k in range(10)]
+    out = {r.page_id: r.url for r in archive_round_trip(pages(spark, rows).coalesce(1)).collect()}
+    assert out == {k: u for k, u, _ in rows}
+
+
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = [(k, None if k % 3 else "http://l.example/" + "u" * 300 * k, str(k) + "x" * (30_000 * (k % 4 == 0) + 400_000 * (k == 20))) for k in range(60)]
+    path = new_path(spark, "test-warc")
+    warc.write_archives(pages(spark, rows).coalesce(1), path)
+    files = [(f.stat().st_size, f.read_bytes().count(b"WARC/1.1\r\n")) for f in Path(path).glob("part-*")]
+    assert all(size <= 200_000 or n == 1 for size, n in files) and sum(n for _, n in files) == 60 and len(files) < 45
+    assert sorted(r.payload for r in warc.read_payloads(spark, path, warc.read_archives(spark, path)).collect()) == sorted(h for _, _, h in rows)
+
+
+def test_many_record_starts_without_an_end_are_read_once():
+    fake = b"WARC/1.1\r\n" * 300_000
+    whole = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(fake), fake)
+    assert [(a, end) for a, _, _, end in warc._records(whole + whole)] == [(0, len(whole) - 4), (len(whole), 2 * len(whole) - 4)]
