@@ -13,7 +13,7 @@ from boundra.llm.html_text import extract_text
 from boundra.llm.jaccard_join import similar_groups
 from boundra.llm.language_id import identify_language
 from boundra.llm.language_id import train as train_language
-from boundra.llm.license_scan import scan_licenses
+from boundra.llm.license_scan import NOTICES, Notices, full_texts, scan_licenses
 from boundra.llm.sentencepiece_codec import encode_decode
 from boundra.llm.token_counts import token_counts
 from boundra.llm.toxicity import InsultModel, score_toxicity
@@ -154,3 +154,23 @@ def test_many_record_starts_without_an_end_are_read_once():
     fake = b"WARC/1.1\r\n" * 300_000
     whole = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(fake), fake)
     assert [(a, end) for a, _, _, end in warc._records(whole + whole)] == [(0, len(whole) - 4), (len(whole), 2 * len(whole) - 4)]
+
+
+def test_license_notices_across_lines():
+    known = Notices(NOTICES, 0.75, full_texts())
+    for name, text in NOTICES.items():
+        words = text.split()
+        for k in range(1, len(words)):
+            found = known.scan(f"words before\n# {' '.join(words[:k])}\n# {' '.join(words[k:])}\nand after".encode())
+            assert [(x[0], x[1]) for x in found] == [(name, 1.0)], (name, k)
+    assert [x[0] for x in known.scan(b"far too many words come here first; licensed under the apache license version\nother words follow")] == ["Apache-2.0"]
+
+
+def test_full_license_texts(spark):
+    texts = full_texts()
+    rows = [(k, "int main() { return 0; }\n" * 30 + "\n".join(f" * {x}" for x in text.splitlines()) + "\nand code follows" * 30) for k, text in enumerate(texts.values())]
+    found = {r.doc_id: r for r in scan_licenses(docs(spark, rows)).collect()}
+    for k, name in enumerate(texts):
+        assert (found[k].license, found[k].dice, found[k].n_matches) == (name, 1.0, 1), name
+    cut = texts["MIT"].replace("fitness for a particular purpose", "").split()
+    assert [x[0] for x in Notices(NOTICES, 0.75, texts).scan(" ".join(cut[:140]).encode())] == ["MIT"]
