@@ -21,6 +21,8 @@ from boundra.llm.toxicity import score_toxicity, train
 
 #: Up to so many rejected rows are sent to all tasks; more are joined by shuffling.
 SENT = 1_000_000
+#: The stage for near copies compares shingles of so many words at so many percent; op2's contract binds only its query.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _number(text: Column) -> Column:
@@ -53,7 +55,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by the Jaccard join."""
-    groups = similar_groups(docs).groupBy("doc_id").agg(F.min(F.col("component_id")).alias("least"), F.max(F.col("component_id")).alias("most"))
+    groups = similar_groups(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).groupBy("doc_id").agg(F.min(F.col("component_id")).alias("least"), F.max(F.col("component_id")).alias("most"))
     return _without(docs, groups.filter("doc_id IS NOT NULL AND most < doc_id").select("doc_id"), docs["doc_id"])
 
 

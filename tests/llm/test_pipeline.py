@@ -1,6 +1,7 @@
 """The pipeline's stages, one after another, against brute force on a small table."""
 
 import corpus_pipeline
+from boundra.llm import stages
 from boundra.llm.common import materialise, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,3 +36,12 @@ def test_stages_take_effect(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"] and out.count() > 0
+
+
+def test_near_copies_share_80_percent_of_five_word_shingles(spark):
+    words = [f"w{k}" for k in range(96)]
+    changed = lambda places: " ".join("x" if k in places else w for k, w in enumerate(words))
+    # two isolated edits: 82 of 102 shingles of five words (0.804), 85 of 101 of four (0.842); three: 77 of 107 (0.720)
+    rows = [(1, changed([])), (2, changed([30, 60])), (3, changed([20, 45, 75]))]
+    left = stages.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert {r.doc_id for r in left.collect()} == {1, 3}
