@@ -100,6 +100,15 @@ def bm25_topk_documents(spark, sf_dir):
     return best.select("request_id", F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 
+@query("bm25_topk_whole_texts")
+def bm25_topk_whole_texts(spark, sf_dir):
+    """As bm25_topk_documents, whose SQL asks with two words of an item, but with every distinct word of it."""
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("part"), "doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.array_distinct(tokens(F.lower("text"))).alias("words"))
+    best = top_k(text_search(asked, docs, "part", "doc_id", {"text": 1.0}), ["request_id"], [F.round("bm25", 9), F.col("doc")], 10)
+    return best.select("request_id", F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
 def _named_areas(spark, sf_dir):
     none = F.lit(None).cast("string")
     part = lambda name, key, label, layer: table(spark, sf_dir, name).select(F.lit(layer).alias("layer_id"), F.col(key).cast("string").alias("object_id"), F.col(label).alias("name"), F.lpad(F.col(key).cast("string"), 7, "0").alias("code"), none.alias("aliases"))

@@ -1,8 +1,13 @@
 """Goldens of the scalar functions and geometry expressions."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from boundra.functions import crs, geometry, ids, text
 from boundra.functions.sql import register_functions
 from boundra.sources import wkb
@@ -91,3 +96,27 @@ def test_ids(spark):
 def test_scope(spark, code, kind):
     found = one(spark, ids.parse_scope(F.lit(code)))
     assert (found and found["type"]) == kind
+
+
+def test_whole_texts_are_searched(spark, tmp_path):
+    rng = random.Random(5)
+    words = "an and ant be bee cat do dog eel elk fox".split()
+    texts = {k: " ".join(rng.choices(words, k=rng.randint(3, 40))) for k in range(60)}
+    items = {1: "an and fox", 2: "an and eel, DOG fox", 3: "an and nothing", 4: "be do do cat e"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = {k: t.split() for k, t in texts.items()}
+    mean = sum(map(len, held.values())) / len(held)
+    want = []
+    for item, text in items.items():
+        asked = set(re.findall(r"\w+", text.lower()))
+        hits = {w: {k: n for k, t in held.items() if (n := sum(x.startswith(w) for x in t))} for w in asked}
+        scored = []
+        for k, t in held.items():
+            if all(k in hits[w] for w in asked):
+                idf = {w: math.log((60 - len(hits[w]) + 0.5) / (len(hits[w]) + 0.5)) for w in asked}
+                s = sum((idf[w] if idf[w] > 0 else 1e-6) * hits[w][k] * 2.2 / (hits[w][k] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in asked)
+                scored.append((round(-s, 9), k))
+        want += [(item, k, pytest.approx(s, abs=2e-6), r) for r, (s, k) in enumerate(sorted(scored)[:10], 1)]
+    found = sorted(tuple(x) for x in __spark_entry__.queries()["bm25_topk_whole_texts"](spark, str(tmp_path)).select("request_id", "doc_id", "bm25", "rank").collect())
+    assert sorted(found, key=lambda x: (x[0], x[3])) == want and {x[0] for x in found} == {1, 2, 4}
