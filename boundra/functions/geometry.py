@@ -76,16 +76,29 @@ def segments_meet(e: Column, f: Column) -> Column:
     return boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0)
 
 
+def outline(geom: Column) -> Column:
+    """What relations need of a geometry, computed once for each: struct<area, segments, firsts>; firsts has a position of each part."""
+    return F.struct(geom["kind"].isin("Polygon", "MultiPolygon").alias("area"), edges(geom).alias("segments"), F.transform(geom["parts"], lambda p: F.get(F.get(p, 0), 0)).alias("firsts"))
+
+
+def outlines_meet(a: Column, b: Column, box: Column) -> Column:
+    """Whether two outlines share a point; ``box`` (min_x, min_y, max_x, max_y) holds all that they can share.
+
+    Only segments that touch the box are compared with each other.
+    """
+    touching = lambda segments: F.filter(
+        segments,
+        lambda e: (F.least(e["ax"], e["bx"]) <= box["max_x"]) & (F.greatest(e["ax"], e["bx"]) >= box["min_x"]) & (F.least(e["ay"], e["by"]) <= box["max_y"]) & (F.greatest(e["ay"], e["by"]) >= box["min_y"]),
+    )
+    crossing = let(touching(b["segments"]), lambda near: F.exists(touching(a["segments"]), lambda e: F.exists(near, lambda f: segments_meet(e, f))))
+    inside = lambda inner, outer: outer["area"] & F.exists(inner["firsts"], lambda p: point_covered(p["x"], p["y"], outer["segments"]))
+    return crossing | inside(a, b) | inside(b, a)
+
+
 def intersects(a: Column, b: Column) -> Column:
     """Whether two polygons or lines share a point; touching counts."""
-    ea, eb = edges(a), edges(b)
-    first_a, first_b = F.get(positions(a), 0), F.get(positions(b), 0)
-    area = lambda g: g["kind"].isin("Polygon", "MultiPolygon")
-    return (
-        F.exists(ea, lambda e: F.exists(eb, lambda f: segments_meet(e, f)))
-        | (area(b) & F.exists(a["parts"], lambda p: point_covered(F.get(F.get(p, 0), 0)["x"], F.get(F.get(p, 0), 0)["y"], eb)))
-        | (area(a) & F.exists(b["parts"], lambda p: point_covered(F.get(F.get(p, 0), 0)["x"], F.get(F.get(p, 0), 0)["y"], ea)))
-    )
+    everywhere = F.struct(*[F.lit(v).alias(n) for n, v in (("min_x", float("-inf")), ("min_y", float("-inf")), ("max_x", float("inf")), ("max_y", float("inf")))])
+    return outlines_meet(outline(a), outline(b), everywhere)
 
 
 def bbox(geom: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boundra.functions.geometry import edges, intersects, point_covered
+from boundra.functions.geometry import edges, outline, outlines_meet, point_covered
 from boundra.functions.text import lower_ascii
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
+#: Up to so many boxes, or segments of outlines, are sent to all tasks; more are joined by shuffling.
+SENT_BOXES, SENT_SEGMENTS = 200_000, 1_000_000
 
 
 def _level(df: DataFrame) -> Column:
@@ -29,18 +31,21 @@ def _with_cells(df: DataFrame, level: Column) -> DataFrame:
     )
 
 
-def bbox_candidates(left: DataFrame, right: DataFrame, condition: Column | None = None) -> DataFrame:
+def bbox_candidates(left: DataFrame, right: DataFrame, condition: Column | None = None, small_right: bool = False) -> DataFrame:
     """Pairs of overlapping boxes; both sides need min_x, min_y, max_x, max_y and otherwise other names.
 
     Each box lies on the level of its own size. A pair meets on the coarser of its two levels, in the
     cell of the lower corner of their overlap, so it is found exactly once; a box of any size takes four
-    cells a level at most. There are as many levels as sizes double, some 40 at the very most.
+    cells a level at most. There are as many levels as sizes double, some 40 at the very most. With
+    ``small_right``, the right side, counted by the caller, is sent to all tasks, so that a box that holds
+    most of the left side is no hot key.
     """
     lefts = left.withColumns({f"_l{c}": F.col(c) for c in BOX}).withColumn("_own_l", _level(left))
     rights = right.withColumns({f"_r{c}": F.col(c) for c in BOX}).withColumn("_own_r", _level(right))
     levels = F.broadcast(lefts.select(F.col("_own_l").alias("_at")).union(rights.select("_own_r")).distinct())
     a = _with_cells(lefts.join(levels, F.col("_at") >= F.col("_own_l")), F.col("_at")).drop(*BOX, "_at")
     b = _with_cells(rights.join(levels, F.col("_at") >= F.col("_own_r")), F.col("_at")).drop(*BOX, "_at")
+    b = F.broadcast(b) if small_right else b
     a, b = a.alias("a"), b.alias("b")
     same = (F.col("a._level") == F.col("b._level")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
     low_x, low_y = F.greatest("_lmin_x", "_rmin_x"), F.greatest("_lmin_y", "_rmin_y")
@@ -65,40 +70,80 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column) ->
     return ranked.filter(F.col("rank") <= k)
 
 
-def candidate_counts(pairs: DataFrame, by: str, limit: int) -> DataFrame:
-    """Per request: the number of candidates and whether it passes the ceiling."""
-    return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("candidates")).withColumn("status", F.when(F.col("candidates") > limit, "COST_LIMIT_EXCEEDED").otherwise("OK"))
+def candidate_counts(pairs: DataFrame, by: list[str], limit: int, status: str = "COST_LIMIT_EXCEEDED") -> DataFrame:
+    """Per request: the number of candidates and whether it passes the ceiling. ``pairs`` needs no geometry."""
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("candidates")).withColumn("status", F.when(F.col("candidates") > limit, status).otherwise("OK"))
+
+
+def _outlines(areas: DataFrame, column: Column) -> DataFrame:
+    """The areas with what relations need of their geometry, once each; sent to all tasks if counted to be small."""
+    held = areas.withColumn("_outline", column).drop("geom")
+    segments = areas.agg(F.sum(F.aggregate(F.flatten(F.col("geom.parts")), F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))).alias("n")).first()["n"] or 0
+    return F.broadcast(held) if segments <= SENT_SEGMENTS else held
 
 
 def locate_points(points: DataFrame, areas: DataFrame, limit: int = 20, max_candidates: int = 2000, condition: Column | None = None) -> DataFrame:
     """Areas that cover each point (point_id, x, y): point_id, layer_id, object_id, name, rank; rejected requests have a status.
 
-    Points with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED.
+    Points with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED. Pairs are
+    found and counted without geometries; those of requests within the ceiling alone get them.
     """
     boxes = points.withColumns({"min_x": F.col("x").cast("double"), "max_x": F.col("x").cast("double"), "min_y": F.col("y").cast("double"), "max_y": F.col("y").cast("double")})
     polygons = areas.filter(F.col("geom.kind").isin("Polygon", "MultiPolygon"))
-    pairs = bbox_candidates(boxes, polygons, condition)
-    counted = Window.partitionBy("point_id")
-    pairs = pairs.withColumn("candidates", F.count(F.lit(1)).over(counted))
-    good = pairs.filter((F.col("candidates") <= max_candidates) & point_covered(F.col("x").cast("double"), F.col("y").cast("double"), edges(F.col("geom"))))
+    key = ["layer_id", "object_id", "snapshot_id"]  # of an area in one version
+    small = polygons.select("layer_id").limit(SENT_BOXES + 1).count() <= SENT_BOXES
+    pairs = bbox_candidates(boxes, polygons.drop("geom"), condition, small).select("point_id", "x", "y", *key)
+    counts = candidate_counts(pairs, ["point_id"], max_candidates)
+    outlines = _outlines(polygons.select(*key, "name", "geom"), edges(F.col("geom")))
+    held = pairs.join(counts.filter("status = 'OK'").select("point_id"), "point_id").join(outlines, key)
+    good = held.filter(point_covered(F.col("x").cast("double"), F.col("y").cast("double"), F.col("_outline")))
     found = top_k(good, ["point_id"], order_keys(), limit).select("point_id", "layer_id", "object_id", "name", "rank", F.lit("OK").alias("status"))
-    refused = pairs.filter(F.col("candidates") > max_candidates).select("point_id").distinct()
     none = F.lit(None).cast("string")
-    return found.unionByName(refused.select("point_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), F.lit("COST_LIMIT_EXCEEDED").alias("status")))
+    refused = counts.filter("status <> 'OK'").select("point_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), "status")
+    return found.unionByName(refused)
 
 
-def relate_areas(sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot_mode: str = "same") -> DataFrame:
-    """Areas that share a point with each source area, itself excepted: the first ``limit`` by order.
+def relate_areas(sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot_mode: str = "same", max_candidates: int | None = None, layer_ids: list[str] | None = None, condition: Column | None = None) -> DataFrame:
+    """Areas that share a point with each source area, itself excepted: the first ``limit`` by order, and a status.
 
-    ``snapshot_mode`` same: both sides are of one snapshot; current: of any.
+    ``snapshot_mode`` same: both sides are of one snapshot; current: of any. Sources may have columns
+    ``asked_snapshot`` (if it isn't null, both sides are of it, and a source of another one gives a row with
+    status SNAPSHOT_MISMATCH) and ``asked_layers`` (an array; null or empty is refused as UNBOUNDED_SCAN_REFUSED).
+    Sources with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED.
     """
-    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), F.col("geom").alias("source_geom"), *BOX)
-    other = (F.col("source_layer") != F.col("layer_id")) | (F.col("source_id") != F.col("object_id"))
+    own = ["source_layer", "source_id", "source_snapshot"]
+    asked = [c for c in ("asked_snapshot", "asked_layers") if c in sources.columns]
+    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), F.col("geom").alias("source_geom"), *BOX, *asked)
+    other = (F.col("source_layer") != F.col("layer_id")) | (F.col("source_id") != F.col("object_id")) | (F.col("source_snapshot") != F.col("snapshot_id"))
     if snapshot_mode == "same":
         other = other & (F.col("source_snapshot") == F.col("snapshot_id"))
-    pairs = bbox_candidates(left, areas.select("layer_id", "object_id", "name", "snapshot_id", "geom", *BOX), other)
-    found = pairs.filter(intersects(F.col("source_geom"), F.col("geom")))
-    return top_k(found, ["source_layer", "source_id"], order_keys(), limit).select("source_layer", "source_id", "layer_id", "object_id", "name", "rank")
+    status = F.lit("OK")
+    if "asked_snapshot" in asked:
+        status = F.when(F.col("asked_snapshot") != F.col("source_snapshot"), "SNAPSHOT_MISMATCH").otherwise(status)
+        other = other & (F.col("asked_snapshot").isNull() | (F.col("asked_snapshot") == F.col("snapshot_id")))
+    if "asked_layers" in asked:
+        status = F.when(F.coalesce(F.size("asked_layers"), F.lit(0)) <= 0, "UNBOUNDED_SCAN_REFUSED").otherwise(status)
+        other = other & F.array_contains("asked_layers", F.col("layer_id"))
+    if condition is not None:
+        other = other & condition
+    held = areas if layer_ids is None else areas.filter(F.col("layer_id").isin(layer_ids))
+    checked = left.withColumn("status", status)
+    key = ["layer_id", "object_id", "snapshot_id"]
+    small = held.select("layer_id").limit(SENT_BOXES + 1).count() <= SENT_BOXES
+    pairs = bbox_candidates(checked.filter("status = 'OK'").drop("source_geom", "status"), held.drop("geom"), other, small).select(*own, *key)
+    refused = checked.filter("status <> 'OK'").select(*own, "status")
+    if max_candidates is not None:
+        counts = candidate_counts(pairs, own, max_candidates)
+        refused = refused.unionByName(counts.filter("status <> 'OK'").select(*own, "status"))
+        pairs = pairs.join(counts.filter("status = 'OK'").select(*own), own)
+    box = F.struct(*[F.col(c) for c in BOX])
+    ours = _outlines(left.withColumn("_box", box).withColumnRenamed("source_geom", "geom").select(*own, "_box", "geom"), outline(F.col("geom"))).withColumnsRenamed({"_outline": "_a", "_box": "_a_box"})
+    theirs = _outlines(held.withColumn("_box", box).select(*key, "name", "_box", "geom"), outline(F.col("geom"))).withColumnsRenamed({"_outline": "_b", "_box": "_b_box"})
+    shared = F.struct(*[(F.greatest if c.startswith("min") else F.least)(F.col(f"_a_box.{c}"), F.col(f"_b_box.{c}")).alias(c) for c in BOX])
+    found = pairs.join(ours, own).join(theirs, key).filter(outlines_meet(F.col("_a"), F.col("_b"), shared)).drop("_a", "_b", "_a_box", "_b_box")
+    found = top_k(found, own, order_keys(), limit).select("source_layer", "source_id", "layer_id", "object_id", "name", "rank", F.lit("OK").alias("status"))
+    none = F.lit(None).cast("string")
+    return found.unionByName(refused.select("source_layer", "source_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), "status"))
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, radius: float, limit: int = 10, max_candidates: int = 500) -> DataFrame:
@@ -112,12 +157,11 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, limit:
     held = targets.withColumn("_cx", F.floor(F.col("tx") / radius)).withColumn("_cy", F.floor(F.col("ty") / radius))
     square = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
     pairs = spread.join(held, ["_cx", "_cy"]).withColumn("square", square).filter(F.col("square") <= radius * radius)
-    pairs = pairs.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("point_id")))
-    near = top_k(pairs.filter(F.col("candidates") <= max_candidates), ["point_id"], [F.col("square"), F.col("object_id")], limit)
+    counts = candidate_counts(pairs.select("point_id"), ["point_id"], max_candidates, "CANDIDATE_LIMIT_EXCEEDED")
+    near = top_k(pairs.join(counts.filter("status = 'OK'").select("point_id"), "point_id"), ["point_id"], [F.col("square"), F.col("object_id")], limit)
     found = near.select("point_id", "object_id", F.sqrt("square").alias("distance"), "rank", F.lit("OK").alias("status"))
-    refused = pairs.filter(F.col("candidates") > max_candidates).select("point_id").distinct()
     return found.unionByName(
-        refused.select("point_id", F.lit(None).cast(targets.schema["object_id"].dataType).alias("object_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank"), F.lit("CANDIDATE_LIMIT_EXCEEDED").alias("status"))
+        counts.filter("status <> 'OK'").select("point_id", F.lit(None).cast(targets.schema["object_id"].dataType).alias("object_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank"), "status")
     )
 
 

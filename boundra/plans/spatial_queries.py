@@ -97,7 +97,7 @@ SELECT source_layer, source_id, layer_id, object_id, name, rank FROM (
 )
 def relate_areas_intersects(spark, sf_dir):
     a = fx.areas(spark, sf_dir)
-    return relate_areas(a, a)
+    return relate_areas(a, a).drop("status")
 
 
 @query(
@@ -125,7 +125,39 @@ SELECT * FROM (SELECT 'LX' AS source_layer, source_id, met.layer_id, met.object_
 FROM met JOIN a ON a.layer_id = met.layer_id AND a.object_id = met.object_id) WHERE rank <= 20""",
 )
 def relate_lines_to_areas(spark, sf_dir):
-    return relate_areas(fx.lines(spark, sf_dir), fx.areas(spark, sf_dir))
+    return relate_areas(fx.lines(spark, sf_dir), fx.areas(spark, sf_dir)).drop("status")
+
+
+@query(
+    "relate_areas_statuses",
+    f"""WITH {fx.AREAS}, {RECTS}, asked AS (
+  SELECT a.*, CASE WHEN k % 11 = 0 THEN [] WHEN k % 11 = 1 THEN ['L01', 'L02'] WHEN k % 11 < 6 THEN ['L02', 'L03'] ELSE ['L01', 'L02', 'L03'] END AS layers, CASE WHEN k % 13 = 0 THEN 2 WHEN k % 13 < 5 THEN 1 END AS snap FROM a
+), s AS (
+  SELECT *, CASE WHEN len(layers) = 0 THEN 'UNBOUNDED_SCAN_REFUSED' WHEN snap <> 1 THEN 'SNAPSHOT_MISMATCH' ELSE 'OK' END AS status FROM asked
+), c AS (
+  SELECT s.layer_id AS source_layer, s.object_id AS source_id, t.layer_id, t.object_id, count(*) OVER (PARTITION BY s.layer_id, s.object_id) AS n
+  FROM s JOIN a t ON s.status = 'OK' AND list_contains(layers, t.layer_id) AND (s.layer_id <> t.layer_id OR s.object_id <> t.object_id)
+   AND s.cx - s.h <= t.cx + t.h AND t.cx - t.h <= s.cx + s.h AND s.cy - s.h <= t.cy + t.h AND t.cy - t.h <= s.cy + s.h
+), m AS (
+  SELECT DISTINCT c.source_layer, c.source_id, c.layer_id, c.object_id FROM c
+  JOIN rects x ON x.layer_id = source_layer AND x.object_id = source_id JOIN rects y ON y.layer_id = c.layer_id AND y.object_id = c.object_id
+  WHERE n <= 12 AND x.x1 <= y.x2 AND y.x1 <= x.x2 AND x.y1 <= y.y2 AND y.y1 <= x.y2
+), g AS (
+  SELECT m.*, t.name, s.k % 3 = 0 AND t.cx - t.h > s.cx - s.h // 2 - s.h // 4 AND t.cx + t.h < s.cx - s.h // 2 + s.h // 4 AND t.cy - t.h > s.cy - s.h // 2 - s.h // 4 AND t.cy + t.h < s.cy - s.h // 2 + s.h // 4 AS t_in_hole,
+         t.k % 3 = 0 AND s.cx - s.h > t.cx - t.h // 2 - t.h // 4 AND s.cx + s.h < t.cx - t.h // 2 + t.h // 4 AND s.cy - s.h > t.cy - t.h // 2 - t.h // 4 AND s.cy + s.h < t.cy - t.h // 2 + t.h // 4 AS s_in_hole
+  FROM m JOIN a s ON s.layer_id = source_layer AND s.object_id = source_id JOIN a t ON t.layer_id = m.layer_id AND t.object_id = m.object_id
+)
+SELECT source_layer, source_id, layer_id, object_id, name, rank, 'OK' AS status FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_layer, source_id ORDER BY layer_id, lower(name), object_id) AS rank FROM g WHERE NOT t_in_hole AND NOT s_in_hole) WHERE rank <= 20
+UNION ALL SELECT DISTINCT source_layer, source_id, NULL, NULL, NULL, NULL, 'COST_LIMIT_EXCEEDED' FROM c WHERE n > 12
+UNION ALL SELECT layer_id, object_id, NULL, NULL, NULL, NULL, status FROM s WHERE status <> 'OK'""",
+)
+def relate_areas_statuses(spark, sf_dir):
+    a, k = fx.areas(spark, sf_dir), F.col("k")
+    some = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    layers = F.when(k % 11 == 0, some()).when(k % 11 == 1, some("L01", "L02")).when(k % 11 < 6, some("L02", "L03")).otherwise(some("L01", "L02", "L03"))
+    asked = a.withColumn("asked_layers", layers).withColumn("asked_snapshot", F.when(k % 13 == 0, 2).when(k % 13 < 5, 1).cast("bigint"))
+    return relate_areas(asked, a, snapshot_mode="any", max_candidates=12)
 
 
 _NEAR = f"""WITH {fx.POINTS}, m AS (
