@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a Python worker works on at once.
+PIECE = 4 << 20
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder all executors share, spark.checkpoint.dir; where that is unset, a folder of a local session's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-"))
         folder = _own[0]
@@ -50,12 +59,46 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many whole texts in one Arrow batch, so that long texts don't fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def bounded_batches(spark: SparkSession, most: int = PIECE) -> None:
+    """Let the session's Arrow batches hold at most about so many bytes, unless it asks for less.
+
+    Spark's own bound of 64 MB holds for each of a task's buffers, on both sides of the pipe; the texts of
+    the corpus tables, some of them very long, are passed in smaller batches. Nothing else depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose texts take at most so many bytes (or one row), as views.
+
+    Work on a text takes a multiple of its size, so larger batches than bounded_batches() asks for are parted.
+    """
+    try:
+        for batch in batches:
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        pa.default_memory_pool().release_unused()  # workers live on
+
+
+def text_of(raw: bytes | None) -> str:
+    """The text of UTF-8 bytes; null is empty, invalid bytes become U+FFFD."""
+    return raw.decode("utf-8", "replace") if raw else ""
+
+
+def strings(column: pa.Array) -> pa.Array:
+    """UTF-8 bytes as an Arrow string array, as text_of() reads them."""
+    try:
+        return pc.fill_null(column.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([text_of(x.as_py()) for x in column], pa.string())
 
 
 def text_bytes(column: str | Column) -> Column:
