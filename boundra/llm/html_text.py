@@ -1,17 +1,20 @@
 """Main text of HTML pages with site style trees.
 
-The pages of a host are merged into one style tree: a node is a path of tags with their class and id.
-For each node Spark counts in how many distinct pages its texts and its child sequences stand (copies of a
-page count once), and from these the entropy-based importance of its content and of its presentation: what
-every page of the site repeats has none. Branches of low importance outside a marked article are removed
-from each page, besides those whose tag, class or role says that they are no article. Counting groups by
-node and feature, so one huge site is spread over all tasks.
+The pages of a host are merged into one style tree: a node is a path of tags with their class and id, and all
+elements of the site's pages with that path are merged in it. For each node Spark counts in how many distinct
+pages its texts and its child sequences stand (copies of a page count once). The entropies of these counts give
+the importance of the node's content and of its presentation, as the share of different ones among all: 0 if
+all pages repeat one text, 1 if no text stands twice, about 1 / k if each stands on k pages. Branches of low
+importance outside a marked article are removed from each page, whatever they are called. Tags, classes and
+roles that say that a branch is no article decide besides, also where a site has too few pages to tell.
+Counting groups by node and feature, so one huge site is spread over all tasks.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import at_most, bounded_batches, broadcast_if, materialise
+from boundra.llm.common import at_most, bounded_batches, broadcast_if, materialise, pieces
 
-#: A node is dropped below this importance, if at least so many distinct pages of the site have it.
-IMPORTANCE, PAGES = 0.2, 8
+#: A node is dropped below this importance, if at least so many distinct pages, and half of the site, have it.
+IMPORTANCE, PAGES = 0.5, 8
+#: A longer path stands as its digest.
+PATH = 400
 #: Up to so many low nodes are sent to all tasks; more are joined by site.
 SENT = 200_000
 #: Up to so many numbers of copied pages are sent to all tasks.
@@ -58,6 +63,7 @@ class Page:
         self.text: list[str] = []
         self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, surrounding, in an article
         self.articles = False
+        self.open: Counter[str] = Counter()
         at, size = 0, len(source)
         while at < size:
             found = _TOKEN.search(source, at)
@@ -108,8 +114,10 @@ class Page:
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "")
         surrounding = parent[2] or tag in NO_TEXT or tag == "header" and not inside or hidden or any(m in SURROUND for m in marks) or "header" in marks and not inside
         self.articles |= inside and not surrounding
-        sign = re.sub(r"\d+", "0", ".".join(x for x in [tag, *known.get("class", "").lower().split(), known.get("id", "").lower()] if x))[:80]
-        path = f"{parent[1]}/{sign}" if len(self.stack) < 64 and tag in BLOCKS else parent[1]
+        sign = ".".join([tag, *(re.sub(r"\d+", "0", x) for x in [*known.get("class", "").lower().split(), known.get("id", "").lower()] if x)])
+        path = f"{parent[1]}/{sign}" if tag in BLOCKS else parent[1]
+        if len(path) > PATH and path != parent[1]:
+            path = f"/#{xxhash.xxh3_128_hexdigest(path)}"
         if path != parent[1]:
             folded = self.children.setdefault(parent[1], [])
             if folded[-1:] != [sign]:
@@ -117,12 +125,20 @@ class Page:
         if tag not in BLOCKS and tag in NO_TEXT:
             self.flush()
         self.stack.append((tag, path, surrounding, inside))
+        self.open[tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Close all elements from the k-th on."""
+        self.open.subtract(x[0] for x in self.stack[k:])
+        del self.stack[k:]
 
     def pop(self, tags: tuple[str, ...], walls: frozenset[str] | set[str]) -> None:
+        if not any(self.open[x] for x in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in tags:
                 self.flush()
-                del self.stack[k:]
+                self.cut(k)
                 return
             if self.stack[k][0] in walls:
                 return
@@ -130,23 +146,18 @@ class Page:
     def end(self, tag: str) -> None:
         if tag in BLOCKS or tag in NO_TEXT:
             self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if tag not in BLOCKS and self.stack[k][0] in WALLS:
                 return
 
     def main_text(self, low: frozenset[str] | set[str] = frozenset()) -> str:
-        """Text of the article, or of the whole page if none is marked, without surroundings and low branches outside it."""
-        kept = []
-        for path, surrounding, text, inside in self.blocks:
-            if surrounding or self.articles and not inside:
-                continue
-            if low and not inside and any(path[:k] in low for k in [m.start() for m in re.finditer("/", path)][1:] + [len(path)]):
-                continue
-            kept.append(text)
-        return " ".join(kept)
+        """Text of the article, or of the whole page if none is marked, without low branches outside it and surroundings."""
+        return " ".join(text for path, surrounding, text, inside in self.blocks if (inside or path not in low) and not surrounding and (inside or not self.articles))
 
 
 def host_of(column) -> F.Column:
@@ -154,13 +165,14 @@ def host_of(column) -> F.Column:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, share) once for each page; kind 0: presentation, 1: content."""
-    for batch in batches:
+    """(host, path, kind, feature, share) once for each page; kind 0: presentation, 1: content, 2: the node has text."""
+    for batch in pieces(batches, 1):
         hosts, paths, kinds, marks, shares = [], [], [], [], []
         for host, source, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             page = Page(source or "")
             rows = {(path, 0, xxhash.xxh64_intdigest(" ".join(names))) for path, names in page.children.items()}
-            rows |= {(path, 1, xxhash.xxh64_intdigest(text)) for path, surrounding, text, inside in page.blocks if not surrounding and (inside or not page.articles)}
+            rows |= {(path, 1, xxhash.xxh64_intdigest(text)) for path, _, text, _ in page.blocks}
+            rows |= {(path, 2, 1 << 63) for path, _, _, _ in page.blocks}
             for path, kind, mark in rows:
                 hosts.append(host)
                 paths.append(path)
@@ -173,9 +185,10 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, site, pages, importance: the merged style tree of each site.
 
-    Pages are counted once however often a site repeats them: each of n copies counts as 1 / n page.
-    Content importance is one minus the mean entropy of the node's features over its site's pages,
-    presentation importance the entropy of its child sequences; a node has the larger of the two.
+    ``pages`` of the ``site``'s distinct pages have text of the node's own. Pages are counted once however often a
+    site repeats them: each of n copies counts as 1 / n page. With h the entropy of how the node's n features (texts,
+    or child sequences) are spread over different ones, importance is (exp(h) - 1) / (n - 1); a single feature has 1.
+    A node has the larger importance of content and presentation.
     """
     bounded_batches(pages.sparkSession)
     source = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("page", F.xxhash64("host", "html"))
@@ -187,29 +200,37 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     # the shares of a page's copies add up to one, so rounding gives whole pages
     counts = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("share")).cast("bigint").alias("n"))
     # sums of n log n are all that both entropies need, so no node's features are gathered
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.count(F.lit(1)).alias("features"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.log("n")).alias("logs"))
-    m = F.log(F.greatest("site", F.lit(2)))
-    content = 1 - F.col("logs") / F.col("features") / m
-    shown = (F.log("total") - F.col("nlogn") / F.col("total")) / m
+    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    total = F.col("total")
+    share = F.when(total > 1, (F.exp(F.log(total) - F.col("nlogn") / total) - 1) / (total - 1)).otherwise(1.0)
+    of_kind = lambda k, value: F.max(F.when(F.col("kind") == k, value))
     return (
         nodes.join(sites, "host")
         .groupBy("host", "path", "site")
-        .agg(F.max(F.when(F.col("kind") == 1, content)).alias("content"), F.max(F.when(F.col("kind") == 0, shown)).alias("presentation"), F.max("top").alias("pages"))
+        .agg(of_kind(1, share).alias("content"), of_kind(0, share).alias("presentation"), F.coalesce(of_kind(2, total), F.lit(0)).alias("pages"))
         .select("host", "path", "site", "pages", "content", "presentation", F.greatest("content", "presentation").alias("importance"))
     )
 
 
+def low_branches(tree: DataFrame) -> DataFrame:
+    """host, path of the nodes with text that enough of their site's pages have and whose importance is low.
+
+    A site has no more of them than twice the nodes of its mean page, as half of the pages have each.
+    """
+    return tree.filter((F.col("pages") >= PAGES) & (F.col("pages") >= 0.5 * F.col("site")) & F.col("content").isNotNull() & (F.col("importance") < IMPORTANCE)).select("host", "path")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null or empty html gives an empty text, pages without a url form one site. White space in a block becomes
-    one space, blocks are joined by one. Repeated rows stay, an empty table gives no rows, further columns
-    are ignored.
+    Null or empty html gives an empty text, pages without a url form one site. White space is what Unicode calls so
+    (as ``str.split`` has it, no-break spaces included); in a block it becomes one space, blocks are joined by one.
+    Pages of any length, depth and number of tags take time in proportion to it. Repeated rows stay, an empty table
+    gives no rows, further columns are ignored.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
     tree = style_tree(pages, url_col, html_col)
-    low = materialise(tree.filter((F.col("pages") >= PAGES) & (F.col("pages") >= 0.5 * F.col("site")) & F.col("content").isNotNull() & (F.col("importance") < IMPORTANCE)).select("host", "path"), "low")
+    low = materialise(low_branches(tree), "low")
     kind = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     schema = f"page_id {kind}, url string, text string"
@@ -218,13 +239,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for r in low.collect():
             nodes.setdefault(r.host, set()).add(r.path)
         source = source.select("page_id", "url", "html", "host")
-    else:
+    else:  # bounded for each site, see low_branches()
         nodes = {}
         source = source.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left").select("page_id", "url", "html", "host", "low")
 
+    shared = spark.sparkContext.broadcast(nodes)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none: set[str] = set()
-        for batch in batches:
+        nodes = shared.value
+        for batch in pieces(batches, 2):
             sets = [set(x or ()) for x in batch.column(4).to_pylist()] if batch.num_columns > 4 else [nodes.get(h, none) for h in batch.column(3).to_pylist()]
             texts = [Page(x.as_py() or "").main_text(s) for x, s in zip(batch.column(2), sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
