@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, materialise, text_bytes
+from boundra.llm.common import bounded_batches, materialise, pieces, text_bytes
 
 WINDOW, SHINGLE = 10, 3
 #: Bytes of benchmark text in one block; its index is what a task holds.
@@ -46,8 +46,10 @@ class Windows:
                 owners[tuple(ids[k : k + window])].add(item)
         self.windows = [np.array(w, np.int64) for w in owners]
         self.owners = [sorted(x) for x in owners.values()]
-        self.shingle = shingle
         self.base = len(self.vocabulary) + 1
+        while self.base**shingle >= 2**63:  # numbers stay exact
+            shingle -= 1
+        self.shingle = shingle
         # all shingles of the windows by length, as exact numbers in sorted order
         parts = defaultdict(list)
         for w in self.windows:
@@ -117,7 +119,7 @@ def _block(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shingle
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {k: np.zeros(len(v), np.int64) for k, v in index.shingles.items()}
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for body in batch.column(0):
                 ids = index.ids(words_of(body.as_py()))
                 for k, among in index.shingles.items():
@@ -132,7 +134,7 @@ def _block(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shingle
     index.choose({(r.k, r.place): r.n for r in counted.collect()})
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n_words, hits, items = [], [], []
             for body in batch.column(1):
                 words = words_of(body.as_py())

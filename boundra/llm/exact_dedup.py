@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, materialise, text_bytes
+from boundra.llm.common import bounded_batches, materialise, pieces, text_bytes
 
 #: Chunk sizes in bytes: least, most; the rolling hash asks for a cut once in 2**AVERAGE_BITS bytes.
 LEAST, MOST, AVERAGE_BITS = 512, 16384, 11
@@ -60,7 +60,7 @@ def chunk_ends(text: bytes) -> list[int]:
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         whole, ids, digests, offsets = [], [], [], [0]
         for body in batch.column(1):
             text = normalise(body.as_py())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import at_most, bounded_batches, materialise, text_bytes
+from boundra.llm.common import at_most, bounded_batches, materialise, pieces, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: Rounds with one partner for each signature, at most, before all pairs between components are compared.
@@ -31,7 +31,7 @@ ROUNDS = 4
 #: Signatures of more classes than LARGE are compared by clusters, in blocks of about BLOCK classes.
 LARGE, BLOCK = 200, 256
 #: A token in more prefixes than this is frequent; remembered word numbers per worker; rows sent to all tasks at most.
-FREQUENT, MEMORY, SENT = 32, 400_000, 2_000_000
+FREQUENT, MEMORY, SENT = 32, 200_000, 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -103,9 +103,12 @@ def _sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> D
     rows = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("body")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x.as_py(), size) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), _lists(found)], names=["digest", "tokens"])
+        try:
+            for batch in pieces(batches, 0):
+                found = [shingle_set(x.as_py(), size) for x in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), _lists(found)], names=["digest", "tokens"])
+        finally:
+            _numbers.clear()  # workers live on
 
     # ids may repeat with other texts, so the set's digest decides; rows that repeat as a whole are no harm but work
     made = rows.mapInArrow(sets, "digest binary, tokens array<bigint>")
@@ -310,13 +313,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), size) for x in batch.column(1)]
-            # twice the usual prefix: what moves up when frequent tokens go to the end
-            heads = [x[: 2 * _prefix(len(x), percent) + 2] for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), _lists(heads)], names=["doc_id", "n", "digest", "head"]
-            )
+        try:
+            for batch in pieces(batches, 1):
+                sets = [shingle_set(x.as_py(), size) for x in batch.column(1)]
+                # twice the usual prefix: what moves up when frequent tokens go to the end
+                heads = [x[: 2 * _prefix(len(x), percent) + 2] for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), _lists(heads)], names=["doc_id", "n", "digest", "head"]
+                )
+        finally:
+            _numbers.clear()
 
     rows = materialise(source.mapInArrow(facts, f"doc_id {kind}, n bigint, digest binary, head array<bigint>"), "facts")
     able = "n > 0 AND doc_id IS NOT NULL"

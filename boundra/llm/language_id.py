@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches
+from boundra.llm.common import bounded_batches, pieces
 
 #: Learned from at most about so many texts of a language; landmarks of a language; distinct characters.
 SAMPLE, LANDMARKS, ALPHABET = 500, 60, 120
@@ -114,7 +114,7 @@ def identify_language(docs: DataFrame, model: SpectrumModel | None, id_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(1).to_pylist()
             on = [k for k, t in enumerate(texts) if m is not None and t and _LETTER(t)]

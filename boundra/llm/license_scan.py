@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, text_bytes
+from boundra.llm.common import bounded_batches, pieces, text_bytes
 from boundra.llm.decontaminate import words_of
 
 LEAST_DICE = 0.75
@@ -159,7 +159,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, least:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows = [[{"license": n, "dice": v, "start": a, "end": b} for n, v, a, b in known.scan(x.as_py())] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "matches"])
 

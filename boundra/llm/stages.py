@@ -1,7 +1,7 @@
 """Pipeline stages: each applies one corpus operator and lets its decisions take effect on the documents.
 
 Stages keep the columns of their input. Decisions that depend on the text alone are joined by the text's
-64-bit number, so rows without an id and rows that repeat one get their own decision; those on groups are
+SHA-256, so rows without an id and rows that repeat one get their own decision; those on groups are
 joined by id: rows without an id stay, rows that repeat an id share a decision and stay if one of them would.
 """
 
@@ -25,8 +25,8 @@ SENT = 1_000_000
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _number(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def _without(docs: DataFrame, rejected: DataFrame, key: Column) -> DataFrame:
@@ -39,8 +39,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the training folds of the labels, doesn't reject."""
     labels = table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
-    scored = score_toxicity(docs.select(_number(docs["text"]).alias("k"), "text"), model, "k")
-    return _without(docs, scored.filter("predicted = 1").select("doc_id"), _number(docs["text"]))
+    scored = score_toxicity(docs.select(_digest(docs["text"]).alias("k"), "text"), model, "k")
+    return _without(docs, scored.filter("predicted = 1").select("doc_id"), _digest(docs["text"]))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = find_contamination(docs.select(_number(docs["text"]).alias("k"), "text"), table(spark, sf_dir, "benchmark"), "k")
-    return _without(docs, found.filter("size(spans) > 0").select("doc_id"), _number(docs["text"]))
+    found = find_contamination(docs.select(_digest(docs["text"]).alias("k"), "text"), table(spark, sf_dir, "benchmark"), "k")
+    return _without(docs, found.filter("size(spans) > 0").select("doc_id"), _digest(docs["text"]))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

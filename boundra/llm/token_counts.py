@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, text_bytes
+from boundra.llm.common import bounded_batches, pieces, text_bytes, text_of
 
 #: Remembered counts of merged pre-tokens per worker.
 MEMORY = 300_000
@@ -131,12 +131,12 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n_bytes, n_tokens = [], []
             for body in batch.column(1):
                 raw = body.as_py()
                 n_bytes.append(len(raw))
-                n_tokens.append(counter(raw.decode()))
+                n_tokens.append(counter(text_of(raw)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body"))
