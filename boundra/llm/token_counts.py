@@ -12,6 +12,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from boundra.llm.common import bounded_batches, pieces, text_bytes, text_of
 
 #: Remembered counts of merged pre-tokens per worker.
 MEMORY = 300_000
-#: A longer pre-token is merged but not remembered.
+#: A pre-token of more bytes is merged from a heap; one of more characters isn't remembered.
 LONG = 64
 
 
@@ -66,31 +67,43 @@ class WordCounter:
         return found
 
     def merged(self, word: str) -> int:
-        """Tokens of one pre-token by merging its best-ranked neighbours."""
+        """Tokens of one pre-token: neighbours are merged, best rank first and leftmost of equals."""
         parts = [self.letters[x] for x in word.encode()]
         parts[-1] += self.suffix
+        if len(parts) > LONG:
+            return self.merged_long(parts)
         rank, none = self.rank, len(self.rank)
         while len(parts) > 1:
             ranks = [rank.get(pair, none) for pair in zip(parts, parts[1:])]
             best = min(ranks)
             if best == none:
                 break
-            if len(parts) <= LONG:
-                at = ranks.index(best)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            else:  # all places of the best pair at once, left to right
-                left, right = parts[ranks.index(best)], parts[ranks.index(best) + 1]
-                out, k = [], 0
-                while k < len(parts):
-                    if k + 1 < len(parts) and parts[k] == left and parts[k + 1] == right:
-                        out.append(left + right)
-                        k += 2
-                    else:
-                        out.append(parts[k])
-                        k += 1
-                parts = out
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return len(parts)
 
+    def merged_long(self, parts: list[str]) -> int:
+        """The same order of merges from a heap of (rank, place), in time n log n; merged places become empty."""
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get((a, b))) is not None]
+        heapify(heap)
+        left = n
+        while heap:
+            _, k, a, b = heappop(heap)
+            other = after[k]
+            if parts[k] != a or other >= n or parts[other] != b:
+                continue  # one of the two has been merged since
+            parts[k], parts[other] = a + b, ""
+            left -= 1
+            after[k] = after[other]
+            if after[k] < n:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y < n and (r := rank.get((parts[x], parts[y]))) is not None:
+                    heappush(heap, (r, x, parts[x], parts[y]))
+        return left
+
     def of_word(self, word: str) -> int:
         n = self.merged(word)
         if len(word) <= LONG:
@@ -123,7 +136,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     ``vocabulary`` is the path of the JSON file on every executor. Null text counts as empty: 0 bytes,
-    0 tokens. Special strings inside a text are one token each, as the library has it; none are added.
+    0 tokens; bytes that are no UTF-8 count as U+FFFD. Special strings inside a text are one token each, as the
+    library has it; none are added. Very long texts and words take time in proportion to their length, nearly.
     Repeated rows stay, an empty table gives no rows, further columns are ignored.
     """
     bounded_batches(docs.sparkSession)
