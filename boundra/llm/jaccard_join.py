@@ -1,10 +1,13 @@
 """N-gram Jaccard join with token-combination prefixes, and the classes it links.
 
-Every document is the set of its distinct word shingles (64-bit numbers). Equal sets form one class, and
-only its smallest document goes on. Tokens get one order for all sets: rare before frequent, then by
-number. A pair at the threshold shares at least s tokens of its prefixes if these are s - 1 longer than
-the usual ones. Rare tokens are indexed alone (one shared token is enough), frequent ones in pairs; a
-prefix with frequent tokens is extended by one, so that two shared frequent tokens make a shared pair.
+Every document is the set of its distinct word shingles, as 63-bit numbers: two different shingles have the same
+with probability 2**-63, so that a set of a million shingles is one too small once in ten million sets. Equal sets
+(by 128-bit digests) form one class, and only its smallest document goes on. Tokens get one order for all sets:
+rare before frequent, then by number. A pair at the threshold shares at least s tokens of its prefixes
+if these are s - 1 longer than the usual ones. Rare tokens are indexed alone (one shared token is enough), frequent
+ones in pairs. A prefix with frequent tokens is extended by s - 1 tokens and these are dealt into s - 1 parts by
+their numbers: of s shared frequent tokens, two lie in the same part and make a shared pair. As s grows with the
+set, a part keeps its size, and a set of any length has signatures in proportion to its length.
 
 Sets with a common signature are compared with one set of that signature only, that which shares most with
 others. What these links connect need not be compared again; signatures whose sets still lie in several
@@ -30,6 +33,8 @@ SHINGLE, PERCENT = 4, 85
 ROUNDS = 4
 #: Signatures of more classes than LARGE are compared by clusters, in blocks of about BLOCK classes.
 LARGE, BLOCK = 200, 256
+#: Tokens of the usual prefix to a part that frequent tokens are dealt into, about.
+PART = 16
 #: A token in more prefixes than this is frequent; remembered word numbers per worker; rows sent to all tasks at most.
 FREQUENT, MEMORY, SENT = 32, 200_000, 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -149,6 +154,17 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def _parts_of(n: int, percent: int) -> set[int]:
+    """Into how many parts frequent tokens of a set of n are dealt: once for each scale that it shares with a partner.
+
+    Sizes from one power of two to the next are of one scale. Partners differ by less than a factor of two, so
+    the smaller one reaches the scale of the larger.
+    """
+    scale = 1 << (n.bit_length() - 1)
+    scales = [scale, 2 * scale] if 100 * n >= percent * 2 * scale else [scale]
+    return {max(1, _prefix(x, percent) // PART) for x in scales}
+
+
 def _index(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a whole set: single rare tokens and pairs of frequent ones in its prefix."""
     n = len(tokens)
@@ -157,11 +173,17 @@ def _index(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     rare = n - int(often.sum())
     if length <= rare:
         return ordered[:length]
-    some = ordered[rare : length + 1]
-    x, y = np.triu_indices(len(some), 1)
-    pairs = (some[x] * _M2) ^ (some[y] * _M3)
-    pairs ^= pairs >> np.uint64(31)
-    return np.unique(np.concatenate([ordered[:rare], pairs * _M1]))
+    found = [ordered[:rare]]
+    for parts in _parts_of(n, percent):
+        some = ordered[rare : length + parts]
+        part = (some * _M3 >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        for own in np.split(some[order], np.flatnonzero(np.diff(part[order])) + 1):
+            x, y = np.triu_indices(len(own), 1)
+            pairs = (own[x] * _M2) ^ (own[y] * _M3)
+            pairs ^= pairs >> np.uint64(31)
+            found.append(pairs * _M1)
+    return np.unique(np.concatenate(found))
 
 
 def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
@@ -306,7 +328,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets included; component_id is the smallest id reached by links. Texts without a word, or null,
     have empty sets and stand alone. Repeated rows, and rows that repeat an id with another text, stay
     as rows of their own. A row without an id is linked with nothing and its component is null. An empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns are ignored. Texts of any length are compared whole: a long one costs
+    time and memory in proportion to its length.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
