@@ -10,8 +10,8 @@ VOIVODESHIPS = ["02", "04", "06", "08", "10", "12", "14", "16", "18", "20", "22"
 
 
 def encode_id(**fields: Column) -> Column:
-    """URL-safe base64 of a JSON object with the fields in the given order."""
-    return F.rtrim(F.translate(F.base64(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).cast("binary")), "+/", "-_"), F.lit("="))
+    """URL-safe base64 of a JSON object with the fields in the given order, without the line breaks that Spark puts in."""
+    return F.rtrim(F.translate(F.base64(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).cast("binary")), "+/\r\n", "-_"), F.lit("="))
 
 
 def decode_id(col: Column, schema: str) -> Column:

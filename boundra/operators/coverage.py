@@ -22,8 +22,14 @@ def missing_pairs(requested: DataFrame, installed: DataFrame) -> DataFrame:
     return gone.crossJoin(F.broadcast(one)).select("layer_id", "scope", F.when(F.col("one"), F.col("scope")).otherwise(F.concat_ws(":", "layer_id", "scope")).alias("label"))
 
 
-def coverage_with_provenance(coverage: DataFrame, snapshots: DataFrame, complete_only: bool = False) -> DataFrame:
+def coverage_with_provenance(
+    coverage: DataFrame, snapshots: DataFrame, complete_only: bool = False, layer_ids: list[str] | None = None, dataset_key: str | None = None, snapshot_id: int | None = None, archive_year: int | None = None
+) -> DataFrame:
+    """Rows of coverage with when and from what their snapshot was made; a filter that is None asks nothing."""
     c = coverage.filter("completeness = 'complete'") if complete_only else coverage
+    c = c if layer_ids is None else c.filter(F.col("layer_id").isin(layer_ids))
+    for name, value in (("dataset_key", dataset_key), ("snapshot_id", snapshot_id), ("archive_year", archive_year)):
+        c = c if value is None else c.filter(F.col(name) == F.lit(value))
     return c.join(snapshots.select(F.col("id").alias("snapshot_id"), "downloaded_at", "etag"), "snapshot_id")
 
 
@@ -50,11 +56,19 @@ def source_status(coverage: DataFrame, catalog_pairs: DataFrame) -> DataFrame:
     return done.agg(F.countDistinct("layer_id").alias("layers"), F.count(F.lit(1)).alias("pairs")).crossJoin(F.broadcast(short)).withColumn("complete", F.col("missing") == 0)
 
 
-def layer_counts(areas: DataFrame, current: DataFrame) -> DataFrame:
-    """Records of each layer: of its current snapshots if it has any, else of all."""
+#: The layers that addresses and streets are counted as.
+ADDRESS_LAYER, STREET_LAYER = "A07", "A08"
+
+
+def layer_counts(areas: DataFrame, current: DataFrame, addresses: DataFrame | None = None, streets: DataFrame | None = None) -> DataFrame:
+    """Records of each layer: areas of its current snapshots if it has any, else of all; addresses and streets of all shards."""
     has = current.select("layer_id").distinct().withColumn("_has", F.lit(True))
     live = areas.join(current.withColumn("_cur", F.lit(True)), ["layer_id", "snapshot_id"], "left").join(F.broadcast(has), "layer_id", "left")
-    return live.filter("_cur OR _has IS NULL").groupBy("layer_id").agg(F.count(F.lit(1)).alias("records"))
+    counts = live.filter("_cur OR _has IS NULL").groupBy("layer_id").agg(F.count(F.lit(1)).alias("records"))
+    for table, layer in ((addresses, ADDRESS_LAYER), (streets, STREET_LAYER)):
+        if table is not None:
+            counts = counts.unionByName(table.agg(F.count(F.lit(1)).alias("records")).select(F.lit(layer).alias("layer_id"), "records"))
+    return counts
 
 
 def list_layers(layers: DataFrame, counts: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boundra.functions.ids import VOIVODESHIPS
+from boundra.functions.ids import VOIVODESHIPS, decode_id, encode_id
+from boundra.operators.spatial import top_k
 
 #: The extent of the register in EPSG:2180 and the parts of a shape file set.
 EXTENT = (-50000.0, -100000.0, 1100000.0, 1100000.0)
@@ -27,6 +28,45 @@ def validate_requests(df: DataFrame, max_limit: int = 100, max_radius: float = 1
     return df.withColumn("status", status)
 
 
+def validate_operations(df: DataFrame) -> DataFrame:
+    """code and message of each request by the rules of its ``operation``, the first rule that it breaks; code OK if none.
+
+    Columns, all of which may be null: limit, max_candidates, max_vertices, snapshot_id, tolerance, radius, x, y, date, query,
+    code, category, structured (boolean), layers and shards (arrays).
+    """
+    c, op = F.col, F.col("operation")
+    outside = lambda name, low, high: c(name).isNotNull() & ((c(name) < low) | (c(name) > high))
+    finite = lambda name: c(name).isNotNull() & ~F.isnan(c(name)) & (F.abs(c(name)) < float("inf"))
+    blank = F.coalesce(F.trim("query"), F.lit("")) == ""
+    none = lambda name: F.coalesce(F.size(name), F.lit(0)) <= 0
+    day = c("date").isNotNull() & (~c("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") | F.try_to_date("date", "yyyy-MM-dd").isNull())
+    bad = "INVALID_INPUT"
+    rules = [
+        (("relate_areas",), none("layers") & c("category").isNull(), "UNBOUNDED_SCAN_REFUSED", "layers or a category are asked for"),
+        (("locate_point", "reverse_address"), ~finite("x") | ~finite("y"), bad, "coordinates must be finite"),
+        (("reverse_address",), c("radius").isNotNull() & (F.isnan("radius") | (c("radius") <= 0)), bad, "radius must be above 0"),
+        (("search_addresses",), ~blank == F.coalesce("structured", F.lit(False)), bad, "either a query or fields"),
+        (("search_areas",), c("query").isNotNull() & blank, bad, "query must not be blank"),
+        (("search_areas",), c("query").isNull() & c("code").isNull() & none("layers") & c("category").isNull(), bad, "a query, code, layer or category is asked for"),
+        (("locate_point", "reverse_address", "search_addresses", "search_areas", "relate_areas"), outside("limit", 1, 100), bad, "limit must be 1 to 100"),
+        (("locate_point", "relate_areas"), outside("max_candidates", 1, 10_000), bad, "max_candidates must be 1 to 10000"),
+        (("reverse_address",), outside("max_candidates", 1, 5000), bad, "max_candidates must be 1 to 5000"),
+        (("get_area_geometry",), outside("max_vertices", 4, 100_000), bad, "max_vertices must be 4 to 100000"),
+        (("get_area_geometry",), c("tolerance").isNotNull() & (F.isnan("tolerance") | outside("tolerance", 0, 10_000)), bad, "tolerance must be 0 to 10000"),
+        (("locate_point", "search_areas", "relate_areas"), c("snapshot_id") < 1, bad, "snapshot_id must be positive"),
+        (("locate_point", "search_areas", "relate_areas"), day, bad, "date must be a day of the calendar"),
+        (("locate_point",), c("layers").isNotNull() & none("layers"), bad, "layers must not be empty"),
+        (("reverse_address", "search_addresses"), c("shards").isNotNull() & none("shards"), bad, "shards must not be empty"),
+        (("reverse_address",), c("radius") > 10_000, "RADIUS_LIMIT_EXCEEDED", "radius must be 10000 at most"),
+    ]
+    known = sorted({o for ops, *_ in rules for o in ops})
+    found = F.when(~F.coalesce(op.isin(known), F.lit(False)), F.struct(F.lit(bad).alias("code"), F.lit("unknown operation").alias("message")))
+    for ops, broken, code, message in rules:
+        found = found.when(op.isin(list(ops)) & F.coalesce(broken, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(message).alias("message")))
+    verdict = found.otherwise(F.struct(F.lit("OK").alias("code"), F.lit(None).cast("string").alias("message")))
+    return df.withColumn("_v", verdict).select("*", F.col("_v.code").alias("verdict"), F.col("_v.message").alias("message")).drop("_v")
+
+
 def validate_dataset(records: DataFrame, streets: DataFrame, manifest: DataFrame) -> DataFrame:
     """Violations (code, dataset_key, object_id, severity) of all kinds, the first check first.
 
@@ -95,20 +135,63 @@ def page_after(df: DataFrame, keys: list[str], after: list[Column], limit: int,
     return df.filter(here > there).orderBy(*keys).limit(limit).withColumn("status", F.lit("OK"))
 
 
+CURSOR = "snapshot_version string, offset bigint, sort_key array<string>"
+
+
+def encode_cursor(version: Column, offset: Column, sort_key: list[Column]) -> Column:
+    """An opaque cursor: the snapshot's version, how many rows went before, and the sort key of the last of them."""
+    return encode_id(snapshot_version=version, offset=offset.cast("bigint"), sort_key=F.array(*[k.cast("string") for k in sort_key]))
+
+
+def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int, version: str) -> DataFrame:
+    """The next ``limit`` rows for each of few requests (request_id, cursor), with rank, status and next_cursor.
+
+    A null cursor begins; one of another version gives one row with CURSOR_STALE, one that is none INVALID_CURSOR.
+    ``next_cursor`` stands in the last row of a full page. Requests are sent to all tasks if counted to be few, so
+    that the rows of ``df`` aren't moved but for those of the pages.
+    """
+    c = cursors.withColumn("_c", decode_id(F.col("cursor"), CURSOR))
+    good = F.col("cursor").isNull() | (F.col("_c.snapshot_version").isNotNull() & F.col("_c.offset").isNotNull() & (F.size("_c.sort_key") == len(keys)))
+    c = c.withColumn("status", F.when(~F.coalesce(good, F.lit(False)), "INVALID_CURSOR").when(F.col("_c.snapshot_version") != version, "CURSOR_STALE").otherwise("OK"))
+    asked = c.filter("status = 'OK'").select("request_id", F.coalesce("_c.offset", F.lit(0).cast("bigint")).alias("_offset"), F.when(F.col("cursor").isNotNull(), F.struct(*[F.get("_c.sort_key", k).try_cast(df.schema[n].dataType).alias(n) for k, n in enumerate(keys)])).alias("_after"))
+    asked = F.broadcast(asked) if cursors.count() <= 1000 else asked
+    rows = df.crossJoin(asked).filter(F.col("_after").isNull() | (F.struct(*[F.col(k) for k in keys]) > F.col("_after")))
+    page = top_k(rows, ["request_id"], [F.col(k) for k in keys], limit)
+    following = F.when(F.col("rank") == limit, encode_cursor(F.lit(version), F.col("_offset") + limit, [F.col(k) for k in keys]))
+    page = page.select("request_id", *df.columns, (F.col("_offset") + F.col("rank")).alias("place"), F.lit("OK").alias("status"), following.alias("next_cursor"))
+    return page.unionByName(c.filter("status <> 'OK'").select("request_id", "status"), allowMissingColumns=True)
+
+
+def read_page_files(spark: SparkSession, path: str, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Page files (dataset=.../*): dataset, file, bytes, value of those within the ceiling; and the files that pass it."""
+    files = spark.read.format("binaryFile").load(path).select("dataset", F.regexp_extract("path", r"[^/]*$", 0).alias("file"), F.col("length").alias("bytes"))
+    kept = spark.read.text(path, wholetext=True).select("dataset", "value", F.regexp_extract("_metadata.file_path", r"[^/]*$", 0).alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return kept.filter(F.col("bytes") <= most_bytes), files.filter(F.col("bytes") > most_bytes).withColumn("status", F.lit("TOO_LARGE"))
+
+
 def check_page_set(pages: DataFrame) -> DataFrame:
     """Status of each dataset's pages (dataset, matched, rows, bytes): stated totals must agree with each other and the rows."""
     s = pages.groupBy("dataset").agg(F.countDistinct(F.when(F.col("matched") != "unknown", F.col("matched"))).alias("totals"), F.max(F.when(F.col("matched") != "unknown", F.col("matched").try_cast("bigint"))).alias("stated"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
     return s.withColumn("status", F.when(F.col("totals") > 1, "TOTALS_DIFFER").when((F.col("totals") == 1) & (F.col("stated") != F.col("rows")), "ROWS_MISSING").otherwise("OK")).select("dataset", "rows", "bytes", "status")
 
 
-def check_file_sets(listing: DataFrame) -> DataFrame:
-    """Status of each base name of ``path``: the roles it has by extension and those it lacks."""
+def check_file_sets(listing: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Status of each base name of ``path``: the roles it has by extension and those it lacks.
+
+    With ``allowed`` (a column fingerprint), ``listing`` has a ``fingerprint`` for each file too, and a whole set
+    with a file whose fingerprint isn't allowed is NOT_ALLOWED.
+    """
     name = F.regexp_extract("path", r"[^/]*$", 0)
     role = F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)))
-    s = listing.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("base"), role.alias("role"))
-    g = s.groupBy("base").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_if(F.col("role").isNull()).alias("unsupported"))
+    foreign = F.lit(False)
+    if allowed is not None:
+        listing = listing.join(allowed.select("fingerprint").distinct().withColumn("_allowed", F.lit(True)), "fingerprint", "left")
+        foreign = F.col("_allowed").isNull()
+    s = listing.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("base"), role.alias("role"), foreign.alias("foreign"))
+    g = s.groupBy("base").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_if(F.col("role").isNull()).alias("unsupported"), F.bool_or("foreign").alias("foreign"))
     lacks = F.array_join(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), F.col("roles")), ",")
-    return g.select("base", F.array_join("roles", ",").alias("roles"), lacks.alias("missing"), F.when(F.col("unsupported") > 0, "UNSUPPORTED").when(lacks != "", "INCOMPLETE").otherwise("OK").alias("status"))
+    status = F.when(F.col("unsupported") > 0, "UNSUPPORTED").when(lacks != "", "INCOMPLETE").when(F.col("foreign"), "NOT_ALLOWED").otherwise("OK")
+    return g.select("base", F.array_join("roles", ",").alias("roles"), lacks.alias("missing"), status.alias("status"))
 
 
 def catalog_drift(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boundra.functions.ids import decode_id
 from boundra.functions.text import best_match, format_address, lower_ascii, mode_weight, normalize_area, normalize_polish, remove_street_kind, tokens
 from boundra.operators.spatial import top_k
 
@@ -79,6 +80,11 @@ AREA_WEIGHTS = {"name": 5.0, "normalized_name": 4.0, "code": 3.0, "aliases": 1.0
 STREET_WEIGHTS = {"name": 4.0, "normalized_name": 6.0}
 
 
+def polish(column: str) -> Column:
+    """A text as it sorts in Polish; a missing one as the empty text."""
+    return F.collate(F.coalesce(F.col(column).cast("string"), F.lit("")), "pl")
+
+
 def search_addresses(requests: DataFrame, addresses: DataFrame, limit: int = 20, exhaustive: bool = False) -> DataFrame:
     """Best addresses for each request (request_id, query): rank, shard, object_id, mode, confidence, bm25.
 
@@ -97,21 +103,30 @@ def search_addresses(requests: DataFrame, addresses: DataFrame, limit: int = 20,
     rows = rows.withColumn("m", best_match(F.col("q"), [F.col("full"), remove_street_kind(F.col("full"))]))
     rows = rows.withColumn("hit", F.col("m.mode") != "none").withColumn("place", F.row_number().over(Window.partitionBy("request_id", "part").orderBy("bm25", "doc")))
     rows = adaptive_cap(rows, ["request_id", "part"], limit, exhaustive)
-    order = [mode_weight(F.col("m.mode")), F.col("m.confidence").desc(), F.round("bm25", 9), F.col("doc")]
+    order = [mode_weight(F.col("m.mode")), F.col("m.confidence").desc(), F.round("bm25", 9), polish("doc"), F.col("doc")]
     best = top_k(rows, ["request_id", "part"], order, limit).drop("rank")
     return top_k(best, ["request_id"], order, limit).select("request_id", "rank", F.col("part").alias("shard"), F.col("doc").alias("object_id"), "m.mode", "m.confidence", "bm25")
 
 
+#: Fields of a structured request, the most selective first, and the columns of addresses that they are held against.
+IDS = {"street_id": "street_id", "locality_id": "locality_id", "municipality_code": "municipality_code"}
+TEXTS = {"locality": "locality_name", "street": "street_name", "number": "building_number", "postal": "postal_code"}
+FIELDS = ["street_id", "locality_id", *TEXTS, "municipality_code"]
+
+
 def match_structured(requests: DataFrame, addresses: DataFrame, limit: int = 20) -> DataFrame:
-    """Addresses equal in every asked-for field (locality, street, number, postal; null asks nothing).
+    """Addresses equal in every asked-for field: request_id, shard, object_id, names, rank.
 
-    Texts are compared in search form, a missing one as the empty text. The locality is the join key
-    where asked for; requests without one are compared by the street or number instead.
+    Requests have any of FIELDS (a missing column or null asks nothing) and may have ``shards``, an array that bounds
+    where is searched. Texts are compared in search form, a missing one as the empty text; ids as they are. The first
+    asked-for field is the join key. Each shard gives its first ``limit`` rows by names without case; these are put in
+    Polish order and cut again.
     """
     n = lambda c: F.coalesce(normalize_polish(F.col(c)), F.lit(""))
-    held = addresses.select("shard", "object_id", "locality_name", "street_name", "building_number", n("locality_name").alias("a_locality"), n("street_name").alias("a_street"), n("building_number").alias("a_number"), n("postal_code").alias("a_postal"))
-    asked = requests.select("request_id", *[normalize_polish(F.col(c)).alias(f"q_{c}") for c in ("locality", "street", "number", "postal")])
-    fields = ("locality", "street", "number", "postal")
+    fields = [f for f in FIELDS if f in requests.columns and (f in TEXTS or f in addresses.columns)]
+    held = addresses.select("shard", "object_id", "locality_name", "street_name", "building_number", *[(n(TEXTS[f]) if f in TEXTS else F.col(IDS[f])).alias(f"a_{f}") for f in fields])
+    bounded = "shards" in requests.columns
+    asked = requests.select("request_id", *[(normalize_polish(F.col(f)) if f in TEXTS else F.col(f)).alias(f"q_{f}") for f in fields], *(["shards"] if bounded else []))
     # one equi-join for each choice of first asked-for field
     found = None
     for k, key in enumerate(fields):
@@ -119,11 +134,38 @@ def match_structured(requests: DataFrame, addresses: DataFrame, limit: int = 20)
         on = F.col(f"q_{key}") == F.col(f"a_{key}")
         for f in fields[k + 1 :]:
             on = on & (F.col(f"q_{f}").isNull() | (F.col(f"q_{f}") == F.col(f"a_{f}")))
+        if bounded:
+            on = on & (F.col("shards").isNull() | F.array_contains("shards", F.col("shard")))
         part = some.join(held, on).select("request_id", "shard", "object_id", "locality_name", "street_name", "building_number")
         found = part if found is None else found.unionByName(part)
-    nocase = [lower_ascii(F.coalesce(F.col(c), F.lit(""))) for c in ("locality_name", "street_name", "building_number")]
-    best = top_k(found, ["request_id", "shard"], [*nocase, F.col("object_id")], limit).drop("rank")
-    return top_k(best, ["request_id"], [*nocase, F.col("object_id")], limit)
+    names = ("locality_name", "street_name", "building_number")
+    best = top_k(found, ["request_id", "shard"], [*[lower_ascii(F.coalesce(F.col(c), F.lit(""))) for c in names], F.col("object_id")], limit).drop("rank")
+    return top_k(best, ["request_id"], [*[polish(c) for c in (*names, "object_id")], F.col("object_id")], limit)
+
+
+def search_structured(requests: DataFrame, addresses: DataFrame, limit: int = 20) -> DataFrame:
+    """As match_structured, with a status; ``street_id`` is an opaque id with its shard, which bounds the search.
+
+    One row with INVALID_INPUT for a request that asks nothing, has an empty field, or whose street id is none or lies
+    outside its ``shards``.
+    """
+    fields = [f for f in FIELDS if f in requests.columns]
+    r = requests if "shards" in requests.columns else requests.withColumn("shards", F.lit(None).cast(f"array<{addresses.schema['shard'].dataType.simpleString()}>"))
+    if "street_id" in fields:
+        r = r.withColumn("_street", decode_id(F.col("street_id"), "voivodeshipCode string, objectId string"))
+        shard = F.col("_street.voivodeshipCode").cast(addresses.schema["shard"].dataType)
+        lost = F.col("street_id").isNotNull() & (shard.isNull() | F.col("_street.objectId").isNull() | ~F.coalesce(F.array_contains("shards", shard), F.lit(True)))
+        r = r.withColumn("_bad", lost).withColumn("shards", F.when(F.col("street_id").isNotNull(), F.array(shard)).otherwise(F.col("shards"))).withColumn("_own", F.col("street_id")).withColumn("street_id", F.col("_street.objectId"))
+    else:
+        r = r.withColumn("_bad", F.lit(False))
+    given = [F.col("_own" if f == "street_id" else f) for f in fields]
+    nothing, empty = F.lit(True), F.lit(False)
+    for g in given:
+        nothing, empty = nothing & g.isNull(), empty | (F.coalesce(g, F.lit("-")) == "")
+    r = r.withColumn("_bad", F.col("_bad") | nothing | empty)
+    found = match_structured(r.filter("NOT _bad").select("request_id", *fields, "shards"), addresses, limit).withColumn("status", F.lit("OK"))
+    refused = r.filter("_bad").select("request_id", F.lit("INVALID_INPUT").alias("status"))
+    return found.unionByName(refused, allowMissingColumns=True)
 
 
 def search_streets(requests: DataFrame, streets: DataFrame, limit: int = 20) -> DataFrame:
@@ -139,7 +181,7 @@ def search_streets(requests: DataFrame, streets: DataFrame, limit: int = 20) ->
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("variant", "part").orderBy("bm25", "doc")))
     rows = adaptive_cap(rows, ["variant", "part"], limit)
     one = rows.groupBy("request_id", "part", "doc", "name").agg(F.min("bm25").alias("bm25"), F.min_by("m", "bm25").alias("m"))
-    order = [mode_weight(F.col("m.mode")), F.col("m.confidence").desc(), F.round("bm25", 9), F.col("doc")]
+    order = [mode_weight(F.col("m.mode")), F.col("m.confidence").desc(), F.round("bm25", 9), polish("doc"), F.col("doc")]
     return top_k(one, ["request_id"], order, limit).select("request_id", "rank", F.col("part").alias("shard"), F.col("doc").alias("object_id"), "name", "m.mode", "m.confidence", "bm25")
 
 

