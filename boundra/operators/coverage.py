@@ -63,7 +63,7 @@ ADDRESS_LAYER, STREET_LAYER = "A07", "A08"
 def layer_counts(areas: DataFrame, current: DataFrame, addresses: DataFrame | None = None, streets: DataFrame | None = None) -> DataFrame:
     """Records of each layer: areas of its current snapshots if it has any, else of all; addresses and streets of all shards."""
     has = current.select("layer_id").distinct().withColumn("_has", F.lit(True))
-    live = areas.join(current.withColumn("_cur", F.lit(True)), ["layer_id", "snapshot_id"], "left").join(F.broadcast(has), "layer_id", "left")
+    live = areas.join(current.withColumn("_cur", F.lit(True)), ["layer_id", "snapshot_id"], "left").join(has, "layer_id", "left")
     counts = live.filter("_cur OR _has IS NULL").groupBy("layer_id").agg(F.count(F.lit(1)).alias("records"))
     for table, layer in ((addresses, ADDRESS_LAYER), (streets, STREET_LAYER)):
         if table is not None:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundra.functions.ids import parse_scope
-from boundra.operators.catalog import archives_table, layers_table, profiles_table, voivodeships_table
+from boundra.functions.ids import VOIVODESHIPS, parse_scope
+from boundra.operators.catalog import ARCHIVE_YEARS, LAYERS, layers_table, profiles_table
 
 MIB, RESERVE = 1024 * 1024, 256 * 1024 * 1024
 
@@ -19,10 +19,10 @@ def plan_targets(spark: SparkSession, requests: DataFrame) -> DataFrame:
     layers = layers_table(spark)
     profile = profiles_table(spark).groupBy("profile").agg(F.collect_list("layer_id").alias("of_profile"))
     r = requests.join(F.broadcast(profile), "profile", "left").withColumn("ids", F.array_distinct(F.coalesce("layer_ids", "of_profile")))
-    every = F.array(*[F.lit(x[0]) for x in layers.select("layer_id").collect()])
+    every = F.array(*[F.lit(x) for x, _, _ in LAYERS])
     address = F.array(F.lit("A07"), F.lit("A08"))
     history = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat(F.lit("A0"), k.cast("string")))
-    years = F.array(*[F.lit(x[0]) for x in archives_table(spark).select("archive_year").distinct().collect()])
+    years = F.array(*[F.lit(x) for x in ARCHIVE_YEARS])
     scoped = F.coalesce(F.size("scopes"), F.lit(0)) > 0
     archive = F.col("archive_year").isNotNull()
     status = (
@@ -38,7 +38,7 @@ def plan_targets(spark: SparkSession, requests: DataFrame) -> DataFrame:
     r = r.withColumn("status", status)
     one = r.filter("status = 'OK'").select("plan_id", "archive_year", F.array_distinct("scopes").alias("scopes"), F.explode("ids").alias("layer_id")).join(F.broadcast(layers.select("layer_id", "channel")), "layer_id")
     country = F.array(F.struct(F.lit("country").alias("type"), F.lit("PL").alias("code")))
-    all_codes = F.array(*[F.struct(F.lit("voivodeship").alias("type"), F.lit(x[0]).alias("code")) for x in voivodeships_table(spark).collect()])
+    all_codes = F.array(*[F.struct(F.lit("voivodeship").alias("type"), F.lit(x).alias("code")) for x in VOIVODESHIPS])
     given = F.when(F.size("scopes") > 0, F.transform("scopes", lambda s: parse_scope(s)))
     scopes = F.when(F.col("channel") == "wfs", country).otherwise(F.coalesce(given, all_codes))
     t = one.withColumn("scope", F.explode(scopes))

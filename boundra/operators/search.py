@@ -51,7 +51,7 @@ def text_search(queries: DataFrame, docs: DataFrame, part: str, doc: str, weight
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     term = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean_length")))
-    scored = hits.join(frequency, ["word", "part"]).join(F.broadcast(corpus_stats(listed)), "part").select("word", "part", "doc", term.alias("term"))
+    scored = hits.join(frequency, ["word", "part"]).join(corpus_stats(listed), "part").select("word", "part", "doc", term.alias("term"))
     asked = queries.select("request_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     found = asked.join(scored, "word").groupBy("request_id", "n_words", "part", "doc").agg(F.sum("term").alias("s"), F.count(F.lit(1)).alias("found"))
     return found.filter("found = n_words").select("request_id", "part", "doc", (-F.col("s")).alias("bm25"))

@@ -91,7 +91,7 @@ def locate_points(points: DataFrame, areas: DataFrame, limit: int = 20, max_cand
     boxes = points.withColumns({"min_x": F.col("x").cast("double"), "max_x": F.col("x").cast("double"), "min_y": F.col("y").cast("double"), "max_y": F.col("y").cast("double")})
     polygons = areas.filter(F.col("geom.kind").isin("Polygon", "MultiPolygon"))
     key = ["layer_id", "object_id", "snapshot_id"]  # of an area in one version
-    small = polygons.select("layer_id").limit(SENT_BOXES + 1).count() <= SENT_BOXES
+    small = polygons.select("layer_id").count() <= SENT_BOXES
     pairs = bbox_candidates(boxes, polygons.drop("geom"), condition, small).select("point_id", "x", "y", *key)
     counts = candidate_counts(pairs, ["point_id"], max_candidates)
     outlines = _outlines(polygons.select(*key, "name", "geom"), edges(F.col("geom")))
@@ -129,7 +129,7 @@ def relate_areas(sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot
     held = areas if layer_ids is None else areas.filter(F.col("layer_id").isin(layer_ids))
     checked = left.withColumn("status", status)
     key = ["layer_id", "object_id", "snapshot_id"]
-    small = held.select("layer_id").limit(SENT_BOXES + 1).count() <= SENT_BOXES
+    small = held.select("layer_id").count() <= SENT_BOXES
     pairs = bbox_candidates(checked.filter("status = 'OK'").drop("source_geom", "status"), held.drop("geom"), other, small).select(*own, *key)
     refused = checked.filter("status <> 'OK'").select(*own, "status")
     if max_candidates is not None:
