@@ -19,6 +19,7 @@ missed, and no group's pairs are ever listed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import at_most, bounded_batches, materialise, pieces, text_bytes
+from boundra.llm.common import at_most, bounded_batches, discard, materialise, pieces, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: Rounds with one partner for each signature, at most, before all pairs between components are compared.
@@ -91,13 +92,16 @@ def _linked(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
     while True:
+        labels, before = labels.select("node", "root"), labels
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = materialise(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels")
         far = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = materialise(step.join(far, "root").select("node", "old", F.least("root", "far").alias("root")), "labels")
+        discard(before, step)
+        labels = new
         if new.filter("old <> root").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+            discard(both)
+            return new
 
 
 def _sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -118,7 +122,9 @@ def _sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> D
     # ids may repeat with other texts, so the set's digest decides; rows that repeat as a whole are no harm but work
     made = rows.mapInArrow(sets, "digest binary, tokens array<bigint>")
     nodes = chosen.select("digest", "node")
-    return materialise(made.join(F.broadcast(nodes) if few else nodes, "digest").select("node", "tokens"), "sets")
+    found = materialise(made.join(F.broadcast(nodes) if few else nodes, "digest").select("node", "tokens"), "sets")
+    discard(chosen)
+    return found
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
@@ -140,14 +146,18 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, percent: int
     rest = lambda s, n: F.col(n) - F.size(F.filter(F.col(s), lambda x: x <= F.col("upto")))
     most = F.size(F.array_intersect("of_a", "of_b")) + F.least(rest("of_a", "n_a"), rest("of_b", "n_b"))
     likely = materialise(known.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
-    tokens = _sets(source, reps, materialise(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes"), size)
+    nodes = materialise(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes")
+    tokens = _sets(source, reps, nodes, size)
+    discard(nodes)
     found = (
         likely.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
         .join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a")
         .withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     )
     enough = 100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))
-    return materialise(found.filter(enough).select("a", "b").distinct(), "links")
+    links = materialise(found.filter(enough).select("a", "b").distinct(), "links")
+    discard(likely, tokens)
+    return links
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -186,8 +196,8 @@ def _index(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
-    """(sig, node, n) of every class that can be linked with another."""
+def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent: int, size: int) -> list[DataFrame]:
+    """(sig, node, n) of every class that can be linked with another, as one or two tables."""
     spark = reps.sparkSession
     few = at_most(common, SENT)
     # sorted numbers, eight bytes each, of checked size
@@ -236,29 +246,37 @@ def _signatures(reps: DataFrame, common: DataFrame, source: DataFrame, percent:
     first = materialise(marked(reps.filter(F.col("n") >= least), "head").mapInArrow(make(False), schema), "signatures")
     open_nodes = materialise(first.filter("n < 0").select("node"), "open")
     if open_nodes.isEmpty():
-        return first
-    tokens = _sets(source, reps, open_nodes, size).withColumn("n", F.size("tokens").cast("bigint"))
+        discard(open_nodes)
+        return [first]
+    sets = _sets(source, reps, open_nodes, size)
+    tokens = sets.withColumn("n", F.size("tokens").cast("bigint"))
     rest = materialise(marked(tokens.dropDuplicates(["node"]), "tokens").mapInArrow(make(True), schema), "signatures")
-    return first.filter("n > 0").unionByName(rest)
+    discard(open_nodes, sets)
+    return [first, rest]
 
 
 def _fits(percent: int) -> Column:
     return 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
 
 
-def _stars(placed: DataFrame, by: Column, percent: int) -> DataFrame:
-    """(a, b): each class with the one of the largest ``by`` of each of its signatures, if in another component."""
+def _stars(placed: DataFrame, by: Column, percent: int, done: DataFrame | None) -> DataFrame:
+    """(a, b): each class with the one of the largest ``by`` of each of its signatures, if in another component and not ``done``."""
     top = F.max(F.struct(by.alias("by"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))).alias("hub")
     hubs = materialise(placed.groupBy("sig").agg(top).select("sig", "hub.b", "hub.n_b", "hub.root_b"), "hubs")
     pairs = placed.join(hubs, "sig").filter((F.col("node") != F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(percent))
-    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    found = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(hubs)
+    return found
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their component ``root``, of signatures whose classes lie in several components; ``c`` rows each."""
     placed = materialise(buckets.join(labels, "node", "left").select("sig", "node", "n", "weight", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("sig", "c")
-    return materialise(placed.join(materialise(mixed, "mixed"), "sig"), "mixed_rows")
+    mixed = materialise(placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("sig", "c"), "mixed")
+    found = materialise(placed.join(mixed, "sig"), "mixed_rows")
+    discard(placed, mixed)
+    return found
 
 
 def _rest(placed: DataFrame, reps: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
@@ -271,18 +289,21 @@ def _rest(placed: DataFrame, reps: DataFrame, source: DataFrame, percent: int, s
     small = placed.filter(F.col("c") <= LARGE)
     right = small.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     on = (F.col("sig") == F.col("sig_b")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(percent)
-    few = _verified(materialise(small.join(right, on).select(F.col("node").alias("a"), "b").distinct(), "rest"), reps, source, percent, size)
+    pairs = materialise(small.join(right, on).select(F.col("node").alias("a"), "b").distinct(), "rest")
+    few = _verified(pairs, reps, source, percent, size)
+    discard(pairs)
     large = materialise(placed.filter(F.col("c") > LARGE), "large")
     if large.isEmpty():
+        discard(large)
         return few
-    hubs = large.groupBy("sig").agg(F.min("node").alias("b"))
-    clusters = _linked(large.join(materialise(hubs, "hubs"), "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    hubs = materialise(large.groupBy("sig").agg(F.min("node").alias("b")), "hubs")
+    clusters = _linked(large.join(hubs, "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
     sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     roots = large.select("node", F.col("root").alias("component")).distinct()
-    members = clusters.withColumnRenamed("root", "cluster").join(materialise(sizes, "sizes"), "cluster").join(roots, "node")
+    members = clusters.select("node", F.col("root").alias("cluster")).join(sizes, "cluster").join(roots, "node")
     members = materialise(members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
-    tokens = _sets(source, reps, members.select("node"), size).dropDuplicates(["node"])
-    held = members.join(tokens, "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tokens = _sets(source, reps, members.select("node"), size)
+    held = members.join(tokens.dropDuplicates(["node"]), "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node", "component", "tokens")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -318,7 +339,9 @@ def _rest(placed: DataFrame, reps: DataFrame, source: DataFrame, percent: int, s
                 out.append((max(node[p], node[q]), min(node[p], node[q])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return few.unionByName(materialise(held.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint"), "links"))
+    links = materialise(held.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint"), "links")
+    discard(large, hubs, clusters, members, tokens)
+    return few.unionByName(links)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -355,32 +378,40 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "reps")
     reps = reps.withColumn("sketch", F.slice("head", 1, F.greatest(F.lit(1), F.ceil(F.size("head") / 2).cast("int"))))
     common = materialise(reps.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > frequent).select("token"), "frequent")
-    signatures = _signatures(reps, common, source, percent, size)
+    written = _signatures(reps, common, source, percent, size)
+    signatures = reduce(DataFrame.unionByName, written).filter("n > 0")
     shared = materialise(signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
-    buckets = materialise(signatures.join(shared, "sig"), "buckets")  # only what two or more classes have
+    counted = materialise(signatures.join(shared, "sig"), "buckets")  # only what two or more classes have
+    discard(common, shared, *written)
     # of near copies, the one most like all others shares most with them
-    weight = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
-    buckets = materialise(buckets.join(materialise(weight, "weight"), "node").select("sig", "node", "n", "weight"), "buckets")
+    weight = materialise(counted.groupBy("node").agg(F.sum("c").alias("weight")), "weight")
+    buckets = materialise(counted.join(weight, "node").select("sig", "node", "n", "weight"), "buckets")
+    discard(counted, weight)
     links = labels = done = None
     placed = buckets.withColumn("root", F.col("node"))
     by = F.col("weight")
     for turn in range(1, ROUNDS + 1):
-        pairs = _stars(placed, by, percent)
-        pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = _stars(placed, by, percent, done)
         new = _verified(pairs, reps, source, percent, size)
         found, tried = new.count(), pairs.count()
         links = new if links is None else links.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
-        labels = _linked(links) if found or labels is None else labels
-        placed = _mixed(buckets, labels)
+        if found or labels is None:
+            discard(labels)
+            labels = _linked(links)
+        discard(placed)
+        placed = _mixed(buckets, labels.select("node", "root"))
         by = F.xxhash64("node", F.lit(turn))
         if found < 0.1 * tried:  # further partners would add little
             break
     rest = _rest(placed, reps, source, percent, size)
     if not rest.isEmpty():
+        discard(labels)
         labels = _linked(links.unionByName(rest))
-    placed = materialise(reps.select("node", "digest", "doc_id").join(labels, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = materialise(placed.join(materialise(least, "least"), "root").select("digest", "component_id"), "components")
+    discard(buckets, placed)
+    placed = materialise(reps.select("node", "digest", "doc_id").join(labels.select("node", "root"), "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
+    least = materialise(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    found = materialise(placed.join(least, "root").select("digest", "component_id"), "components")
+    discard(labels, placed, least)
     lone = rows.filter(f"NOT ({able})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.filter(able).select("doc_id", "n", "digest").join(found, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
