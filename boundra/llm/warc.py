@@ -33,7 +33,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the largest id are responses
     and the others revisit that id; smaller payloads are all responses. Repeated rows are records of
-    their own. A row without an id is a record without a number and is never revisited by others.
+    their own. A row without an id is a record without a number and is never revisited by others. Ids
+    are percent-encoded, whatever is in them.
     A file holds at most ``records`` records and FILE_BYTES bytes, or a single longer record.
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -45,7 +46,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
@@ -63,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     long = lambda c: F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("bigint")
     bytes_of = lambda html: long(html) + 3 * long(F.col("url"))
     most = source.agg(F.max(bytes_of(F.col("html"))).alias("bytes"), F.max(long(F.col("page_id"))).alias("id")).first()
-    fixed = 1000 + 2 * (most["id"] or 0)
+    fixed = 1000 + 2 * 3 * (most["id"] or 0)
     low, longest = 0, (most["bytes"] or 0) + fixed
     for high in [*[x for x in SIZES if x < longest], longest]:
         some = rows if high == longest and not low else rows.filter((bytes_of(F.col("html")) + fixed > low) & (bytes_of(F.col("html")) + fixed <= high))
@@ -184,7 +185,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
-    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') AS {kind})")
+    number = lambda c: F.expr(f"try_cast(try_url_decode(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '')) AS {kind})")
     return read_archives(spark, path).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), "url"
     )
