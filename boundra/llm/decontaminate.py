@@ -117,7 +117,10 @@ def _block(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shingle
     """Spans and items of every row for one block of items."""
     index = Windows(items, window, shingle)
 
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # of one block, so of bounded size
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         totals = {k: np.zeros(len(v), np.int64) for k, v in index.shingles.items()}
         for batch in pieces(batches, 0):
             for body in batch.column(0):
@@ -133,7 +136,10 @@ def _block(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shingle
     counted = docs.select("body").mapInArrow(count, "k bigint, place bigint, n bigint").groupBy("k", "place").agg(F.sum("n").alias("n"))
     index.choose({(r.k, r.place): r.n for r in counted.collect()})
 
+    chosen = docs.sparkSession.sparkContext.broadcast(index)
+
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = chosen.value
         for batch in pieces(batches, 1):
             n_words, hits, items = [], [], []
             for body in batch.column(1):
@@ -152,7 +158,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document: doc_id, n_words, spans (merged word ranges hit), items (sorted ids as text).
 
     Null texts have no words. Items without an id or without words have no windows; with no items, no
-    document is hit. Repeated documents stay, repeated items count once; further columns are ignored.
+    document is hit. Repeated documents stay, repeated items count once; further columns are ignored. Documents of any
+    length are searched whole, in time and memory in proportion to it.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

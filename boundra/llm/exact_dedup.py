@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after each run of ASCII white space becomes one space; null counts
     as empty. ``keep_id`` is the smallest id of the group (null only if all its ids are null). Exactly
     one row of a group is kept, also when rows repeat. An empty table gives no rows; further columns
-    of ``docs``, whatever their names, are ignored.
+    of ``docs``, whatever their names, are ignored. A text of any length becomes a list of chunks in proportion to it.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -151,7 +151,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, least:
     """One row per input row: doc_id, license (best match, ties by place), dice, n_matches, matches.
 
     Without ``notices``, the fixed ones and the full licence texts are sought. Without a match, and for null or empty texts, license is null, dice 0 and matches empty. Repeated
-    rows stay, an empty table gives no rows, further columns are ignored.
+    rows stay, an empty table gives no rows, further columns are ignored. Texts of any length are scanned whole, as
+    bytes; of overlapping matches the better one is given, of equal ones the first.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

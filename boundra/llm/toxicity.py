@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, pieces, text_bytes, text_of
+from boundra.llm.common import bounded_batches, broadcast_if, pieces, text_bytes, text_of
 
 #: Learned from at most about so many labelled rows of each kind, of at most LONGEST characters.
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 3000, 50_000
@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) / 1e6
     share = F.when(F.col("y") == 1, F.lit(min(1.0, TOXIC_ROWS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, CLEAN_ROWS / max(1, counts.get(0, 0)))))
-    sample = F.broadcast(marked.filter(draw < share))  # some TOXIC_ROWS + CLEAN_ROWS rows at any size
+    sample = broadcast_if(marked.filter(draw < share), 10 * (TOXIC_ROWS + CLEAN_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     rows = sorted((str(r.id), r.text, r.y) for r in texts.join(sample, "id").collect())
     return learn([t for _, t, _ in rows], [y for _, _, y in rows])
