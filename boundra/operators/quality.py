@@ -135,6 +135,7 @@ def page_after(df: DataFrame, keys: list[str], after: list[Column], limit: int,
     return df.filter(here > there).orderBy(*keys).limit(limit).withColumn("status", F.lit("OK"))
 
 
+CURSORS = 1000
 CURSOR = "snapshot_version string, offset bigint, sort_key array<string>"
 
 
@@ -147,15 +148,16 @@ def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int,
     """The next ``limit`` rows for each of few requests (request_id, cursor), with rank, status and next_cursor.
 
     A null cursor begins; one of another version gives one row with CURSOR_STALE, one that is none INVALID_CURSOR.
-    ``next_cursor`` stands in the last row of a full page. Requests are sent to all tasks if counted to be few, so
-    that the rows of ``df`` aren't moved but for those of the pages.
+    ``next_cursor`` stands in the last row of a full page. At most CURSORS requests are answered at once: they are
+    sent to all tasks, each task keeps its first ``limit`` rows of each, and no other rows of ``df`` are moved.
     """
+    if cursors.count() > CURSORS:
+        raise ValueError(f"more than {CURSORS} cursors at once")
     c = cursors.withColumn("_c", decode_id(F.col("cursor"), CURSOR))
     good = F.col("cursor").isNull() | (F.col("_c.snapshot_version").isNotNull() & F.col("_c.offset").isNotNull() & (F.size("_c.sort_key") == len(keys)))
     c = c.withColumn("status", F.when(~F.coalesce(good, F.lit(False)), "INVALID_CURSOR").when(F.col("_c.snapshot_version") != version, "CURSOR_STALE").otherwise("OK"))
     asked = c.filter("status = 'OK'").select("request_id", F.coalesce("_c.offset", F.lit(0).cast("bigint")).alias("_offset"), F.when(F.col("cursor").isNotNull(), F.struct(*[F.get("_c.sort_key", k).try_cast(df.schema[n].dataType).alias(n) for k, n in enumerate(keys)])).alias("_after"))
-    asked = F.broadcast(asked) if cursors.count() <= 1000 else asked
-    rows = df.crossJoin(asked).filter(F.col("_after").isNull() | (F.struct(*[F.col(k) for k in keys]) > F.col("_after")))
+    rows = df.join(F.broadcast(asked), F.col("_after").isNull() | (F.struct(*[F.col(k) for k in keys]) > F.col("_after")))
     page = top_k(rows, ["request_id"], [F.col(k) for k in keys], limit)
     following = F.when(F.col("rank") == limit, encode_cursor(F.lit(version), F.col("_offset") + limit, [F.col(k) for k in keys]))
     page = page.select("request_id", *df.columns, (F.col("_offset") + F.col("rank")).alias("place"), F.lit("OK").alias("status"), following.alias("next_cursor"))

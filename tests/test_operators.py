@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from boundra.functions.ids import decode_id, encode_id
 from boundra.operators import catalog, planning, quality, snapshots
 from boundra.operators.search import adaptive_cap
 from boundra.operators.spatial import bbox_candidates
+from boundra.sources.storage import write_snapshot
+from boundra.sources.wkb import simplify_layer
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -86,6 +89,7 @@ def test_page_after_stale(spark):
 
 
 REGISTER = ["locate_points_covers", "relate_areas_intersects", "reverse_candidate_limit", "search_addresses_ranked", "coverage_summary", "sync_decisions", "assign_partition", "gml_ingest", "csv_ingest", "incremental_ingest"]
+REGISTER += ["relate_areas_statuses", "polish_order", "search_structured", "request_rules", "cursor_pages", "gml_streets", "boundary_layer", "snapshot_staging", "page_files", "file_set_fingerprints", "schema_drift", "simplify_layer", "sql_functions_all"]
 
 
 @pytest.mark.parametrize("name", REGISTER)
@@ -103,5 +107,32 @@ def test_query_equals_oracle(spark, name):
     assert key(df.select(*columns).collect()) == key([[r[i] for i in order] for r in want.fetchall()])
 
 
+def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path):
+    root = str(tmp_path / "snapshots")
+    good = spark.createDataFrame([(1,), (2,)], "k int")
+    wrong = lambda df: df.filter("k < 0").select(F.lit("NEGATIVE").alias("code"))
+    assert write_snapshot(good, root, 1, wrong).first().status == "published"
+    row = write_snapshot(spark.createDataFrame([(-1,)], "k int"), root, 1, wrong).first()
+    assert (row.status, row.error, row.records) == ("failed", "NEGATIVE", 1)
+    assert sorted(r.k for r in spark.read.parquet(root).collect()) == [1, 2]
+    write_snapshot(good.limit(1), root, 1, wrong)
+    assert spark.read.parquet(root).count() == 1 and not [p for p in (tmp_path / "snapshots").iterdir() if p.name.startswith("_")]
+
+
+def test_ids_of_any_length_come_back(spark):
+    text = "ż" * 300 + '"\\ +/='
+    df = spark.createDataFrame([(text,)], "v string").withColumn("id", encode_id(objectId=F.col("v")))
+    row = df.withColumn("back", decode_id(F.col("id"), "objectId string")).first()
+    assert row.back.objectId == text and row.id.isascii() and not set(row.id) & set("+/=\r\n")
+
+
+def test_rings_of_any_sizes_are_simplified(spark):
+    ring = lambda n, r: [{"x": float(r * (k % n)), "y": float((k % n) ** 2)} for k in range(n + 1)]
+    geom = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
+    rows = [(1, {"kind": "Polygon", "parts": [[ring(9, 1), ring(4, 1)]]}), (2, {"kind": "MultiPolygon", "parts": [[ring(5, 1)], [ring(6, 2), ring(3, 1), ring(12, 1)]]}), (3, None), (4, {"kind": "LineString", "parts": []})]
+    out = {r.k: r for r in simplify_layer(spark.createDataFrame(rows, f"k int, geom {geom}"), tolerance=0.5).collect()}
+    assert out[1].vertex_count <= 15 and [len(r) for r in out[2].geom.parts[1]][1] >= 4 and out[3].geom is None and out[4].status == "OK"
+
+
 def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
