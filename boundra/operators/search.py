@@ -33,10 +33,13 @@ def corpus_stats(listed: DataFrame) -> DataFrame:
 def prefix_hits(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(word, part, doc, length, f): documents with a token that begins with the word, for all query words."""
     words = queries.select(F.explode("words").alias("word")).distinct()
-    longest = words.agg(F.max(F.length("word")).alias("longest"))
+    bounds = F.broadcast(words.agg(F.max(F.length("word")).alias("longest"), F.min(F.length("word")).alias("shortest")))
+    # tokens that begin as no word does are left out first
+    heads = words.crossJoin(bounds).select(F.expr("substring(word, 1, shortest)").alias("head")).distinct()
+    able = postings.select("token").distinct().crossJoin(bounds).withColumn("head", F.expr("substring(token, 1, shortest)")).join(heads, "head", "left_semi")
     # the vocabulary, not the postings, is spread into prefixes, which join the query words by equality
-    lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.coalesce("longest", F.lit(1))))
-    spread = postings.select("token").distinct().crossJoin(F.broadcast(longest)).select("token", F.explode(lengths).alias("k")).select("token", F.expr("substring(token, 1, k)").alias("word"))
+    lengths = F.sequence(F.coalesce("shortest", F.lit(1)), F.least(F.length("token"), F.coalesce("longest", F.lit(1))))
+    spread = able.filter(F.length("token") >= F.col("shortest")).select("token", F.explode(lengths).alias("k")).select("token", F.expr("substring(token, 1, k)").alias("word"))
     return spread.join(words, "word").join(postings, "token").groupBy("word", "part", "doc", "length").agg(F.sum("f").alias("f"))
 
 
