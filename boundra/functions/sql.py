@@ -11,11 +11,10 @@ def register_functions(spark: SparkSession) -> list[str]:
     """CREATE TEMPORARY FUNCTION for each expression; returns the names."""
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     c = "lower(t)"
-    c = f"regexp_replace({c}, {quote(f'{text._EDGE}([0-9]{{2}})-([0-9]{{3}}){text._EDGE}')}, '$1$2')"
+    c = f"regexp_replace({c}, {quote(f'{text._START}([0-9]{{2}})-([0-9]{{3}}){text._END}')}, '$1$2')"
     c = f"translate({c}, '{text.POLISH[0]}', '{text.POLISH[1]}')"
     for short, whole in text.KINDS:
-        edge = text._EDGE
-        c = f"regexp_replace({c}, {quote(rf'{edge}(?:{short})\.?{edge}')}, ' {whole} ')"
+        c = f"regexp_replace({c}, {quote(rf'{text._START}(?:{short})\.?{text._EDGE}')}, ' {whole} ')"
     c = f"trim(regexp_replace({c}, {quote(r'[^\p{L}\p{N}/]+')}, ' '))"
     c = f"regexp_replace({c}, ' */ *', '/')"
     c = f"regexp_replace({c}, {quote('(^| )([0-9/]*[0-9][0-9/]*) ([a-z])(?= |$)')}, '$1$2$3')"

@@ -16,6 +16,8 @@ MODES = ["exact", "prefix", "contains", "fuzzy", "none"]
 
 #: An ASCII word boundary: Java's \b isn't ASCII-only.
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same before and after a letter or digit.
+_START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def lower_ascii(col: Column) -> Column:
@@ -26,10 +28,10 @@ def lower_ascii(col: Column) -> Column:
 def normalize_polish(col: Column) -> Column:
     """Search form of Polish text: plain letters, whole street kinds, glued number suffixes."""
     c = F.lower(col)
-    c = F.regexp_replace(c, f"{_EDGE}([0-9]{{2}})-([0-9]{{3}}){_EDGE}", "$1$2")
+    c = F.regexp_replace(c, f"{_START}([0-9]{{2}})-([0-9]{{3}}){_END}", "$1$2")
     c = F.translate(c, *POLISH)
     for short, whole in KINDS:
-        c = F.regexp_replace(c, rf"{_EDGE}(?:{short})\.?{_EDGE}", f" {whole} ")
+        c = F.regexp_replace(c, rf"{_START}(?:{short})\.?{_EDGE}", f" {whole} ")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}/]+", " "))
     c = F.regexp_replace(c, " */ *", "/")
     return F.regexp_replace(c, "(^| )([0-9/]*[0-9][0-9/]*) ([a-z])(?= |$)", "$1$2$3")
