@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,8 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _own: list[str] = []
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library gives memory back as it likes
+    _libc = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,6 +88,13 @@ def bounded_batches(spark: SparkSession, most: int = PIECE) -> None:
         spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """At the end of a task: memory that its Python worker no longer uses goes back, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Parts of batches whose texts take at most so many bytes (or one row), as views.
 
@@ -97,7 +109,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE) ->
                 yield batch.slice(at, to - at)
                 at = to
     finally:
-        pa.default_memory_pool().release_unused()  # workers live on
+        give_back()
 
 
 def text_of(raw: bytes | None) -> str:

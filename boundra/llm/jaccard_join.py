@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import at_most, bounded_batches, discard, materialise, pieces, text_bytes
+from boundra.llm.common import at_most, bounded_batches, discard, give_back, materialise, pieces, text_bytes
 
 SHINGLE, PERCENT = 4, 85
 #: Rounds with one partner for each signature, at most, before all pairs between components are compared.
@@ -118,6 +118,7 @@ def _sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), _lists(found)], names=["digest", "tokens"])
         finally:
             _numbers.clear()  # workers live on
+            give_back()
 
     # ids may repeat with other texts, so the set's digest decides; rows that repeat as a whole are no harm but work
     made = rows.mapInArrow(sets, "digest binary, tokens array<bigint>")
@@ -369,6 +370,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
         finally:
             _numbers.clear()
+            give_back()
 
     rows = materialise(source.mapInArrow(facts, f"doc_id {kind}, n bigint, digest binary, head array<bigint>"), "facts")
     able = "n > 0 AND doc_id IS NOT NULL"

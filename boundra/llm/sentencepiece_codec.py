@@ -13,6 +13,7 @@ stands only at the start of pieces (or makes up whole pieces); runs of marks are
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundra.llm.common import bounded_batches, pieces, strings, text_bytes
+from boundra.llm.common import bounded_batches, give_back, pieces, strings, text_bytes
 
 MARK = "▁"
 #: Characters of distinct words indexed at once; remembered words per task, and places for pairs per worker.
-BATCH_CHARS, WORDS, PAIRS = 300_000, 600_000, 1 << 21
+BATCH_CHARS, WORDS, PAIRS = 100_000, 250_000, 1 << 20
 #: Longer words are relaxed one by one and not remembered.
 LONG = 256
 #: Runs of marks but the last; words with their mark; single marks.
@@ -65,7 +66,7 @@ class Codec:
         self.longest = max((len(x) for x in self.number if not x.strip(MARK)), default=1)
         self.longest_first = self.merge(MARK * self.longest) == [MARK * self.longest]
         alphabet = sorted(x for x in whole if len(x) == 1)
-        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no piece
         for k, x in enumerate(alphabet):
             self.letter[ord(x)] = k + 1
         self.single = np.zeros(len(alphabet) + 1, np.int32)
@@ -201,7 +202,7 @@ class Codec:
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each word (and the mark before it) one after another, and where each word's begin."""
         codes = np.frombuffer((MARK + f"\n{MARK}".join(words.to_pylist())).encode("utf-32-le"), np.uint32)
-        text = self.letter[codes]
+        text = self.letter[codes].astype(np.int64)
         size = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
         first = np.cumsum(size + 1) - size - 1
         text[(first + size)[:-1]] = 0  # between words
@@ -394,6 +395,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple[pa
             yield batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
     finally:
         c.forget()  # workers live on
+        give_back()
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,7 +438,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lists in _encoded(batches, model):
-            yield pa.RecordBatch.from_arrays([ids, lists, codec(model).decode_all(lists)], names=["doc_id", "token_ids", "text"])
+            decoded = codec(model).decode_all(lists).cast(pa.binary())  # only its digest leaves the task
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in decoded], pa.string())], names=["doc_id", "token_ids", "decoded_sha256"])
 
-    both = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, text string")
-    return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("text", 256).alias("decoded_sha256"))
+    both = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, decoded_sha256 string")
+    return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256")

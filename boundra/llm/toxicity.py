@@ -36,7 +36,7 @@ NOTHING = -2.0
 #: Weights of the three highest word values and a constant before documents are seen, and how firmly they are held.
 START, RIDGE = np.array([2.0, 0.7, 0.2, 0.3]), 0.02
 #: Remembered values of tokens in a task, and letters of a word that are looked at at once.
-MEMORY, WIDTH = 400_000, 24
+MEMORY, WIDTH = 200_000, 24
 #: Offsets of three letters within five, by letters skipped.
 _PATTERNS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
 _SIZE = 64
@@ -118,8 +118,8 @@ class InsultModel:
     def raw(self, words: list[str]) -> np.ndarray:
         """Decision values of words."""
         out = np.empty(len(words))
-        for a in range(0, len(words), 5000):
-            part = words[a : a + 5000]
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
             rows, numbers, weights = features(part)
             out[a : a + len(part)] = np.bincount(rows, weights * self.table[numbers], len(part)) / _norms(rows, weights, len(part)) + self.bias
         return out
@@ -283,7 +283,8 @@ def _parts(word: str) -> tuple[str, ...]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> InsultModel:
     """Fit on about TOXIC_ROWS and CLEAN_ROWS labelled documents (all of them if there are fewer).
 
-    Null labels, labels without a document, and texts that are null or over LONGEST characters aren't learned from.
+    Null labels, labels without a document, and texts that are null or over LONGEST characters aren't learned from;
+    of several texts with one id, the first by order is.
     """
     marked = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").distinct()
     counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -291,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, F.lit(min(1.0, TOXIC_ROWS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, CLEAN_ROWS / max(1, counts.get(0, 0)))))
     sample = broadcast_if(marked.filter(draw < share), 10 * (TOXIC_ROWS + CLEAN_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    rows = sorted((str(r.id), r.text, r.y) for r in texts.join(sample, "id").collect())
+    # one text of an id, however many rows have it
+    rows = sorted((str(r.id), r.text, r.y) for r in texts.join(sample, "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect())
     return learn([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
@@ -320,10 +322,10 @@ class _Scorer:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         """Evidence of each text, and its worst word."""
-        split = [t.lower().split() for t in texts]
-        coded = pa.array([w for part in split for w in part], pa.string()).dictionary_encode()
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        coded = split.flatten().dictionary_encode()
         place = self.places(coded.dictionary)
-        document = np.repeat(np.arange(len(texts)), [len(part) for part in split])
+        document = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
         # words that tokens come down to, each once a document
         named = self.words.take(pa.array(place)).dictionary_encode()
         word = named.indices.to_numpy()[coded.indices.to_numpy()].astype(np.int64)
@@ -345,7 +347,7 @@ class _Scorer:
         alone = self.single[place][coded.indices.to_numpy()]
         run = alone[:-2] & alone[1:-1] & alone[2:] & (document[:-2] == document[2:])
         for d in np.unique(document[:-2][run]).tolist():
-            own = sorted({_ODD.sub("", t) for t in split[d]}.union(words_of(texts[d])) - {""})
+            own = sorted({_ODD.sub("", t) for t in split[d].as_py()}.union(words_of(texts[d])) - {""})
             values = dict(zip(own, self.model.raw(own).tolist()))
             found[d], worst[d] = evidence(values), max(values, key=lambda w: (values[w], w))
         return found, worst
