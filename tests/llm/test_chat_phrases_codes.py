@@ -176,7 +176,7 @@ def test_special_vectors(spark):
 
     assert of([]) == [] and of([(1, None, 1)]) == []
     few = of([(1, [0.0, 1.0, 2.0, 3.0], 1), (2, [0.0] * 4, None), (None, [0.0] * 4, None), (2, [0.0] * 4, 1)])
-    assert [x[1] for x in few] == ["00000000", "01010101", "01010101", "01010101"] and {x[2] for x in few} == {0}
+    assert [x[1] for x in few] == ["00000000", "00010101", "00010101", "00010101"] and {x[2] for x in few} == {0}
     uneven = of([(1, [0.0] * 4, 1), (2, [1.0] * 8, 1), (3, [], 1)])
     assert {x[0]: x[1:4] for x in uneven} == {1: ("00000000", 0, 0), 2: (None, None, 0), 3: (None, None, 0)}
     assert [x[1:4] for x in of([(1, [], None)])] == [("00000000", 0, 0)]
