@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boundra.functions.geometry import edges, outline, outlines_meet, point_covered
+from boundra.functions.geometry import vertex_count
 from boundra.functions.text import lower_ascii
+from boundra.operators.tiles import KEY, cells_of, crossing_pairs, points_in_tiles, positions_in_tiles, runs_of, tile_areas, tile_levels
+from boundra.sources.storage import written
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
-#: Up to so many boxes, or segments of outlines, are sent to all tasks; more are joined by shuffling.
-SENT_BOXES, SENT_SEGMENTS = 200_000, 1_000_000
+#: Up to so many boxes are sent to all tasks; more are joined by shuffling.
+SENT_BOXES = 200_000
 
 
 def _level(df: DataFrame) -> Column:
@@ -75,45 +77,84 @@ def candidate_counts(pairs: DataFrame, by: list[str], limit: int, status: str =
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("candidates")).withColumn("status", F.when(F.col("candidates") > limit, status).otherwise("OK"))
 
 
-def _outlines(areas: DataFrame, column: Column) -> DataFrame:
-    """The areas with what relations need of their geometry, once each; sent to all tasks if counted to be small."""
-    held = areas.withColumn("_outline", column).drop("geom")
-    segments = areas.agg(F.sum(F.aggregate(F.flatten(F.col("geom.parts")), F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))).alias("n")).first()["n"] or 0
-    return F.broadcast(held) if segments <= SENT_SEGMENTS else held
+def _within(x: Column, y: Column) -> Column:
+    return (x >= F.col("min_x")) & (x <= F.col("max_x")) & (y >= F.col("min_y")) & (y <= F.col("max_y"))
 
 
-def locate_points(points: DataFrame, areas: DataFrame, limit: int = 20, max_candidates: int = 2000, condition: Column | None = None) -> DataFrame:
+def locate_points(points: DataFrame, areas: DataFrame, limit: int = 20, max_candidates: int = 2000, condition: Column | None = None, tiles: DataFrame | None = None) -> DataFrame:
     """Areas that cover each point (point_id, x, y): point_id, layer_id, object_id, name, rank; rejected requests have a status.
 
-    Points with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED. Pairs are
-    found and counted without geometries; those of requests within the ceiling alone get them.
+    Points with more candidates, areas whose box holds them, than ``max_candidates`` give one row with status
+    COST_LIMIT_EXCEEDED. Areas are cut into tiles, or ``tiles`` has those of all of them, from an earlier ``tile_areas``; a
+    point meets one cell of each level and the segments in it.
     """
-    boxes = points.withColumns({"min_x": F.col("x").cast("double"), "max_x": F.col("x").cast("double"), "min_y": F.col("y").cast("double"), "max_y": F.col("y").cast("double")})
     polygons = areas.filter(F.col("geom.kind").isin("Polygon", "MultiPolygon"))
-    key = ["layer_id", "object_id", "snapshot_id"]  # of an area in one version
+    tiles = written(tile_areas(polygons), "tiles") if tiles is None else tiles
     small = polygons.select("layer_id").count() <= SENT_BOXES
-    pairs = bbox_candidates(boxes, polygons.drop("geom"), condition, small).select("point_id", "x", "y", *key)
-    counts = candidate_counts(pairs, ["point_id"], max_candidates)
-    outlines = _outlines(polygons.select(*key, "name", "geom"), edges(F.col("geom")))
-    held = pairs.join(counts.filter("status = 'OK'").select("point_id"), "point_id").join(outlines, key)
-    good = held.filter(point_covered(F.col("x").cast("double"), F.col("y").cast("double"), F.col("_outline")))
+    more = F.broadcast(polygons.drop("geom")) if small else polygons.drop("geom")
+    in_box = _within(F.col("x").cast("double"), F.col("y").cast("double"))
+    pairs = points_in_tiles(points, tiles, more, in_box if condition is None else in_box & condition, ("name",))
+    pairs = pairs.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("point_id")))
+    good = pairs.filter(F.col("covered") & (F.col("candidates") <= max_candidates))
     found = top_k(good, ["point_id"], order_keys(), limit).select("point_id", "layer_id", "object_id", "name", "rank", F.lit("OK").alias("status"))
     none = F.lit(None).cast("string")
-    refused = counts.filter("status <> 'OK'").select("point_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), "status")
-    return found.unionByName(refused)
-
-
-def relate_areas(sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot_mode: str = "same", max_candidates: int | None = None, layer_ids: list[str] | None = None, condition: Column | None = None) -> DataFrame:
+    refused = pairs.filter(F.col("candidates") > max_candidates).select("point_id").distinct()
+    return found.unionByName(refused.select("point_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), F.lit("COST_LIMIT_EXCEEDED").alias("status")))
+
+
+#: Of a source's candidates in order, so many times the limit are tested first, and each further batch is so many times as large as all before.
+FIRST, GROWTH = 2, 4
+_OURS, _THEIRS = ["source_layer", "source_id", "source_snapshot"], list(KEY)
+_FIRSTS = "transform(geom.parts, p -> get(get(p, 0), 0))"
+
+
+class _Side:
+    """One side of a relation, written once: levels and sizes, runs and cells of segments, tiles, and a position of each component."""
+
+    def __init__(self, held: DataFrame, by: list[str], tag: str):
+        named = dict(zip(KEY, by))
+        levels = written(tile_levels(held.select(*KEY, *BOX, "geom")).withColumn("n", vertex_count(F.col("geom"))), "levels")
+        own = levels.withColumnsRenamed(named)
+        self.by = by
+        facts = own.select(*by, *(F.col(c).alias(f"_{tag}{c}") for c in (*BOX, "level", "n")))
+        self.facts = F.broadcast(facts) if facts.count() <= SENT_BOXES else facts
+        self.runs, self.cells = written(runs_of(own, by), "runs"), written(cells_of(own, by), "cells")
+        self.tiles = written(tile_areas(levels.drop("level", "n")).withColumnsRenamed(named), "tiles")
+        self.firsts = own.select(*by, F.explode(F.expr(_FIRSTS)).alias("p")).select(*by, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+def _meeting(pairs: DataFrame, ours: _Side, theirs: _Side) -> DataFrame:
+    """Pairs of areas or lines that share a point: their segments do, or a component of one lies in the other."""
+    known = pairs.join(ours.facts, ours.by).join(theirs.facts, theirs.by)
+    edge = {"_x": ("greatest", "min_x"), "_y": ("greatest", "min_y"), "_to_x": ("least", "max_x"), "_to_y": ("least", "max_y")}
+    known = known.withColumns({c: getattr(F, f)(F.col(f"_a{b}"), F.col(f"_b{b}")) for c, (f, b) in edge.items()})
+    box, few = ["_x", "_y", "_to_x", "_to_y"], F.col("_an") <= F.col("_bn")
+    both = [*ours.by, *theirs.by]
+    found = crossing_pairs(known.filter(few).select(*both, *box, F.col("_blevel").alias("level")), ours.runs, theirs.cells, ours.by, theirs.by)
+    found = found.unionByName(crossing_pairs(known.filter(~few).select(*both, *box, F.col("_alevel").alias("level")), theirs.runs, ours.cells, theirs.by, ours.by))
+    for inner, outer, level in ((ours, theirs, "_blevel"), (theirs, ours, "_alevel")):
+        at = known.join(inner.firsts, inner.by).filter((F.col("x") >= F.col("_x")) & (F.col("x") <= F.col("_to_x")) & (F.col("y") >= F.col("_y")) & (F.col("y") <= F.col("_to_y")))
+        found = found.unionByName(positions_in_tiles(at.select(*both, "x", "y", F.col(level).alias("level")), outer.tiles, outer.by))
+    return found.distinct()
+
+
+def relate_areas(
+    sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot_mode: str = "same", max_candidates: int | None = None, layer_ids: list[str] | None = None, condition: Column | None = None, tested: bool = False
+) -> DataFrame:
     """Areas that share a point with each source area, itself excepted: the first ``limit`` by order, and a status.
 
     ``snapshot_mode`` same: both sides are of one snapshot; current: of any. Sources may have columns
     ``asked_snapshot`` (if it isn't null, both sides are of it, and a source of another one gives a row with
     status SNAPSHOT_MISMATCH) and ``asked_layers`` (an array; null or empty is refused as UNBOUNDED_SCAN_REFUSED).
     Sources with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED.
+
+    Candidates are ranked without geometries and tested in that order, in batches that grow, until a source has its
+    ``limit``; with ``tested``, a column says how many of a source's candidates were tested. A source and its areas meet by cells, where only
+    the segments of both in one cell are held against each other.
     """
-    own = ["source_layer", "source_id", "source_snapshot"]
+    own = _OURS
     asked = [c for c in ("asked_snapshot", "asked_layers") if c in sources.columns]
-    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), F.col("geom").alias("source_geom"), *BOX, *asked)
+    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), *BOX, *asked)
     other = (F.col("source_layer") != F.col("layer_id")) | (F.col("source_id") != F.col("object_id")) | (F.col("source_snapshot") != F.col("snapshot_id"))
     if snapshot_mode == "same":
         other = other & (F.col("source_snapshot") == F.col("snapshot_id"))
@@ -128,22 +169,38 @@ def relate_areas(sources: DataFrame, areas: DataFrame, limit: int = 20, snapshot
         other = other & condition
     held = areas if layer_ids is None else areas.filter(F.col("layer_id").isin(layer_ids))
     checked = left.withColumn("status", status)
-    key = ["layer_id", "object_id", "snapshot_id"]
     small = held.select("layer_id").count() <= SENT_BOXES
-    pairs = bbox_candidates(checked.filter("status = 'OK'").drop("source_geom", "status"), held.drop("geom"), other, small).select(*own, *key)
+    pairs = bbox_candidates(checked.filter("status = 'OK'").drop("status"), held.drop("geom"), other, small).select(*own, *_THEIRS, "name")
+    each = Window.partitionBy(*own)
+    ranked = pairs.withColumn("place", F.row_number().over(each.orderBy(*order_keys())))
+    ranked = written(ranked.withColumn("candidates", F.count(F.lit(1)).over(each)), "ranked")
     refused = checked.filter("status <> 'OK'").select(*own, "status")
     if max_candidates is not None:
-        counts = candidate_counts(pairs, own, max_candidates)
-        refused = refused.unionByName(counts.filter("status <> 'OK'").select(*own, "status"))
-        pairs = pairs.join(counts.filter("status = 'OK'").select(*own), own)
-    box = F.struct(*[F.col(c) for c in BOX])
-    ours = _outlines(left.withColumn("_box", box).withColumnRenamed("source_geom", "geom").select(*own, "_box", "geom"), outline(F.col("geom"))).withColumnsRenamed({"_outline": "_a", "_box": "_a_box"})
-    theirs = _outlines(held.withColumn("_box", box).select(*key, "name", "_box", "geom"), outline(F.col("geom"))).withColumnsRenamed({"_outline": "_b", "_box": "_b_box"})
-    shared = F.struct(*[(F.greatest if c.startswith("min") else F.least)(F.col(f"_a_box.{c}"), F.col(f"_b_box.{c}")).alias(c) for c in BOX])
-    found = pairs.join(ours, own).join(theirs, key).filter(outlines_meet(F.col("_a"), F.col("_b"), shared)).drop("_a", "_b", "_a_box", "_b_box")
-    found = top_k(found, own, order_keys(), limit).select("source_layer", "source_id", "layer_id", "object_id", "name", "rank", F.lit("OK").alias("status"))
+        refused = refused.unionByName(ranked.filter((F.col("place") == 1) & (F.col("candidates") > max_candidates)).select(*own, F.lit("COST_LIMIT_EXCEEDED").alias("status")))
+        ranked = ranked.filter(F.col("candidates") <= max_candidates)
+    # of both sides only what has a candidate is cut up
+    ours = _Side(sources.join(ranked.select(*(F.col(a).alias(b) for a, b in zip(own, KEY))).distinct(), list(KEY), "left_semi"), own, "a")
+    theirs = _Side(held.join(ranked.select(*KEY).distinct(), list(KEY), "left_semi"), _THEIRS, "b")
+    done, upto = 0, FIRST * limit
+    last = ranked.agg(F.max("place").alias("n")).first().n or 0
+    found, tests, satisfied = None, None, None
+    while done < last:
+        now = ranked.filter((F.col("place") > done) & (F.col("place") <= upto))
+        now = now if satisfied is None else now.join(satisfied, own, "left_anti")
+        hits = written(now.join(_meeting(now.select(*own, *_THEIRS), ours, theirs), [*own, *_THEIRS], "left_semi"), "hits")
+        counted = now.groupBy(*own).agg(F.count(F.lit(1)).alias("tested"))
+        found, tests = (hits, counted) if found is None else (found.unionByName(hits), tests.unionByName(counted))
+        satisfied = written(found.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select(*own), "satisfied")
+        done, upto = upto, upto * GROWTH
+    found = ranked.filter("false") if found is None else found
+    found = found.withColumn("rank", F.row_number().over(each.orderBy("place"))).filter(F.col("rank") <= limit)
     none = F.lit(None).cast("string")
-    return found.unionByName(refused.select("source_layer", "source_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), "status"))
+    shown = [F.col("source_layer"), F.col("source_id"), F.col("layer_id"), F.col("object_id"), F.col("name"), F.col("rank"), F.lit("OK").alias("status")]
+    empty = ["source_layer", "source_id", none.alias("layer_id"), none.alias("object_id"), none.alias("name"), F.lit(None).cast("int").alias("rank"), "status"]
+    if tested:
+        found = found.join(tests.groupBy(*own).agg(F.sum("tested").alias("tested")), own) if tests is not None else found.withColumn("tested", F.lit(0).cast("bigint"))
+        shown, empty = [*shown, F.col("tested")], [*empty, F.lit(0).cast("bigint").alias("tested")]
+    return found.select(*shown).unionByName(refused.select(*empty))
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, radius: float, limit: int = 10, max_candidates: int = 500) -> DataFrame:

@@ -100,6 +100,32 @@ def relate_areas_intersects(spark, sf_dir):
     return relate_areas(a, a).drop("status")
 
 
+@query(
+    "relate_areas_tested",
+    f"""WITH {fx.AREAS}, {RECTS}, c AS (
+  SELECT s.layer_id AS source_layer, s.object_id AS source_id, t.layer_id, t.object_id, row_number() OVER (PARTITION BY s.layer_id, s.object_id ORDER BY t.layer_id, lower(t.name), t.object_id) AS place
+  FROM a s JOIN a t ON (s.layer_id <> t.layer_id OR s.object_id <> t.object_id) AND s.cx - s.h <= t.cx + t.h AND t.cx - t.h <= s.cx + s.h AND s.cy - s.h <= t.cy + t.h AND t.cy - t.h <= s.cy + s.h
+), m AS (
+  SELECT DISTINCT c.* FROM c JOIN rects x ON x.layer_id = source_layer AND x.object_id = source_id JOIN rects y ON y.layer_id = c.layer_id AND y.object_id = c.object_id
+  WHERE x.x1 <= y.x2 AND y.x1 <= x.x2 AND x.y1 <= y.y2 AND y.y1 <= x.y2
+), g AS (
+  SELECT m.source_layer, m.source_id, m.place FROM m JOIN a s ON s.layer_id = source_layer AND s.object_id = source_id JOIN a t ON t.layer_id = m.layer_id AND t.object_id = m.object_id
+  WHERE NOT (s.k % 3 = 0 AND t.cx - t.h > s.cx - s.h // 2 - s.h // 4 AND t.cx + t.h < s.cx - s.h // 2 + s.h // 4 AND t.cy - t.h > s.cy - s.h // 2 - s.h // 4 AND t.cy + t.h < s.cy - s.h // 2 + s.h // 4)
+    AND NOT (t.k % 3 = 0 AND s.cx - s.h > t.cx - t.h // 2 - t.h // 4 AND s.cx + s.h < t.cx - t.h // 2 + t.h // 4 AND s.cy - s.h > t.cy - t.h // 2 - t.h // 4 AND s.cy + s.h < t.cy - t.h // 2 + t.h // 4)
+), third AS (
+  SELECT source_layer, source_id, place FROM g QUALIFY row_number() OVER (PARTITION BY source_layer, source_id ORDER BY place) = 3
+), n AS (SELECT source_layer, source_id, count(*) AS candidates FROM c GROUP BY ALL), h AS (SELECT source_layer, source_id, least(count(*), 3) AS hits FROM g GROUP BY ALL)
+SELECT source_layer, source_id, candidates, hits, least(candidates, CASE WHEN t.place IS NULL THEN candidates WHEN t.place <= 6 THEN 6 WHEN t.place <= 24 THEN 24 WHEN t.place <= 96 THEN 96 WHEN t.place <= 384 THEN 384 ELSE 1536 END) AS tested
+FROM n JOIN h USING (source_layer, source_id) LEFT JOIN third t USING (source_layer, source_id)""",
+)
+def relate_areas_tested(spark, sf_dir):
+    a = fx.areas(spark, sf_dir)
+    box = lambda tag: [F.col("layer_id").alias(f"{tag}_layer"), F.col("object_id").alias(f"{tag}_id"), "min_x", "min_y", "max_x", "max_y"]
+    pairs = bbox_candidates(a.select(*box("source")), a.select(*box("other"))).filter("source_layer <> other_layer OR source_id <> other_id").groupBy("source_layer", "source_id").agg(F.count(F.lit(1)).alias("candidates"))
+    hits = relate_areas(a, a, limit=3, tested=True).groupBy("source_layer", "source_id").agg(F.count(F.lit(1)).alias("hits"), F.max("tested").alias("tested"))
+    return pairs.join(hits, ["source_layer", "source_id"])
+
+
 @query(
     "relate_lines_to_areas",
     f"""WITH {fx.AREAS}, v AS (

@@ -30,6 +30,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back: its lineage ends there, so lost executors cost no more than a stage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, root: str, snapshot_id: int, violations: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stage, check and publish one snapshot's rows: a row with status, records, error and path.
 
