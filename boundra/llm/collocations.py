@@ -36,9 +36,9 @@ SHARD = 1 << 19
 CHUNK = 4 << 20
 #: Longer words are told by their SHA-256 in the broadcast dictionary.
 WORD_BYTES = 64
-#: Pairs or classes that a task holds before it passes them on.
-HELD = 1 << 21
-#: Hash classes: one for 32 words, in these bounds; a bit each is broadcast.
+#: Occurrences of pairs or classes that a task holds before it passes them on, and rows of a batch of these.
+HELD, _ROWS = 1 << 21, 1 << 16
+#: Hash classes: one or two for 64 words, in these bounds; a bit each is broadcast.
 CLASS_BITS = 16, 28
 LONGEST = 5
 
@@ -219,22 +219,28 @@ def _neighbours(batch: pa.RecordBatch, i: int, length: int) -> np.ndarray:
 
 
 def _class_of(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _tallied(batches: Iterator[pa.RecordBatch], keys_of, emit) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of all rows of a task with their counts, held in bounded number."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Distinct keys of a task's rows with their counts, for each ``HELD`` occurrences, in batches of bounded size."""
+
+    def out(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        for first in range(0, len(keys), _ROWS):
+            yield emit(keys[first : first + _ROWS], counts[first : first + _ROWS])
+
+    waiting, held = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            more, n = np.unique(keys_of(batch, i), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) >= HELD:
-                yield emit(keys, counts)
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(keys):
-        yield emit(keys, counts)
+            waiting.append(keys_of(batch, i))
+            held += len(waiting[-1])
+            if held >= HELD:
+                yield from out(waiting)
+                waiting, held = [], 0
+    if held:
+        yield from out(waiting)
+    waiting = []
     give_back()
 
 
@@ -242,11 +248,11 @@ def _heavy_classes(texts: DataFrame, length: int, least: int, bits: int) -> np.n
     """A bit for each hash class whose phrases of ``length`` words occur ``least`` times in all."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["class", "n"])
+        emit = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts, pa.int64())], names=["class", "n"])
         return _tallied(batches, lambda batch, i: _class_of(_neighbours(batch, i, length), bits), emit)
 
-    sums = texts.select("ids", "marks").mapInArrow(classes, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    packed = sums.groupBy(F.shiftright("class", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(class & 7 AS INT)))").alias("bits")).toArrow()
+    sums = texts.select("ids", "marks").mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    packed = sums.groupBy(F.shiftright("class", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, class & 7))").alias("bits")).toArrow()
     heavy = np.zeros(1 << max(0, bits - 3), np.uint8)
     heavy[np.asarray(packed.column(0), np.int64)] = np.asarray(packed.column(1), np.int64)
     return heavy
@@ -333,7 +339,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST)
     key = F.when(F.length("word") <= WORD_BYTES, F.col("word")).otherwise(F.concat(F.unhex(F.lit("20")), F.unhex(F.sha2("word", 256))))
     vocabulary = numbered(words.withColumn("key", key), "vocabulary")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(int(n // 32).bit_length(), CLASS_BITS[0]), CLASS_BITS[1])
+    bits = min(max(int(n // 64).bit_length(), CLASS_BITS[0]), CLASS_BITS[1])
     texts = encode(chunks, vocabulary)
     frequent = vocabulary.select("number", F.array("number").alias("ids"), "f")
     frequent.rows = vocabulary.rows
