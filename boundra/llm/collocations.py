@@ -38,8 +38,8 @@ CHUNK = 4 << 20
 WORD_BYTES = 64
 #: Occurrences of pairs or classes that a task holds before it passes them on, and rows of a batch of these.
 HELD, _ROWS = 1 << 21, 1 << 16
-#: Hash classes: one or two for 64 words, in these bounds; a bit each is broadcast.
-CLASS_BITS = 16, 28
+#: Phrases are told apart by so many bits before they are candidates; a bit for each class is broadcast, 16 MB.
+CLASS_BITS = 27
 LONGEST = 5
 
 _FORM = bytearray(range(256))
@@ -244,24 +244,26 @@ def _tallied(batches: Iterator[pa.RecordBatch], keys_of, emit) -> Iterator[pa.Re
     give_back()
 
 
-def _heavy_classes(texts: DataFrame, length: int, least: int, bits: int) -> np.ndarray:
+def _heavy_classes(texts: DataFrame, length: int, least: int) -> np.ndarray:
     """A bit for each hash class whose phrases of ``length`` words occur ``least`` times in all."""
 
+    bits = CLASS_BITS
+
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts, pa.int64())], names=["class", "n"])
         return _tallied(batches, lambda batch, i: _class_of(_neighbours(batch, i, length), bits), emit)
 
     sums = texts.select("ids", "marks").mapInArrow(classes, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    packed = sums.groupBy(F.shiftright("class", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, class & 7))").alias("bits")).toArrow()
-    heavy = np.zeros(1 << max(0, bits - 3), np.uint8)
+    packed = sums.groupBy(F.shiftright("class", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, class & 63))").alias("bits")).toArrow()  # a row for 64 classes
+    heavy = np.zeros(1 << max(0, bits - 6), np.int64)
     heavy[np.asarray(packed.column(0), np.int64)] = np.asarray(packed.column(1), np.int64)
     return heavy
 
 
-def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int, bits: int) -> DataFrame:
+def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
     """Numbered phrases of ``length`` words, ``ids``, that may occur ``least`` times: no frequent one is missing."""
     sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(_heavy_classes(texts, length, least, bits))
+    shared, bits = sc.broadcast(_heavy_classes(texts, length, least)), CLASS_BITS
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shared.value
@@ -269,7 +271,7 @@ def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int, b
         def keys_of(batch, i):
             found = _neighbours(batch, i, length)
             c = _class_of(found, bits)
-            return found[heavy[c >> 3] >> (c & 7) & 1 > 0]
+            return found[heavy[c >> 6] >> (c & 63) & 1 > 0]
 
         emit = lambda keys, _: pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32))], names=["beginning", "last"])
         return _tallied(batches, keys_of, emit)
@@ -338,8 +340,6 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST)
     words = chunks.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).filter(F.col("f") >= least)
     key = F.when(F.length("word") <= WORD_BYTES, F.col("word")).otherwise(F.concat(F.unhex(F.lit("20")), F.unhex(F.sha2("word", 256))))
     vocabulary = numbered(words.withColumn("key", key), "vocabulary")
-    n = totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(int(n // 64).bit_length(), CLASS_BITS[0]), CLASS_BITS[1])
     texts = encode(chunks, vocabulary)
     frequent = vocabulary.select("number", F.array("number").alias("ids"), "f")
     frequent.rows = vocabulary.rows
@@ -347,7 +347,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST)
     for length in range(2, longest + 1):
         if not frequent.rows:
             break
-        offered = candidates(texts, frequent, length, least, bits)
+        offered = candidates(texts, frequent, length, least)
         if not offered.rows:
             break
         counts = count_phrases(texts, offered).filter(F.col("n") >= least)

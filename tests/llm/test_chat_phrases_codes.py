@@ -111,12 +111,12 @@ def phrase_rows():
     return rows + [("en", None), ("en", ""), ("en", " \t\n.,"), ("fr", "one")] + [("de", "same phrase again and again")] * 12 + [("en", "deep in the heart of. " * 2000 + "y" * 50_000)]
 
 
-@pytest.mark.parametrize("shard, chunk, bits", [(1 << 19, 4 << 20, 16), (7, 3000, 3)])
+@pytest.mark.parametrize("shard, chunk, bits", [(1 << 19, 4 << 20, 27), (7, 3000, 3)])
 def test_phrases_by_brute_force(spark, monkeypatch, shard, chunk, bits):
     """Also with several passes for dictionary and tries, texts cut into chunks, and classes that tell little apart."""
     monkeypatch.setattr(collocations, "SHARD", shard)
     monkeypatch.setattr(collocations, "CHUNK", chunk)
-    monkeypatch.setattr(collocations, "CLASS_BITS", (bits, bits))
+    monkeypatch.setattr(collocations, "CLASS_BITS", bits)
     rows = phrase_rows() if shard > 7 else phrase_rows()[:120] + phrase_rows()[-5:]
     least = 10 if shard > 7 else 25
     df = spark.createDataFrame([(*x, 1, "w") for x in rows], "lang string, text string, number int, words string").repartition(3)
