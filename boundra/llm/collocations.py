@@ -170,7 +170,7 @@ def _beside(marked: np.ndarray) -> np.ndarray:
 
 
 def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """ids, marks (binary, int32): texts as numbers of frequent words, one pass for SHARD words; marks of words are their numbers."""
+    """ids, marks (binary, int32): texts as numbers of frequent words, one pass for SHARD words; marks are null, as a word's mark is its number."""
     sc = chunks.sparkSession.sparkContext
 
     def pass_of(shared, last):
@@ -191,8 +191,7 @@ def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
                     text = np.concatenate([[0], ids]).astype(np.int32)[np.frombuffer(codes.as_py(), np.int32)]
                     text, _ = _kept(text, _beside(text > 0))
                     if len(text):
-                        raw = pa.array([text.tobytes()], pa.binary())
-                        yield pa.RecordBatch.from_arrays([raw, raw], names=["ids", "marks"])
+                        yield pa.RecordBatch.from_arrays([pa.array([text.tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["ids", "marks"])
             give_back()
 
         return look_up
@@ -206,14 +205,15 @@ def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
         shared, last, old = sc.broadcast(book), number == len(parts) - 1, step
         done = step.mapInArrow(pass_of(shared, last), "ids binary, marks binary" if last else "lang string, words array<binary>, codes binary, ids array<int>")
         step = materialise(done, "texts")
-        discard(old)
+        discard(chunks if number == 0 else old)
         shared.unpersist()
     return step
 
 
 def _neighbours(batch: pa.RecordBatch, i: int, length: int) -> np.ndarray:
     """Places of phrases of ``length`` words with a frequent beginning and end: the beginning's number and the last word's."""
-    ids, marks = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in range(2))
+    ids, marks = np.frombuffer(batch.column(0)[i].as_py(), np.int32), batch.column(1)[i].as_py()
+    marks = ids if marks is None else np.frombuffer(marks, np.int32)
     at = np.flatnonzero((marks[:-1] > 0) & (marks[1:] > 0))
     return marks[at].astype(np.int64) << 32 | ids[at + length - 1]
 
@@ -223,24 +223,35 @@ def _class_of(pairs: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _tallied(batches: Iterator[pa.RecordBatch], keys_of, emit) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of a task's rows with their counts, for each ``HELD`` occurrences, in batches of bounded size."""
+    """Distinct keys of a task's rows with their counts, at most about ``HELD`` at once, in batches of bounded size."""
 
-    def out(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+    def out() -> Iterator[pa.RecordBatch]:
         for first in range(0, len(keys), _ROWS):
             yield emit(keys[first : first + _ROWS], counts[first : first + _ROWS])
 
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        more, n = np.unique(np.concatenate(waiting), return_counts=True)
+        if not len(keys):
+            return more, n
+        both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        return both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     waiting, held = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
             waiting.append(keys_of(batch, i))
             held += len(waiting[-1])
             if held >= HELD:
-                yield from out(waiting)
+                keys, counts = merged()
                 waiting, held = [], 0
+                if len(keys) > HELD // 2:
+                    yield from out()
+                    keys, counts = keys[:0], counts[:0]
     if held:
-        yield from out(waiting)
-    waiting = []
+        keys, counts = merged()
+    yield from out()
+    del keys, counts, waiting
     give_back()
 
 
@@ -276,7 +287,9 @@ def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int) -
         emit = lambda keys, _: pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32))], names=["beginning", "last"])
         return _tallied(batches, keys_of, emit)
 
-    found = texts.select("ids", "marks").mapInArrow(pairs, "beginning int, last int").distinct()
+    # in few tasks, as each gives every candidate that it sees; what a task holds is bounded anyway
+    few = texts.select("ids", "marks").coalesce(2 * sc.defaultParallelism)
+    found = few.mapInArrow(pairs, "beginning int, last int").distinct()
     out = numbered(found.join(frequent.select("number", "ids"), F.col("beginning") == F.col("number")).select(F.concat("ids", F.array("last")).alias("ids")), "candidates")
     shared.unpersist()
     return out
@@ -315,8 +328,8 @@ def mark(texts: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
             trie, numbers = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids, before = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in range(2))
-                    marks = np.zeros_like(ids) if first else before.copy()
+                    ids = np.frombuffer(batch.column(0)[i].as_py(), np.int32)
+                    marks = np.zeros_like(ids) if first else np.frombuffer(batch.column(1)[i].as_py(), np.int32).copy()
                     at, rows = trie.walk(ids)
                     marks[at] = numbers[rows]
                     if last:
