@@ -8,9 +8,11 @@ from boundra.operators.catalog import layers_table
 from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
 from boundra.sources import gml
+from boundra.sources.publication import publish_snapshots, read_snapshots, read_table
 from boundra.sources.storage import export_geojson, publish, shared_path, write_address_partitions, write_snapshot
 from boundra.sources.wkb import decode_wkb, encode_wkb, simplify_layer
 from boundra.streaming.ingest import incremental_ingest
+from boundra.streaming.packages import ingest_packages
 
 
 @query(
@@ -157,3 +159,54 @@ def q_incremental_ingest(spark, sf_dir):
     incremental_ingest(spark, f"{root}/in", f"{root}/table", f"{root}/state", streets, manifest)
     runs = spark.read.parquet(f"{root}/table/runs")
     return runs.select("dataset_key", "records", "status", "error")
+
+
+_LINES = "lines AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def _lines(spark, sf_dir):
+    first = F.min(F.struct("l_partkey", "l_suppkey")).alias("s")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "s.l_partkey", "s.l_suppkey")
+
+
+@query(
+    "publication_versions",
+    f"""WITH {_LINES}
+SELECT CAST(l_suppkey % 4 + 1 AS BIGINT) AS snapshot_id, l_orderkey, l_linenumber, CASE WHEN l_suppkey % 4 = 1 THEN 'second' ELSE 'first' END AS edition, 'current:A0' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS dataset_key
+FROM lines WHERE l_suppkey % 4 < 2 OR (l_suppkey % 4 = 2 AND l_linenumber < 3)""",
+)
+def publication_versions(spark, sf_dir):
+    """Three snapshots, one of which is published anew; of the third, what came first stays as its second edition is wrong; a fourth never is right."""
+    rows = _lines(spark, sf_dir).select((F.col("l_suppkey") % 4 + 1).alias("snapshot_id"), "l_orderkey", "l_linenumber")
+    root = shared_path(spark, "publication")
+    check = lambda df: df.filter("(snapshot_id = 4 OR (snapshot_id = 3 AND edition = 'second')) AND l_linenumber >= 3").select("snapshot_id", F.lit("LINE").alias("code"))
+
+    def tables(report):
+        layer = F.concat(F.lit("A0"), F.col("snapshot_id").cast("string"))
+        return {"coverage": report.select(layer.alias("layer_id"), F.concat(F.lit("current:"), layer).alias("dataset_key"), F.lit(0).alias("archive_year"), F.lit("country").alias("scope_type"), F.lit("PL").alias("scope_code"), "snapshot_id", F.lit("complete").alias("completeness"))}
+
+    publish_snapshots(rows.filter("snapshot_id <> 3 OR l_linenumber < 3").withColumn("edition", F.lit("first")), root, tables, check)
+    publish_snapshots(rows.filter("snapshot_id IN (2, 3)").withColumn("edition", F.lit("second")), root, tables, check)
+    return read_snapshots(spark, root).join(read_table(spark, root, "coverage").select("snapshot_id", "dataset_key"), "snapshot_id").select("snapshot_id", "l_orderkey", "l_linenumber", "edition", "dataset_key")
+
+
+@query(
+    "package_ingest",
+    f"""WITH {_LINES}
+SELECT CAST(l_orderkey % 5 AS VARCHAR) AS dataset_key, CAST(l_orderkey % 5 + 1 AS BIGINT) AS snapshot_id, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS object_id FROM lines WHERE l_orderkey % 5 NOT IN (3, 4)""",
+)
+def package_ingest(spark, sf_dir):
+    """Datasets in three packages that land in three runs, some twice; one is wrong and one never whole."""
+    key = (F.col("l_orderkey") % 5).cast("string")
+    part = (F.col("l_linenumber") % 3).cast("string")
+    r = _lines(spark, sf_dir).select(
+        key.alias("dataset_key"), F.lit("address").alias("record_type"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("object_id"), F.when(key == "3", "EPSG:4326").otherwise("EPSG:2180").alias("crs"), F.col("l_partkey").cast("string").alias("street_id"),
+        F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(1.0).alias("max_x"), F.lit(1.0).alias("max_y"), F.concat_ws("/", key, part).alias("package_id"), part.alias("part"),
+    )
+    base = shared_path(spark, "packages")
+    streets = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("object_id"))
+    manifest = r.groupBy("dataset_key").agg((F.count(F.lit(1)) + F.when(F.first("dataset_key") == "4", 1).otherwise(0)).alias("expected")).select("dataset_key", "expected", (F.col("dataset_key").cast("bigint") + 1).alias("snapshot_id"), F.concat(F.lit("A0"), "dataset_key").alias("layer_id"))
+    for now in ("part = '0'", "part = '1' OR (part = '0' AND dataset_key = '2')", "part = '2' OR (part = '1' AND dataset_key = '1')"):
+        r.filter(now).drop("part").repartition("package_id").write.mode("append").parquet(f"{base}/in")
+        ingest_packages(spark, f"{base}/in", f"{base}/root", f"{base}/state", streets, manifest)
+    return read_snapshots(spark, f"{base}/root").select("dataset_key", "snapshot_id", "object_id")
