@@ -271,6 +271,11 @@ def _heavy_classes(texts: DataFrame, length: int, least: int) -> np.ndarray:
     return heavy
 
 
+def _few(texts: DataFrame) -> DataFrame:
+    """Texts in as few tasks as keep all cores busy: each gives a row for every candidate it sees, and holds no more for having more texts."""
+    return texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
     """Numbered phrases of ``length`` words, ``ids``, that may occur ``least`` times: no frequent one is missing."""
     sc = texts.sparkSession.sparkContext
@@ -287,9 +292,7 @@ def candidates(texts: DataFrame, frequent: DataFrame, length: int, least: int) -
         emit = lambda keys, _: pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32))], names=["beginning", "last"])
         return _tallied(batches, keys_of, emit)
 
-    # in few tasks, as each gives every candidate that it sees; what a task holds is bounded anyway
-    few = texts.select("ids", "marks").coalesce(2 * sc.defaultParallelism)
-    found = few.mapInArrow(pairs, "beginning int, last int").distinct()
+    found = _few(texts.select("ids", "marks")).mapInArrow(pairs, "beginning int, last int").distinct()
     out = numbered(found.join(frequent.select("number", "ids"), F.col("beginning") == F.col("number")).select(F.concat("ids", F.array("last")).alias("ids")), "candidates")
     shared.unpersist()
     return out
@@ -311,7 +314,7 @@ def count_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(numbers[seen]), pa.array(total[seen])], names=["number", "n"])
             give_back()
 
-        sums = materialise(texts.select("ids").mapInArrow(count, "number int, n long").groupBy("number").agg(F.sum("n").alias("n")), "counts")
+        sums = materialise(_few(texts.select("ids")).mapInArrow(count, "number int, n long").groupBy("number").agg(F.sum("n").alias("n")), "counts")
         shared.unpersist()
         out = sums if out is None else out.unionByName(sums)
     return out
