@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boundra.functions.ids import VOIVODESHIPS, decode_id, encode_id
-from boundra.operators.spatial import top_k
+from boundra.sources.storage import written
 
 #: The extent of the register in EPSG:2180 and the parts of a shape file set.
 EXTENT = (-50000.0, -100000.0, 1100000.0, 1100000.0)
@@ -135,7 +135,6 @@ def page_after(df: DataFrame, keys: list[str], after: list[Column], limit: int,
     return df.filter(here > there).orderBy(*keys).limit(limit).withColumn("status", F.lit("OK"))
 
 
-CURSORS = 1000
 CURSOR = "snapshot_version string, offset bigint, sort_key array<string>"
 
 
@@ -144,24 +143,44 @@ def encode_cursor(version: Column, offset: Column, sort_key: list[Column]) -> Co
     return encode_id(snapshot_version=version, offset=offset.cast("bigint"), sort_key=F.array(*[k.cast("string") for k in sort_key]))
 
 
-def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int, version: str) -> DataFrame:
-    """The next ``limit`` rows for each of few requests (request_id, cursor), with rank, status and next_cursor.
+def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int, version: str, verify: bool = False) -> DataFrame:
+    """The next ``limit`` rows for each request (request_id, cursor), with place, status and next_cursor.
 
-    A null cursor begins; one of another version gives one row with CURSOR_STALE, one that is none INVALID_CURSOR.
-    ``next_cursor`` stands in the last row of a full page. At most CURSORS requests are answered at once: they are
-    sent to all tasks, each task keeps its first ``limit`` rows of each, and no other rows of ``df`` are moved.
+    A null cursor begins; one of another version gives one row with CURSOR_STALE, one that is none INVALID_CURSOR; with ``verify``,
+    CURSOR_STALE also if not as many rows as it says go before it. ``next_cursor`` stands in the last row of a full page.
+
+    Rows and cursors are put in one order, by ranges. Rows are counted in their range, and sums of the ranges before give each its place;
+    a cursor's place says which rows are its page, and both meet by the page's number. A row moves twice, however many cursors there are.
     """
-    if cursors.count() > CURSORS:
-        raise ValueError(f"more than {CURSORS} cursors at once")
+    spark = df.sparkSession
     c = cursors.withColumn("_c", decode_id(F.col("cursor"), CURSOR))
     good = F.col("cursor").isNull() | (F.col("_c.snapshot_version").isNotNull() & F.col("_c.offset").isNotNull() & (F.size("_c.sort_key") == len(keys)))
     c = c.withColumn("status", F.when(~F.coalesce(good, F.lit(False)), "INVALID_CURSOR").when(F.col("_c.snapshot_version") != version, "CURSOR_STALE").otherwise("OK"))
-    asked = c.filter("status = 'OK'").select("request_id", F.coalesce("_c.offset", F.lit(0).cast("bigint")).alias("_offset"), F.when(F.col("cursor").isNotNull(), F.struct(*[F.get("_c.sort_key", k).try_cast(df.schema[n].dataType).alias(n) for k, n in enumerate(keys)])).alias("_after"))
-    rows = df.join(F.broadcast(asked), F.col("_after").isNull() | (F.struct(*[F.col(k) for k in keys]) > F.col("_after")))
-    page = top_k(rows, ["request_id"], [F.col(k) for k in keys], limit)
-    following = F.when(F.col("rank") == limit, encode_cursor(F.lit(version), F.col("_offset") + limit, [F.col(k) for k in keys]))
-    page = page.select("request_id", *df.columns, (F.col("_offset") + F.col("rank")).alias("place"), F.lit("OK").alias("status"), following.alias("next_cursor"))
-    return page.unionByName(c.filter("status <> 'OK'").select("request_id", "status"), allowMissingColumns=True)
+    begin = c.filter("status = 'OK' AND cursor IS NULL").select("request_id", F.lit(0).cast("bigint").alias("_offset"), F.lit(0).cast("bigint").alias("_before"))
+    after = c.filter("status = 'OK' AND cursor IS NOT NULL").select(*[F.get("_c.sort_key", k).try_cast(df.schema[n].dataType).alias(n) for k, n in enumerate(keys)], F.struct("request_id", F.col("_c.offset").alias("offset")).alias("_asked"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = df.withColumn("_row", F.struct(*df.columns)).select(*keys, "_row").unionByName(after, allowMissingColumns=True).withColumn("_last", F.col("_asked").isNotNull())
+    ordered = both.repartitionByRange(n, *keys, "_last").sortWithinPartitions(*keys, "_last")
+    ordered = written(ordered.select("_row", "_asked", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ordered")
+    counts = {r["_part"]: r.n for r in ordered.groupBy("_part").agg(F.count("_row").alias("n")).collect()}  # one row a range
+    sums, total = [], 0
+    for part in sorted(counts):
+        sums.append((part, total))
+        total += counts[part]
+    placed = ordered.withColumn("_n", F.count("_row").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = placed.join(F.broadcast(spark.createDataFrame(sums, "_part int, _sum bigint")), "_part").withColumn("_place", F.col("_n") + F.col("_sum"))
+    asked = begin.unionByName(placed.filter("_asked IS NOT NULL").select("_asked.request_id", F.col("_asked.offset").alias("_offset"), F.col("_place").alias("_before")))
+    wrong = c.filter("status <> 'OK'").select("request_id", "status")
+    if verify:
+        wrong = wrong.unionByName(asked.filter("_offset <> _before").select("request_id", F.lit("CURSOR_STALE").alias("status")))
+        asked = asked.filter("_offset = _before")
+    page = lambda place: F.floor((place - 1) / limit).cast("bigint")
+    spread = asked.withColumn("_page", F.explode(F.array_distinct(F.array(page(F.col("_before") + 1), page(F.col("_before") + limit)))))
+    rows = placed.filter("_row IS NOT NULL").select("_row", "_place", page(F.col("_place")).alias("_page"))
+    met = spread.join(rows, "_page").filter((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + limit)).withColumn("rank", (F.col("_place") - F.col("_before")).cast("int"))
+    following = F.when(F.col("rank") == limit, encode_cursor(F.lit(version), F.col("_offset") + limit, [F.col(f"_row.{k}") for k in keys]))
+    out = met.select("request_id", *[F.col(f"_row.{x}").alias(x) for x in df.columns], (F.col("_offset") + F.col("rank")).alias("place"), F.lit("OK").alias("status"), following.alias("next_cursor"))
+    return out.unionByName(wrong, allowMissingColumns=True)
 
 
 def read_page_files(spark: SparkSession, path: str, most_bytes: int) -> tuple[DataFrame, DataFrame]:

@@ -117,32 +117,43 @@ TEXTS = {"locality": "locality_name", "street": "street_name", "number": "buildi
 FIELDS = ["street_id", "locality_id", *TEXTS, "municipality_code"]
 
 
+def structured_matches(requests: DataFrame, addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is asked (request_id, mask, key), and addresses by it: mask, key, shard, object_id, names.
+
+    The asked-for fields of a request, its shard among them, are a mask, and their values one key. Addresses are keyed
+    for the masks in use, of which there are few, so one equi-join holds all fields and gives nothing but matches.
+    """
+    n = lambda c: F.coalesce(normalize_polish(F.col(c)), F.lit(""))
+    fields = [f for f in FIELDS if f in requests.columns and (f in TEXTS or f in addresses.columns)]
+    asked = requests.select("request_id", *[(normalize_polish(F.col(f)) if f in TEXTS else F.col(f).cast("string")).alias(f) for f in fields], *([F.explode_outer(F.array_distinct("shards").cast("array<string>")).alias("_shard")] if "shards" in requests.columns else [F.lit(None).cast("string").alias("_shard")]))
+    if "shards" in requests.columns:  # an empty array bounds the search to nothing
+        asked = asked.join(requests.filter(F.size("shards") == 0).select("request_id"), "request_id", "left_anti")
+    fields = [*fields, "_shard"]
+    bit = lambda k: F.lit(1 << k)
+    mask = sum((F.when(F.col(f).isNotNull(), bit(k)).otherwise(F.lit(0)) for k, f in enumerate(fields)), F.lit(0))
+    # an address without an asked-for id is no match: its key is null
+    key = lambda value: F.when(F.forall(value, lambda v: v.isNotNull()), value)
+    asked = asked.withColumn("mask", mask).filter(F.col("mask").bitwiseAND((1 << (len(fields) - 1)) - 1) != 0)
+    asked = asked.select("request_id", "mask", F.filter(F.array(*fields), lambda v: v.isNotNull()).alias("key"))
+    own = [(n(TEXTS[f]) if f in TEXTS else F.col("shard").cast("string") if f == "_shard" else F.col(IDS[f]).cast("string")) for f in fields]
+    masks = F.array(*[F.lit(r["mask"]) for r in asked.select("mask").distinct().collect()]).cast("array<int>")
+    held = addresses.select("shard", "object_id", "locality_name", "street_name", "building_number", F.array(*own).alias("_values")).withColumn("mask", F.explode(masks))
+    values = F.transform(F.filter(F.transform("_values", lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda x: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), x["k"])) != 0), lambda x: x["v"])
+    return asked, held.withColumn("key", key(values)).drop("_values")
+
+
 def match_structured(requests: DataFrame, addresses: DataFrame, limit: int = 20) -> DataFrame:
     """Addresses equal in every asked-for field: request_id, shard, object_id, names, rank.
 
     Requests have any of FIELDS (a missing column or null asks nothing) and may have ``shards``, an array that bounds
-    where is searched. Texts are compared in search form, a missing one as the empty text; ids as they are. The first
-    asked-for field is the join key. Each shard gives its first ``limit`` rows by names without case; these are put in
-    Polish order and cut again.
+    where is searched. Texts are compared in search form, a missing one as the empty text; ids as they are. Requests that ask the same are
+    answered once. Each shard gives its first ``limit`` rows by names without case; these are put in Polish order and cut again.
     """
-    n = lambda c: F.coalesce(normalize_polish(F.col(c)), F.lit(""))
-    fields = [f for f in FIELDS if f in requests.columns and (f in TEXTS or f in addresses.columns)]
-    held = addresses.select("shard", "object_id", "locality_name", "street_name", "building_number", *[(n(TEXTS[f]) if f in TEXTS else F.col(IDS[f])).alias(f"a_{f}") for f in fields])
-    bounded = "shards" in requests.columns
-    asked = requests.select("request_id", *[(normalize_polish(F.col(f)) if f in TEXTS else F.col(f)).alias(f"q_{f}") for f in fields], *(["shards"] if bounded else []))
-    # one equi-join for each choice of first asked-for field
-    found = None
-    for k, key in enumerate(fields):
-        some = asked.filter(F.col(f"q_{key}").isNotNull() & (F.lit(True) if k == 0 else F.expr(" AND ".join(f"q_{f} IS NULL" for f in fields[:k]))))
-        on = F.col(f"q_{key}") == F.col(f"a_{key}")
-        for f in fields[k + 1 :]:
-            on = on & (F.col(f"q_{f}").isNull() | (F.col(f"q_{f}") == F.col(f"a_{f}")))
-        if bounded:
-            on = on & (F.col("shards").isNull() | F.array_contains("shards", F.col("shard")))
-        part = some.join(held, on).select("request_id", "shard", "object_id", "locality_name", "street_name", "building_number")
-        found = part if found is None else found.unionByName(part)
+    asked, held = structured_matches(requests, addresses)
     names = ("locality_name", "street_name", "building_number")
-    best = top_k(found, ["request_id", "shard"], [*[lower_ascii(F.coalesce(F.col(c), F.lit(""))) for c in names], F.col("object_id")], limit).drop("rank")
+    found = asked.select("mask", "key").distinct().join(held, ["mask", "key"])
+    best = top_k(found, ["mask", "key", "shard"], [*[lower_ascii(F.coalesce(F.col(c), F.lit(""))) for c in names], F.col("object_id")], limit).drop("rank")
+    best = asked.join(best, ["mask", "key"]).select("request_id", "shard", "object_id", *names)
     return top_k(best, ["request_id"], [*[polish(c) for c in (*names, "object_id")], F.col("object_id")], limit)
 
 

@@ -13,6 +13,48 @@ def valid_on(date: Column, valid_from: str = "valid_from", valid_to: str = "vali
     return (F.col(valid_from).isNull() | (F.col(valid_from) <= date)) & (F.col(valid_to).isNull() | (date <= F.col(valid_to)))
 
 
+#: Bits of the days that bins tell apart, counted from 1800-01-01; days before and after are in the first and last bin.
+DAY_BITS = 18
+
+
+def _day(date: Column) -> Column:
+    parsed = F.try_to_date(date, "yyyy-MM-dd")
+    return F.when(parsed.isNotNull(), F.greatest(F.least(F.datediff(parsed, F.lit("1800-01-01").cast("date")), F.lit((1 << DAY_BITS) - 1)), F.lit(0)))
+
+
+def _bins(first: Column, last: Column) -> Column:
+    """The fewest bins whose days are those from first to last: a bin of level k has 2**k days, and there are two a level at most."""
+    start = F.struct(first.cast("bigint").alias("a"), (last + 1).cast("bigint").alias("b"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("bins"))
+
+    def step(s: Column, k: Column) -> Column:
+        bin_ = lambda v: F.array(F.struct(k.cast("int").alias("level"), v.alias("bin")))
+        none = F.array().cast("array<struct<level:int,bin:bigint>>")
+        open_ = s["a"] < s["b"]
+        left = F.when(open_ & (s["a"] % 2 == 1), bin_(s["a"])).otherwise(none)
+        right = F.when(open_ & (s["b"] % 2 == 1), bin_(s["b"] - 1)).otherwise(none)
+        return F.struct(F.floor((s["a"] + 1) / 2).cast("bigint").alias("a"), F.floor(s["b"] / 2).cast("bigint").alias("b"), F.concat(s["bins"], left, right).alias("bins"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DAY_BITS)), start, step)["bins"]
+
+
+def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """Pairs of requests and versions of the same ``keys`` that are valid on the request's date: all columns of both.
+
+    ``versions`` has valid_from and valid_to, closed and open where null. Validity is laid on bins of days of doubling
+    lengths and a date on the one bin of each length, so that a pair meets once, by equality: a key of many versions and requests is many
+    keys, and no pair is made that isn't valid. A date or version that isn't in days of the calendar has no pairs.
+    """
+    day = _day(F.col(date))
+    spread = requests.filter(day.isNotNull()).withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(day / F.pow(F.lit(2.0), k)).cast("bigint").alias("bin")))))
+    first = F.when(F.col("valid_from").isNull(), F.lit(0)).otherwise(_day(F.col("valid_from")))
+    last = F.when(F.col("valid_to").isNull(), F.lit((1 << DAY_BITS) - 1)).otherwise(_day(F.col("valid_to")))
+    held = versions.filter(first <= last).withColumn("_b", F.explode(_bins(first, last)))
+    a = spread.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    b = held.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    exact = valid_on(F.col(date))  # days beyond the bins' ends
+    return a.join(b, [*keys, "_level", "_bin"]).drop("_level", "_bin").filter(exact)
+
+
 def current_snapshots(coverage: DataFrame, layers: DataFrame | None = None) -> DataFrame:
     """(layer_id, snapshot_id) of complete current country-wide coverage."""
     c = coverage.filter((F.col("dataset_key") == F.concat(F.lit("current:"), F.col("layer_id"))) & (F.col("archive_year") == 0) & (F.col("scope_type") == "country") & (F.col("scope_code") == "PL") & (F.col("completeness") == "complete"))

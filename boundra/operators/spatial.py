@@ -222,5 +222,58 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, limit:
     )
 
 
+#: What a request for the nearest gets if it doesn't say, and the most it may ask for.
+NEAR = {"radius": 500.0, "limit": 10, "max_candidates": 500}
+NEAR_MOST = {"radius": 10_000.0, "limit": 100, "max_candidates": 5000}
+
+
+def nearest_per_request(requests: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets (object_id, tx, ty, perhaps shard) near each request (point_id, x, y): the nearest by distance, then by Polish order of their ids; with a status.
+
+    Requests may have columns radius, limit, max_candidates (null: NEAR) and shards, an array that bounds where is searched. INVALID_INPUT,
+    RADIUS_LIMIT_EXCEEDED and CANDIDATE_LIMIT_EXCEEDED (more targets in the circle than ``max_candidates``) give one row.
+
+    Cells are a quarter to half as wide as a request's radius, so it sees a hundred at most. Targets are counted by cell first: where cells that lie
+    wholly in the circle already hold too many, no target is looked at; other requests meet the targets of cells that touch their circle.
+    """
+    asked = {c: (F.coalesce(F.col(c), F.lit(NEAR[c])) if c in requests.columns else F.lit(NEAR[c])) for c in NEAR}
+    bounded = "shards" in requests.columns and "shard" in targets.columns
+    r = requests.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *(v.alias(f"_{c}") for c, v in asked.items()), *(["shards"] if bounded else []))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    bad = ~finite("x") | ~finite("y") | F.isnan("_radius") | (F.col("_radius") <= 0) | (F.col("_radius") == float("inf")) | (F.col("_max_candidates") < 1) | (F.col("_max_candidates") > NEAR_MOST["max_candidates"]) | (F.col("_limit") < 1) | (F.col("_limit") > NEAR_MOST["limit"])
+    if bounded:
+        bad = bad | (F.size("shards") == 0)
+    r = r.withColumn("status", F.when(F.coalesce(bad, F.lit(False)), "INVALID_INPUT").when(F.col("_radius") > NEAR_MOST["radius"], "RADIUS_LIMIT_EXCEEDED").otherwise("OK"))
+    good = r.filter("status = 'OK'").drop("status").withColumn("_level", F.ceil(F.log2("_radius")).cast("int") - 2)
+    levels = F.array(*[F.lit(v.n) for v in good.select(F.col("_level").alias("n")).distinct().collect()]).cast("array<int>")  # radii double from one to the next
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    held = targets.withColumn("_level", F.explode(levels)).withColumns({"_cx": F.floor(F.col("tx") / side).cast("bigint"), "_cy": F.floor(F.col("ty") / side).cast("bigint")})
+    span = lambda c: F.sequence(F.floor((F.col(c) - F.col("_radius")) / side).cast("bigint"), F.floor((F.col(c) + F.col("_radius")) / side).cast("bigint"))
+    cells = good.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    low_x, low_y = F.col("_cx") * side, F.col("_cy") * side
+    far = lambda c, low: F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - low - side))
+    near = lambda c, low: F.greatest(low - F.col(c), F.col(c) - low - side, F.lit(0.0))
+    reach = F.col("_radius") * F.col("_radius")
+    cells = cells.filter(near("x", low_x) ** 2 + near("y", low_y) ** 2 <= reach * (1 + 1e-9)).withColumn("_in", far("x", low_x) ** 2 + far("y", low_y) ** 2 <= reach * (1 - 1e-9))
+    at = ["_level", "_cx", "_cy"]
+    by = [*at, "shard"] if bounded else at
+    sums = held.groupBy(*by).count()
+    counted = cells.filter("_in").join(sums, at)
+    if bounded:
+        counted = counted.filter(F.col("shards").isNull() | F.array_contains("shards", F.col("shard")))
+    many = counted.groupBy("point_id", "_max_candidates").agg(F.sum("count").alias("n")).filter(F.col("n") > F.col("_max_candidates")).select("point_id")
+    square = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
+    pairs = cells.join(many, "point_id", "left_anti").join(held, at).withColumn("square", square).filter(F.col("square") <= reach)
+    if bounded:
+        pairs = pairs.filter(F.col("shards").isNull() | F.array_contains("shards", F.col("shard")))
+    pairs = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("point_id")))
+    polish_id = F.collate(F.col("object_id").cast("string"), "pl")
+    best = top_k(pairs.filter(F.col("n") <= F.col("_max_candidates")), ["point_id"], [F.col("square"), polish_id, F.col("object_id")], F.col("_limit"))
+    found = best.select("point_id", "object_id", F.sqrt("square").alias("distance"), "rank", F.lit("OK").alias("status"))
+    late = pairs.filter(F.col("n") > F.col("_max_candidates")).select("point_id").distinct()
+    refused = r.filter("status <> 'OK'").select("point_id", "status").unionByName(many.unionByName(late).withColumn("status", F.lit("CANDIDATE_LIMIT_EXCEEDED")))
+    return found.unionByName(refused, allowMissingColumns=True)
+
+
 def dataset_bounds(areas: DataFrame) -> DataFrame:
     return areas.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))

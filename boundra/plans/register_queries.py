@@ -9,6 +9,7 @@ from boundra.functions.sql import register_functions
 from boundra.functions.text import normalize_polish
 from boundra.operators import coverage, lookup, quality
 from boundra.operators.search import match_structured, search_structured
+from boundra.operators.snapshots import as_of_join
 from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
 from boundra.sources import gml
@@ -197,6 +198,20 @@ def cursor_pages(spark, sf_dir):
     return quality.pages_after(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], asked, 10, "v2")
 
 
+@query(
+    "cursor_pages_many",
+    f"""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders)
+SELECT q.o_orderkey AS request_id, o.o_orderkey, o.o_custkey, q.o_orderkey + o.place - q.place AS place, 'OK' AS status,
+ CASE WHEN o.place = q.place + 7 THEN {_JSON_ID.format("""'{"snapshot_version":"v2","offset":' || CAST(q.o_orderkey + 7 AS VARCHAR) || ',"sort_key":["' || CAST(o.o_custkey AS VARCHAR) || '","' || CAST(o.o_orderkey AS VARCHAR) || '"]}'""")} END AS next_cursor
+FROM o q JOIN o ON o.place > q.place AND o.place <= q.place + 7""",
+)
+def cursor_pages_many(spark, sf_dir):
+    """The page after each order, for as many requests as there are orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    asked = o.select(F.col("o_orderkey").alias("request_id"), quality.encode_cursor(F.lit("v2"), F.col("o_orderkey"), [F.col("o_custkey"), F.col("o_orderkey")]).alias("cursor"))
+    return quality.pages_after(o, ["o_custkey", "o_orderkey"], asked, 7, "v2")
+
+
 def _written(spark, name: str, rows, tag: str, root: str):
     """Files of features as Spark's XML writer makes them, each a document of its own."""
     path = shared_path(spark, name)
@@ -342,3 +357,22 @@ def catalog_drift_parts(spark, sf_dir):
     actual = p.filter(k % 5 != 0).select(name.alias("name"), F.when(k % 7 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("title"), F.when(k % 11 != 2, F.col("p_brand")).alias("brand"))
     more = p.filter(k % 9 == 0).select(F.concat(name, F.lit("+")).alias("name"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"))
     return quality.catalog_drift(expected, actual.unionByName(more), ["title", "brand"])
+
+
+@query(
+    "as_of_versions",
+    """WITH v AS (
+  SELECT DISTINCT l_suppkey % 20 AS k, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS valid_from, CASE WHEN l_partkey % 50 > 0 THEN CAST(CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS VARCHAR) END AS valid_to FROM lineitem WHERE l_linenumber = 1
+), w AS (SELECT CASE WHEN k < 7 THEN 0 ELSE k END AS key, valid_from, valid_to FROM v),
+r AS (SELECT o_orderkey, CASE WHEN o_custkey % 20 < 7 THEN 0 ELSE o_custkey % 20 END AS key, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders)
+SELECT o_orderkey, count(*) AS versions, min(valid_from) AS oldest, max(valid_from) AS newest FROM r JOIN w ON r.key = w.key AND valid_from <= date AND (valid_to IS NULL OR date <= valid_to) GROUP BY o_orderkey""",
+)
+def as_of_versions(spark, sf_dir):
+    """Orders with the versions of their key on their date; one key has a third of both."""
+    hot = lambda c: F.when(F.col(c) % 20 < 7, 0).otherwise(F.col(c) % 20).alias("key")
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    ship = F.to_date("l_shipdate")
+    v = li.select((F.col("l_suppkey") % 20).alias("k"), ship.cast("string").alias("valid_from"), F.when(F.col("l_partkey") % 50 > 0, F.date_add(ship, F.col("l_quantity").cast("int")).cast("string")).alias("valid_to")).distinct()
+    r = table(spark, sf_dir, "orders").select("o_orderkey", hot("o_custkey"), F.to_date("o_orderdate").cast("string").alias("date"))
+    found = as_of_join(r, v.select(hot("k"), "valid_from", "valid_to"), ["key"])
+    return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("versions"), F.min("valid_from").alias("oldest"), F.max("valid_from").alias("newest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boundra.functions.crs import to_2180, to_4326
 from boundra.functions.geometry import centroid, validate_geometry, vertex_count
 from boundra.operators.snapshots import current_snapshots, filter_layers, select_snapshot, valid_on
-from boundra.operators.spatial import bbox_candidates, dataset_bounds, locate_points, nearest_within, relate_areas
+from boundra.operators.spatial import bbox_candidates, dataset_bounds, locate_points, nearest_per_request, nearest_within, relate_areas
 from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
 
@@ -211,6 +211,30 @@ def reverse_candidate_limit(spark, sf_dir):
     return _near(spark, sf_dir, 5)
 
 
+@query(
+    "nearest_per_request",
+    f"""WITH {fx.POINTS}, t AS (SELECT ['ą', 'a', 'b', 'ć', 'z', 'ż', 'ł', 'l'][point_id % 8 + 1] || CAST(point_id AS VARCHAR) AS object_id, point_id % 3 AS shard, x // 800 * 800 AS tx, y // 800 * 800 AS ty FROM (SELECT point_id, x + 1000000 AS x, y + 1000000 AS y FROM p)),
+q AS (SELECT point_id, x + 1000000 AS x, y + 1000000 AS y, CASE point_id % 7 WHEN 0 THEN 1.5 WHEN 1 THEN NULL WHEN 2 THEN 3000 WHEN 3 THEN 10000 WHEN 4 THEN 10001 WHEN 5 THEN -1 ELSE 1200 END AS radius,
+  CASE WHEN point_id % 11 = 0 THEN 101 WHEN point_id % 3 > 0 THEN 1 + point_id % 5 END AS most, CASE WHEN point_id % 4 = 1 THEN 12 END AS ceiling, CASE WHEN point_id % 6 = 2 THEN [0, 2] END AS shards FROM p),
+s AS (SELECT *, CASE WHEN radius <= 0 OR most > 100 THEN 'INVALID_INPUT' WHEN radius > 10000 THEN 'RADIUS_LIMIT_EXCEEDED' ELSE 'OK' END AS status FROM q),
+m AS (SELECT s.point_id, object_id, (x - tx) * (x - tx) + (y - ty) * (y - ty) AS square, most, ceiling FROM s JOIN t ON status = 'OK' AND (shards IS NULL OR list_contains(shards, shard)) AND abs(x - tx) <= 10000 AND abs(y - ty) <= 10000 AND (x - tx) * (x - tx) + (y - ty) * (y - ty) <= coalesce(radius, 500) * coalesce(radius, 500)),
+c AS (SELECT *, count(*) OVER (PARTITION BY point_id) AS n FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY square, object_id COLLATE pl) AS rank FROM c WHERE n <= coalesce(ceiling, 500))
+SELECT point_id, object_id, round(sqrt(square), 6) AS distance, rank, 'OK' AS status FROM r WHERE rank <= coalesce(most, 10)
+UNION ALL SELECT DISTINCT point_id, NULL, NULL, NULL, 'CANDIDATE_LIMIT_EXCEEDED' FROM c WHERE n > coalesce(ceiling, 500)
+UNION ALL SELECT point_id, NULL, NULL, NULL, status FROM s WHERE status <> 'OK'""",
+)
+def q_nearest_per_request(spark, sf_dir):
+    """Radius, limit, ceiling and shards of each request; targets stand on a grid, so many are equally near."""
+    p = fx.points(spark, sf_dir).select("point_id", (F.col("x") + 1_000_000).alias("x"), (F.col("y") + 1_000_000).alias("y"))
+    k = F.col("point_id")
+    letter = F.element_at(F.array(*[F.lit(c) for c in ("ą", "a", "b", "ć", "z", "ż", "ł", "l")]), (k % 8 + 1).cast("int"))
+    targets = p.select(F.concat(letter, k.cast("string")).alias("object_id"), (k % 3).cast("int").alias("shard"), (F.floor(F.col("x") / 800) * 800).alias("tx"), (F.floor(F.col("y") / 800) * 800).alias("ty"))
+    radius = F.when(k % 7 == 0, 1.5).when(k % 7 == 2, 3000.0).when(k % 7 == 3, 10000.0).when(k % 7 == 4, 10001.0).when(k % 7 == 5, -1.0).when(k % 7 == 6, 1200.0)
+    asked = p.select("point_id", "x", "y", radius.alias("radius"), F.when(k % 11 == 0, 101).when(k % 3 > 0, (1 + k % 5).cast("int")).alias("limit"), F.when(k % 4 == 1, 12).alias("max_candidates"), F.when(k % 6 == 2, F.array(F.lit(0), F.lit(2))).alias("shards"))
+    return nearest_per_request(asked, targets).withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "geometry_metrics",
     f"""WITH {fx.AREAS}, m AS (
