@@ -5,8 +5,9 @@ elements of the site's pages with that path are merged in it. For each node Spar
 pages its texts and its child sequences stand (copies of a page count once). The entropies of these counts give
 the importance of the node's content and of its presentation, as the share of different ones among all: 0 if
 all pages repeat one text, 1 if no text stands twice, about 1 / k if each stands on k pages. Branches of low
-importance outside a marked article are removed from each page, whatever they are called. Tags, classes and
-roles that say that a branch is no article decide besides, also where a site has too few pages to tell.
+importance outside a marked article are removed from each page, whatever they are called, and inside one those whose
+importance is small beside that of the site's article text. Tags, classes and roles that say that a branch is no
+article decide besides, also where a site has too few pages to tell.
 Counting groups by node and feature, so one huge site is spread over all tasks.
 """
 
@@ -26,7 +27,10 @@ from boundra.llm.common import at_most, bounded_batches, broadcast_if, materiali
 
 #: A node is dropped below this importance, if at least so many distinct pages, and half of the site, have it.
 IMPORTANCE, PAGES = 0.5, 8
-#: A longer path stands as its digest.
+#: In articles, a node is dropped below this part of the mean importance of the site's article text, weighed by length.
+WITHIN = 0.2
+#: A longer path stands as its digest; paths in an article begin with this mark.
+INSIDE = "\x01"
 PATH = 400
 #: Up to so many low nodes are sent to all tasks; more are joined by site.
 SENT = 200_000
@@ -40,6 +44,7 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"body", "br", "html", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CONTAINERS = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 WALLS = frozenset("table ul ol dl select article main section div body html td th".split())
 NO_TEXT = frozenset("head script style noscript template iframe svg math canvas object audio video textarea select button form nav footer aside dialog title xmp noembed noframes menu datalist".split())
 SURROUND = frozenset(
@@ -47,9 +52,23 @@ SURROUND = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+# fixed values: words of a class name that say that what it names isn't there, or how the page is laid out
+STATES = frozenset("has no not non without free off with".split())
 _PARTS = re.compile(r"[\W_]+")
 
 
+def _surrounds(tag: str, names: str, inside: bool) -> bool:
+    """Whether class, id or role say that an element is no article. In an article, text elements must have such a name and not just a part of it."""
+    if tag in ("html", "body") or not names.strip():
+        return False
+    exact = inside and tag not in CONTAINERS
+    for name in names.split():
+        parts = _PARTS.split(name)
+        if name in SURROUND or not exact and not STATES.intersection(parts) and any(x in SURROUND or x == "header" and not inside for x in parts):
+            return True
+    return False
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {n.lower(): html.unescape(v.strip("\"'")) for n, v in _ATTRIBUTE.findall(text)} if text.strip(" /\n\t\r") else {}
 
@@ -59,10 +78,12 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, str, bool]] = []  # path, surrounding, text, in an article
+        self.named: list[tuple[int, ...]] = []  # of each block: the elements around it whose names say that they are no article
+        self.held: Counter[int] = Counter()  # of these elements: articles that begin in them
         self.children: dict[str, list[str]] = {}  # path -> names of child elements, repeats folded
         self.text: list[str] = []
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, surrounding, in an article
-        self.articles = False
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]  # tag, path, surrounding, in an article, named elements
+        self.count = self.starts = 0  # elements, and articles that aren't in another
         self.open: Counter[str] = Counter()
         at, size = 0, len(source)
         while at < size:
@@ -84,6 +105,10 @@ class Page:
                 at = close.end() if close else size
                 self.end(tag)
         self.flush()
+        # a branch that holds all articles of the page is no surrounding, whatever its name; nor is an article without text one
+        all_of = {k for k, n in self.held.items() if n == self.starts}
+        self.blocks = [(path, hard or any(k not in all_of for k in named), text, inside) for (path, hard, text, inside), named in zip(self.blocks, self.named)]
+        self.articles = any(inside and not surrounding for _, surrounding, _, inside in self.blocks)
 
     def words(self, raw: str) -> None:
         if raw:
@@ -94,8 +119,9 @@ class Page:
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                tag, path, surrounding, inside = self.stack[-1]
+                _, path, surrounding, inside, named = self.stack[-1]
                 self.blocks.append((path, surrounding, text, inside))
+                self.named.append(named)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -110,10 +136,15 @@ class Page:
         known = _attributes(attributes)
         names = " ".join([known.get("class", ""), known.get("id", ""), known.get("role", "")]).lower()
         inside = parent[3] or tag in ("article", "main") or known.get("role") in ("main", "article")
-        marks = set(_PARTS.split(names)) if names.strip() else ()
-        hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "")
-        surrounding = parent[2] or tag in NO_TEXT or tag == "header" and not inside or hidden or any(m in SURROUND for m in marks) or "header" in marks and not inside
-        self.articles |= inside and not surrounding
+        hidden = tag not in ("html", "body") and ("hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", ""))
+        surrounding = parent[2] or tag in NO_TEXT or tag == "header" and not inside or hidden
+        named = parent[4]
+        if _surrounds(tag, names, inside):
+            self.count += 1
+            named = (*named, self.count)
+        if inside and not parent[3] and not surrounding:
+            self.starts += 1
+            self.held.update(parent[4])
         sign = ".".join([tag, *(re.sub(r"\d+", "0", x) for x in [*known.get("class", "").lower().split(), known.get("id", "").lower()] if x)])
         path = f"{parent[1]}/{sign}" if tag in BLOCKS else parent[1]
         if len(path) > PATH and path != parent[1]:
@@ -124,7 +155,7 @@ class Page:
                 folded.append(sign)
         if tag not in BLOCKS and tag in NO_TEXT:
             self.flush()
-        self.stack.append((tag, path, surrounding, inside))
+        self.stack.append((tag, path, surrounding, inside, named))
         self.open[tag] += 1
 
     def cut(self, k: int) -> None:
@@ -156,8 +187,8 @@ class Page:
                 return
 
     def main_text(self, low: frozenset[str] | set[str] = frozenset()) -> str:
-        """Text of the article, or of the whole page if none is marked, without low branches outside it and surroundings."""
-        return " ".join(text for path, surrounding, text, inside in self.blocks if (inside or path not in low) and not surrounding and (inside or not self.articles))
+        """Text of the article, or of the whole page if none is marked, without low branches and surroundings."""
+        return " ".join(text for path, surrounding, text, inside in self.blocks if not surrounding and (inside or not self.articles) and (INSIDE + path if inside else path) not in low)
 
 
 def host_of(column) -> F.Column:
@@ -165,14 +196,25 @@ def host_of(column) -> F.Column:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, share) once for each page; kind 0: presentation, 1: content, 2: the node has text."""
+    """(host, path, kind, feature, share) once for each page; kind 0: presentation, 1: content, 2: the node has text, 3: its length in an article."""
     for batch in pieces(batches, 1):
         hosts, paths, kinds, marks, shares = [], [], [], [], []
         for host, source, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             page = Page(source or "")
             rows = {(path, 0, xxhash.xxh64_intdigest(" ".join(names))) for path, names in page.children.items()}
-            rows |= {(path, 1, xxhash.xxh64_intdigest(text)) for path, _, text, _ in page.blocks}
-            rows |= {(path, 2, 1 << 63) for path, _, _, _ in page.blocks}
+            placed = [(INSIDE + path if inside else path, text) for path, _, text, inside in page.blocks]
+            rows |= {(path, 1, xxhash.xxh64_intdigest(text)) for path, text in placed}
+            rows |= {(path, 2, 1 << 63) for path, _ in placed}
+            lengths = Counter()
+            for (path, text), (_, surrounding, _, inside) in zip(placed, page.blocks):
+                if inside and not surrounding:
+                    lengths[path] += len(text)
+            for path, n in lengths.items():
+                hosts.append(host)
+                paths.append(path)
+                kinds.append(3)
+                marks.append(0)
+                shares.append(share * n)
             for path, kind, mark in rows:
                 hosts.append(host)
                 paths.append(path)
@@ -207,17 +249,22 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return (
         nodes.join(sites, "host")
         .groupBy("host", "path", "site")
-        .agg(of_kind(1, share).alias("content"), of_kind(0, share).alias("presentation"), F.coalesce(of_kind(2, total), F.lit(0)).alias("pages"))
-        .select("host", "path", "site", "pages", "content", "presentation", F.greatest("content", "presentation").alias("importance"))
+        .agg(of_kind(1, share).alias("content"), of_kind(0, share).alias("presentation"), F.coalesce(of_kind(2, total), F.lit(0)).alias("pages"), F.coalesce(of_kind(3, total), F.lit(0)).alias("length"))
+        .select("host", "path", "site", "pages", "content", "presentation", "length", F.greatest("content", "presentation").alias("importance"))
     )
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """host, path of the nodes with text that enough of their site's pages have and whose importance is low.
 
-    A site has no more of them than twice the nodes of its mean page, as half of the pages have each.
+    Outside articles, importance is low below IMPORTANCE; inside, below WITHIN of the mean of the site's article text, so that pages much
+    alike keep what they say, and what all of them repeat goes. A site has no more of them than twice the nodes of its mean page, as half of the pages have each.
     """
-    return tree.filter((F.col("pages") >= PAGES) & (F.col("pages") >= 0.5 * F.col("site")) & F.col("content").isNotNull() & (F.col("importance") < IMPORTANCE)).select("host", "path")
+    mean = tree.filter("length > 0").groupBy("host").agg((F.sum(F.col("content") * F.col("length")) / F.sum("length")).alias("mean"))
+    common = tree.filter((F.col("pages") >= PAGES) & (F.col("pages") >= 0.5 * F.col("site")) & F.col("content").isNotNull())
+    inside = F.col("path").startswith(INSIDE)
+    outer = common.filter(~inside & (F.col("importance") < IMPORTANCE)).select("host", "path")
+    return outer.unionByName(common.filter(inside).join(mean, "host").filter(F.col("content") < WITHIN * F.col("mean")).select("host", "path"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

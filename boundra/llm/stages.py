@@ -44,13 +44,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest id; one of rows that repeat it."""
+    """One document of each group of equal texts: the smallest id; one of rows that repeat it. Rows without an id all stay."""
     decided = materialise(exact_dedup(docs), "decided").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     decided = materialise(decided.filter("doc_id IS NOT NULL AND (NOT kept OR n > 1)"), "decided")
     left = _without(docs, decided.filter("NOT kept").select("doc_id"), docs["doc_id"])
     if decided.filter("kept").isEmpty():
         return left
-    return left.dropDuplicates(["doc_id", "text"])
+    # rows without an id are each their own
+    return left.withColumn("_own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "text", "_own"]).drop("_own")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ REVISIT_BYTES, RECORDS, FILE_BYTES = 1000, 4000, 64 << 20
 #: Records of each of these sizes and less go to files of their own, so that few long ones don't make all files short.
 SIZES = [16 << 10, 256 << 10, 4 << 20]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Where a url stands encoded that has control characters, or blanks at its ends.
+URL_FIELD = "WARC-Target-URI-Encoded"
+_UNFIT = r"[\x00-\x1f\x7f]|^\s|\s$|^$"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELDS = [("file", "string"), ("offset", "bigint"), ("next", "bigint"), ("record_id", "string"), ("record_type", "string"), ("url", "string"), ("refers_to", "string"), ("stated_digest", "string"), ("payload_bytes", "bigint"), ("payload_digest", "string")]
 _SCHEMA = ", ".join(f"{n} {t}" for n, t in _FIELDS)
@@ -34,7 +38,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the largest id are responses
     and the others revisit that id; smaller payloads are all responses. Repeated rows are records of
     their own. A row without an id is a record without a number and is never revisited by others. Ids
-    are percent-encoded, whatever is in them.
+    are percent-encoded, whatever is in them, the empty one too. A url that no header line can hold as it is stands
+    there without its control characters, and encoded in a field of its own, from which it is read back whole.
     A file holds at most ``records`` records and FILE_BYTES bytes, or a single longer record.
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -46,13 +51,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page>"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         F.lit(f"WARC-Date: {date}\r\n"),
         F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1f]", "%0A"))),
+        F.when(F.col("url").rlike(_UNFIT), line(URL_FIELD, F.url_encode("url"))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("html"))),
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), line("WARC-Refers-To", urn(F.col("keep"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -60,9 +66,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
     )
     value = F.concat(header, block, F.lit("\r\n\r")).alias("value")
-    # a record's bytes at most: a control character of the url becomes three, two ids and fixed lines come in addition
+    # a record's bytes at most: a byte of the url becomes three at most, and may stand there twice; two ids and fixed lines come in addition
     long = lambda c: F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("bigint")
-    bytes_of = lambda html: long(html) + 3 * long(F.col("url"))
+    bytes_of = lambda html: long(html) + 6 * long(F.col("url"))
     most = source.agg(F.max(bytes_of(F.col("html"))).alias("bytes"), F.max(long(F.col("page_id"))).alias("id")).first()
     fixed = 1000 + 2 * 3 * (most["id"] or 0)
     low, longest = 0, (most["bytes"] or 0) + fixed
@@ -108,6 +114,11 @@ def _records(content: bytes) -> Iterator[tuple[int, dict, int, int]]:
             yield start, *parsed
 
 
+def _url(fields: dict) -> str | None:
+    said = fields.get(URL_FIELD.lower().encode())
+    return fields.get(b"warc-target-uri") if said is None else unquote_plus(said)
+
+
 def _payload(content: bytes, fields: dict, body: int, end: int) -> tuple[int, int]:
     """Where the payload begins, and the size its HTTP header states (-1: none)."""
     if fields.get(b"content-type", "").startswith("application/http"):
@@ -128,7 +139,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind, said = fields.get(b"warc-type", ""), fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
                 whole = kind != "revisit"
                 rows.append((
-                    file, start, end + 4, fields.get(b"warc-record-id"), kind, fields.get(b"warc-target-uri"), fields.get(b"warc-refers-to"), said,
+                    file, start, end + 4, fields.get(b"warc-record-id"), kind, _url(fields), fields.get(b"warc-refers-to"), said,
                     end - at if whole else stated, hashlib.sha1(content[at:end]).hexdigest() if whole else said,
                 ))
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
@@ -185,7 +196,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
-    number = lambda c: F.expr(f"try_cast(try_url_decode(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '')) AS {kind})")
+    number = lambda c: F.expr(f"CASE WHEN {c} LIKE '<urn:page:%' THEN try_cast(try_url_decode(regexp_extract({c}, '^<urn:page:(.*)>$', 1)) AS {kind}) END")
     return read_archives(spark, path).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), "url"
     )
