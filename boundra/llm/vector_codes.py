@@ -31,7 +31,7 @@ BLOCK = 8192 * 64
 _AT_ONCE = 512
 #: Labels up to this number are sent to all tasks with their sums, 16 bytes each and the label's value.
 LABELS = 100_000
-_LONG = 2**63 - 1
+_LONG, _LIMB = 2**63 - 1, 30
 
 
 def whole_numbers(values: np.ndarray) -> np.ndarray:
@@ -133,6 +133,15 @@ def _books(books: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
     return books if large else books.astype(np.int64)
 
 
+def _limbs(x: int) -> list[str]:
+    """A sum in parts of _LIMB digits, the lowest first, which decimal columns add up however many there are."""
+    out = []
+    while abs(x) >= 10**_LIMB:
+        x, low = divmod(x, 10**_LIMB)
+        out.append(str(low))
+    return [*out, str(x)]
+
+
 def _sums(blocks: DataFrame, books: np.ndarray, size: int) -> dict[tuple[int, int], tuple[list[int], int]]:
     """By part and entry: the componentwise sums of the parts assigned to it, and their count."""
     parts, entries, width = books.shape
@@ -152,17 +161,19 @@ def _sums(blocks: DataFrame, books: np.ndarray, size: int) -> dict[tuple[int, in
                         sums[p, nearest[p][order[firsts]], k] += np.add.reduceat(values[d][codes[d]][order], firsts).astype(object)
         ps, es = np.nonzero(counts)
         if len(ps):
-            # sums as digits: decimal columns add them up whatever their size
-            digits = [[str(x) for x in sums[p, e]] for p, e in zip(ps, es)]
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(es, pa.int32()), pa.array(counts[ps, es], pa.int64()), pa.array(digits, pa.list_(pa.string()))], names=["part", "entry", "n", "sums"])
+            digits = [[_limbs(x) for x in sums[p, e]] for p, e in zip(ps, es)]
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(es, pa.int32()), pa.array(counts[ps, es], pa.int64()), pa.array(digits, pa.list_(pa.list_(pa.string())))], names=["part", "entry", "n", "sums"])
         give_back()
 
-    found = blocks.select("dictionaries", "codes").mapInArrow(add, "part int, entry int, n long, sums array<string>")
-    by_place = found.select("part", "entry", "n", F.posexplode("sums").alias("place", "digits")).groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum(F.col("digits").cast("decimal(38,0)")).alias("total"))
+    found = blocks.select("dictionaries", "codes").mapInArrow(add, "part int, entry int, n long, sums array<array<string>>")
+    places = found.select("part", "entry", "n", F.posexplode("sums").alias("place", "limbs")).select("part", "entry", "n", "place", F.posexplode("limbs").alias("limb", "digits"))
+    sums = places.groupBy("part", "entry", "place", "limb").agg(F.sum("n").alias("n"), F.sum(F.col("digits").cast("decimal(38,0)")).alias("total"))
     out: dict[tuple[int, int], tuple[list[int], int]] = {}
-    for part, entry, place, n, total in by_place.collect():  # one row a component of the codebooks
-        out.setdefault((part, entry), ([0] * width, n))[0][place] = int(total)
-    return out
+    counts: dict[tuple[int, int], int] = {}
+    for part, entry, place, limb, n, total in sums.collect():  # a row for each component of the codebooks, more for very large numbers
+        out.setdefault((part, entry), [0] * width)[place] += int(total) * 10 ** (_LIMB * limb)
+        counts[part, entry] = max(n, counts.get((part, entry), 0))  # each row has a first limb
+    return {k: (v, counts[k]) for k, v in out.items()}
 
 
 def learn_codebooks(kept: DataFrame, blocks: DataFrame, size: int) -> np.ndarray:
