@@ -23,6 +23,8 @@ from boundra.llm.common import bounded_batches, pieces
 #: Learned from at most about SAMPLE texts of a language and TEXTS of all, of at most LONGEST characters; landmarks of a language.
 SAMPLE, TEXTS, LONGEST, LANDMARKS = 500, 20_000, 50_000, 60
 RIDGE, SHARPNESS = 1e-3, 6.0
+#: Numbers of a matrix at most. With many languages, fewer landmarks of each are taken until those of the landmarks and of the weights fit.
+DENSE = 1 << 27
 #: Characters of texts that are scored at once.
 AT_ONCE = 300_000
 _LETTER = regex.compile(r"\p{L}").search
@@ -36,13 +38,21 @@ def fold(id_column: Column, folds: int) -> Column:
 class SpectrumModel:
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS):
         self.langs = sorted(set(langs))
-        chosen = [k for lang in self.langs for k in [i for i, x in enumerate(langs) if x == lang][:landmarks]]
-        alphabet = sorted(set().union(*(texts[k].lower() for k in chosen)))
-        self.letter = np.zeros(0x110000, np.int32)  # 0: in no landmark
-        for k, c in enumerate(alphabet):
-            self.letter[ord(c)] = k + 1
-        self.letters = len(alphabet) + 1
-        grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.grams(texts[k]) for k in chosen)]))
+        by_lang: dict[str, list[int]] = {}
+        for k, lang in enumerate(langs):
+            by_lang.setdefault(lang, []).append(k)
+        while True:
+            chosen = [k for lang in self.langs for k in by_lang[lang][:landmarks]]
+            alphabet = sorted(set().union(*(texts[k].lower() for k in chosen)))
+            self.letter = np.zeros(0x110000, np.int32)  # 0: in no landmark
+            for k, c in enumerate(alphabet):
+                self.letter[ord(c)] = k + 1
+            self.letters = len(alphabet) + 1
+            grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(self.grams(texts[k])) for k in chosen)]))
+            if landmarks == 1 or len(grams) * max(len(chosen), len(self.langs)) <= DENSE:
+                break
+            landmarks = max(1, landmarks // 2)
+        self.landmarks = len(chosen)
         self.features = len(grams)
         # numbers of n-grams in a table of open addresses, a quarter full at most
         self.slots = 1 << max(10, (4 * len(grams)).bit_length())
@@ -58,8 +68,9 @@ class SpectrumModel:
             todo, at = todo[rest], (at[rest] + 1) % self.slots
         marks = self.presence([texts[k] for k in chosen])
         marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-        gram = np.concatenate([self.kernel(texts[k : k + 100], marks) for k in range(0, len(texts), 100)])
-        values, vectors = np.linalg.eigh(marks.astype(float) @ marks.T)
+        step = max(1, min(100, DENSE // 4 // max(1, len(grams))))
+        gram = np.concatenate([self.kernel(texts[k : k + step], marks) for k in range(0, len(texts), step)])
+        values, vectors = np.linalg.eigh(sum((marks[:, k : k + 65536].astype(float) @ marks[:, k : k + 65536].T for k in range(0, max(1, marks.shape[1]), 65536)), np.zeros((len(marks), len(marks)))))
         good = values > 1e-8 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         mapped = gram @ root
@@ -69,7 +80,8 @@ class SpectrumModel:
         weight = (1 / np.array([langs.count(x) for x in langs]))[:, None]
         left = mapped.T @ (weight * mapped) + RIDGE * np.eye(mapped.shape[1])
         solved = np.linalg.solve(left, mapped.T @ (weight * target))
-        self.weights = (marks.T @ (root @ solved[:-1])).astype(np.float32)
+        into = root @ solved[:-1]
+        self.weights = np.concatenate([(marks[:, k : k + 65536].T @ into).astype(np.float32) for k in range(0, max(1, marks.shape[1]), 65536)])
         self.bias = solved[-1]
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
@@ -139,13 +151,14 @@ def identify_language(docs: DataFrame, model: SpectrumModel | None, id_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        most = max(1, min(128, DENSE // 8 // max(1, m.features))) if m is not None else 128
         for batch in pieces(batches, 1):
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(1).to_pylist()
             on = [k for k, t in enumerate(texts) if m is not None and t and _LETTER(t)]
             while on:
                 part, chars = [], 0
-                while on and len(part) < 128 and (not part or chars + len(texts[on[-1]]) <= AT_ONCE):
+                while on and len(part) < most and (not part or chars + len(texts[on[-1]]) <= AT_ONCE):
                     chars += len(texts[on[-1]])
                     part.append(on.pop())
                 place, value = m.predict([texts[k] for k in part])

@@ -43,6 +43,22 @@ def test_languages_of_large_scripts():
     assert [model.langs[k] for k in place] == ["one"] * 20 + ["two"] * 20 and score.min() > 0.5
 
 
+def test_memory_doesnt_grow_with_languages():
+    import tracemalloc
+
+    texts, langs = [], []
+    for k in range(200):
+        texts += [" ".join(_texts(0x4E00 + 90 * k, 8, k)[j : j + 8]) for j in range(8)]
+        langs += [f"l{k:03d}"] * 8
+    tracemalloc.start()
+    model = SpectrumModel(texts, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e9 and len(model.langs) == 200 <= model.landmarks
+    place, _ = model.predict(texts[7::8])
+    assert sum(model.langs[p] == lang for p, lang in zip(place, langs[7::8])) >= 190
+
+
 def test_special_texts(spark):
     texts = [None, "", "½ ² Ⅷ", "123 --", "the and of", "der die das", "x" * 200_000, "the " * 40_000]
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] * 2, "doc_id long, text string, lang_pred string").repartition(2)
