@@ -276,7 +276,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     gives no rows, further columns are ignored.
     """
     spark = pages.sparkSession
-    tree = style_tree(pages, url_col, html_col)
+    tree = materialise(style_tree(pages, url_col, html_col), "tree")  # read more than once
     low = materialise(low_branches(tree), "low")
     kind = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
