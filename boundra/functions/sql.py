@@ -4,7 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from boundra.functions import ids, text
+from boundra.functions import crs, ids, text
+
+
+def _projections() -> dict[str, str]:
+    """to_2180 and to_4326; each step is a function of its own, whose arguments are what the step before gave."""
+    radius, alpha, beta, e = crs.series()
+    d = lambda v: f"{v!r}D"
+    terms = lambda series, f, g: " ".join(f"{{sign}} {d(c)} * {f}({2 * k}D * a) * {g}({2 * k}D * b)" for k, c in enumerate(series, 1))
+    plus, minus = (lambda t: t.format(sign="+")), (lambda t: t.format(sign="-"))
+    pair = "STRUCT<a: DOUBLE, b: DOUBLE>"
+    out = {
+        # a: the conformal latitude's tangent, b: the longitude from the middle
+        f"_to_2180_1(lon DOUBLE, lat DOUBLE) RETURNS {pair}": f"named_struct('a', sinh(atanh(sin(radians(lat))) - {d(e)} * atanh({d(e)} * sin(radians(lat)))), 'b', radians(lon - {d(crs.CENTRAL)}))",
+        f"_to_2180_2(s {pair}) RETURNS {pair}": "named_struct('a', atan2(s.a, cos(s.b)), 'b', asinh(sin(s.b) / sqrt(s.a * s.a + cos(s.b) * cos(s.b))))",
+        "_to_2180_3(a DOUBLE, b DOUBLE) RETURNS STRUCT<x: DOUBLE, y: DOUBLE>": (
+            f"named_struct('x', {d(crs.EAST)} + {d(crs.SCALE * radius)} * (b {plus(terms(alpha, 'cos', 'sinh'))}), 'y', {d(crs.NORTH)} + {d(crs.SCALE * radius)} * (a {plus(terms(alpha, 'sin', 'cosh'))}))"
+        ),
+        "to_2180(lon DOUBLE, lat DOUBLE) RETURNS STRUCT<x: DOUBLE, y: DOUBLE>": (
+            "CASE WHEN lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND NOT isnan(lon) AND NOT isnan(lat) THEN _to_2180_3(_to_2180_2(_to_2180_1(lon, lat)).a, _to_2180_2(_to_2180_1(lon, lat)).b) END"
+        ),
+        f"_to_4326_1(a DOUBLE, b DOUBLE) RETURNS {pair}": f"named_struct('a', a {minus(terms(beta, 'sin', 'cosh'))}, 'b', b {minus(terms(beta, 'cos', 'sinh'))})",
+        # the isometric latitude is undone in fixed steps
+        "_to_4326_2(s DOUBLE) RETURNS DOUBLE": f"aggregate(sequence(1, 7), s, (v, i) -> tanh(atanh(s) + {d(e)} * atanh({d(e)} * v)))",
+        f"_to_4326_3(s {pair}) RETURNS STRUCT<lon: DOUBLE, lat: DOUBLE>": f"named_struct('lon', {d(crs.CENTRAL)} + degrees(atan2(sinh(s.b), cos(s.a))), 'lat', degrees(asin(_to_4326_2(sin(asin(sin(s.a) / cosh(s.b)))))))",
+        "to_4326(x DOUBLE, y DOUBLE) RETURNS STRUCT<lon: DOUBLE, lat: DOUBLE>": (
+            f"CASE WHEN NOT isnan(x) AND NOT isnan(y) AND abs(x) < 1e9 AND abs(y) < 1e9 THEN _to_4326_3(_to_4326_1((y - {d(crs.NORTH)}) / {d(crs.SCALE * radius)}, (x - {d(crs.EAST)}) / {d(crs.SCALE * radius)})) END"
+        ),
+    }
+    return out
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -65,6 +93,12 @@ def register_functions(spark: SparkSession) -> list[str]:
             "from_json(CASE WHEN id RLIKE '^[A-Za-z0-9_-]+$' AND length(id) % 4 <> 1 THEN decode(try_to_binary(rpad(translate(id, '-_', '+/'), CAST(ceil(length(id) / 4D) * 4 AS INT), '='), 'base64'), 'UTF-8') END, 'voivodeshipCode string, objectId string')"
         ),
     }
+    made |= _projections()
+    area_fields = "layerId STRING, objectId STRING, snapshotId BIGINT"
+    plain = made["encode_address_id(shard STRING, object STRING) RETURNS STRING"]
+    made["encode_area_id(layer STRING, object STRING, snapshot BIGINT) RETURNS STRING"] = plain.replace("named_struct('voivodeshipCode', shard, 'objectId', object)", "named_struct('layerId', layer, 'objectId', object, 'snapshotId', snapshot)")
+    undo = made["decode_address_id(id STRING) RETURNS STRUCT<voivodeshipCode: STRING, objectId: STRING>"]
+    made["decode_area_id(id STRING) RETURNS STRUCT<layerId: STRING, objectId: STRING, snapshotId: BIGINT>"] = undo.replace("voivodeshipCode string, objectId string", area_fields)
     for head, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     return [h.split("(")[0] for h in made]

@@ -168,6 +168,29 @@ def sync_decisions(spark, sf_dir):
     return planning.sync_decisions(t, "stale", F.lit("2024-01-20 00:00:00").cast("timestamp")).select(*keys, "decision")
 
 
+def _mode_sql(mode: str) -> str:
+    blocked = "NOT archive AND probe_status = 'schema_changed'"
+    cases = {"stale": "NOT known OR (NOT archive AND probe_status = 'changed') OR NOT coalesce(age >= 0 AND age < 86400, false)", "missing": "NOT known", "force": "true"}
+    first = {"missing": "WHEN known THEN 'unchanged'"}.get(mode, "")
+    return f"SELECT CAST(user_id AS VARCHAR) AS dataset_key, event_type AS scope, '{mode}' AS mode, CASE {first} {'' if mode == 'force' else f'WHEN {blocked} THEN {chr(39)}blocked{chr(39)}'} WHEN archive AND known THEN 'unchanged' WHEN {cases[mode]} THEN 'synchronise' ELSE 'unchanged' END AS decision FROM b"
+
+
+@query(
+    "sync_decisions_all_modes",
+    f"WITH {_PROBES}, b AS (SELECT *, user_id % 4 = 0 AS archive, epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000000 - epoch_us(checked_at) // 1000000 AS age FROM pr) " + " UNION ALL ".join(_mode_sql(m) for m in ("stale", "missing", "force")),
+)
+def sync_decisions_all_modes(spark, sf_dir):
+    old, new = _probes(spark, sf_dir)
+    keys = ["dataset_key", "scope"]
+    t = new.select(*keys).join(old.select(*keys, "checked_at"), keys, "left").join(planning.classify_probes(old, new), keys)
+    t = t.withColumn("known", F.col("checked_at").isNotNull()).withColumn("archive", F.col("dataset_key").cast("bigint") % 4 == 0)
+    out = None
+    for mode in ("stale", "missing", "force"):
+        one = planning.sync_decisions(t, mode, F.lit("2024-01-20 00:00:00").cast("timestamp")).select(*keys, F.lit(mode).alias("mode"), "decision")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _PLANS = """r AS (SELECT o_orderkey AS plan_id, o_orderkey % 10 AS m FROM orders),
 t AS (
   SELECT plan_id, unnest(CASE m WHEN 0 THEN ['A05', 'A06'] WHEN 4 THEN ['A00', 'A01', 'A02', 'A03', 'A04'] WHEN 9 THEN ['A01', 'W01'] END) AS layer_id, 'country:PL' AS scope, 134217728 AS d, 335544320 AS k, m FROM r WHERE m IN (0, 4, 9)
@@ -323,17 +346,17 @@ def file_set_check(spark, sf_dir):
 
 @query(
     "catalog_drift",
-    """SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS kind, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 'title' END AS "column", CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name END AS expected,
-  CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name || '!' END AS actual FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey % 7 = 1
-UNION ALL SELECT 'R' || CAST(r_regionkey AS VARCHAR), 'added', NULL, NULL, NULL FROM region""",
+    """SELECT 'C' || CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'title' END AS "column", CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS expected,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name || '!' END AS actual FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 1
+UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), 'added', NULL, NULL, NULL FROM supplier""",
 )
 def catalog_drift(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    k = F.col("n_nationkey")
-    name = F.concat(F.lit("N"), k.cast("string"))
-    expected = n.select(name.alias("name"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("string").alias("crs"))
-    actual = n.filter(k % 5 != 0).select(name.alias("name"), F.when(k % 7 == 1, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")).alias("title"), F.col("n_regionkey").cast("string").alias("crs"))
-    more = r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("title"), F.lit("0").alias("crs"))
+    n, r = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("C"), k.cast("string"))
+    expected = n.select(name.alias("name"), F.col("c_name").alias("title"), F.col("c_nationkey").cast("string").alias("crs"))
+    actual = n.filter(k % 5 != 0).select(name.alias("name"), F.when(k % 7 == 1, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("title"), F.col("c_nationkey").cast("string").alias("crs"))
+    more = r.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_name").alias("title"), F.lit("0").alias("crs"))
     return quality.catalog_drift(expected, actual.unionByName(more), ["title", "crs"])
 
 

@@ -54,10 +54,10 @@ def q_simplify_layer(spark, sf_dir):
 
 @query(
     "geojson_export",
-    f"""WITH {fx.AREAS} SELECT layer_id, object_id, 'OK' AS status, 'Polygon' AS kind, CASE WHEN k % 3 = 0 THEN 12 ELSE 7 END AS vertices, CAST(cx - h AS DOUBLE) AS first_x, CAST(cy - h AS DOUBLE) AS first_y FROM a WHERE layer_id <> 'L03'""",
+    f"""WITH {fx.AREAS} SELECT layer_id, object_id, 'OK' AS status, 'Polygon' AS kind, CASE WHEN k % 3 = 0 THEN 12 ELSE 7 END AS vertices, CAST(cx - h AS DOUBLE) AS first_x, CAST(cy - h AS DOUBLE) AS first_y FROM a WHERE layer_id <> 'L01'""",
 )
 def geojson_export(spark, sf_dir):
-    layers = spark.range(2).select(F.concat(F.lit("L0"), (F.col("id") + 1).cast("string")).alias("layer_id"), F.lit("administrative").alias("category"), F.lit("polygon").alias("geometry"))
+    layers = spark.range(2).select(F.concat(F.lit("L0"), (F.col("id") + 2).cast("string")).alias("layer_id"), F.lit("administrative").alias("category"), F.lit("polygon").alias("geometry"))
     out = export_geojson(fx.areas(spark, sf_dir), None, layers.unionByName(layers_table(spark).select("layer_id", "category", "geometry")))
     j = F.from_json("feature", "type string, properties struct<vertexCount:int>, geometry struct<type:string,coordinates:array<array<array<double>>>>")
     first = F.get(F.get(F.col("j.geometry.coordinates"), 0), 0)
@@ -119,15 +119,15 @@ def field_mapping(spark, sf_dir):
 
 @query(
     "snapshot_publish",
-    "SELECT 'A0' || CAST(n_regionkey AS VARCHAR) AS layer_id, CASE WHEN n_regionkey % 2 = 0 THEN 2 ELSE 1 END AS snapshot_id, count(*) AS records FROM nation WHERE n_regionkey % 2 = 1 OR n_nationkey % 2 = 0 GROUP BY ALL",
+    "SELECT 'A0' || CAST(s_suppkey % 5 AS VARCHAR) AS layer_id, CASE WHEN s_suppkey % 5 % 2 = 0 THEN 2 ELSE 1 END AS snapshot_id, count(*) AS records FROM supplier WHERE s_suppkey % 5 % 2 = 1 OR s_nationkey % 2 = 0 GROUP BY ALL",
 )
 def snapshot_publish(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("A0"), F.col("n_regionkey").cast("string")).alias("layer_id"), "n_nationkey", "n_regionkey")
+    n = table(spark, sf_dir, "supplier").select(F.concat(F.lit("A0"), (F.col("s_suppkey") % 5).cast("string")).alias("layer_id"), "s_nationkey", (F.col("s_suppkey") % 5).alias("kind"))
     root = shared_path(spark, "areas")
     write_snapshot(n, root, 1)
-    write_snapshot(n.filter("n_nationkey % 2 = 0 AND n_regionkey % 2 = 0"), root, 2)
+    write_snapshot(n.filter("s_nationkey % 2 = 0 AND kind % 2 = 0"), root, 2)
     row = lambda df, s: df.select("layer_id", F.concat(F.lit("current:"), "layer_id").alias("dataset_key"), F.lit(0).alias("archive_year"), F.lit("country").alias("scope_type"), F.lit("PL").alias("scope_code"), F.lit(s).alias("snapshot_id"), F.lit("complete").alias("completeness")).distinct()
-    pointers = publish(row(n, 1), row(n.filter("n_regionkey % 2 = 0"), 2))
+    pointers = publish(row(n, 1), row(n.filter("kind % 2 = 0"), 2))
     return spark.read.parquet(root).join(pointers.select("layer_id", "snapshot_id"), ["layer_id", "snapshot_id"]).groupBy("layer_id", "snapshot_id").agg(F.count(F.lit(1)).alias("records"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boundra.functions.ids import encode_id
+from boundra.functions.crs import map_positions
 from boundra.functions.sql import register_functions
 from boundra.functions.text import normalize_polish
 from boundra.operators import coverage, lookup, quality
@@ -12,6 +13,7 @@ from boundra.operators.search import match_structured, search_structured
 from boundra.operators.snapshots import as_of_join
 from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
+from boundra.plans.spatial_queries import _crs_sql
 from boundra.sources import gml
 from boundra.sources.storage import export_geojson, shared_path, write_snapshot
 
@@ -376,3 +378,31 @@ def as_of_versions(spark, sf_dir):
     r = table(spark, sf_dir, "orders").select("o_orderkey", hot("o_custkey"), F.to_date("o_orderdate").cast("string").alias("date"))
     found = as_of_join(r, v.select(hot("k"), "valid_from", "valid_to"), ["key"])
     return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("versions"), F.min("valid_from").alias("oldest"), F.max("valid_from").alias("newest"))
+
+
+@query(
+    "geojson_export_wgs84",
+    _crs_sql("inverse").replace(fx.POINTS, fx.AREAS).replace("SELECT point_id, 5e5 + x AS x, 4.8e5 + y AS y FROM p", "SELECT layer_id || '/' || object_id AS point_id, 5e5 + (cx - h) AS x, 4.8e5 + (cy - h) AS y FROM a").replace("SELECT point_id, round(", "SELECT split_part(point_id, '/', 1) AS layer_id, split_part(point_id, '/', 2) AS object_id, round(", 1),
+)
+def geojson_export_wgs84(spark, sf_dir):
+    """The first corner of each area as its exported feature has it: longitude before latitude."""
+    a = fx.areas(spark, sf_dir)
+    moved = a.withColumn("geom", map_positions(F.col("geom"), lambda x, y: F.struct((x + 500000.0).alias("x"), (y + 480000.0).alias("y"))))
+    layers = a.select("layer_id").distinct().select("layer_id", F.lit("administrative").alias("category"), F.lit("polygon").alias("geometry"))
+    out = export_geojson(moved, None, layers, "EPSG:4326").filter("status = 'OK'")
+    at = lambda k: F.round(F.get_json_object("feature", f"$.geometry.coordinates[0][0][{k}]").cast("double"), 7)
+    return out.select("layer_id", "object_id", at(0).alias("lon"), at(1).alias("lat"))
+
+
+@query(
+    "sql_functions_projections",
+    _crs_sql("round").replace("SELECT point_id, round(", f"SELECT {_JSON_ID.format("""'{"layerId":"L9","objectId":"' || CAST(point_id AS VARCHAR) || '","snapshotId":3}'""")} AS id, CAST(point_id AS VARCHAR) AS object_id, round(", 1),
+)
+def sql_functions_projections(spark, sf_dir):
+    """Both projections and the ids of areas, by their SQL functions."""
+    register_functions(spark)
+    p = fx.points(spark, sf_dir).select(F.col("point_id").cast("string").alias("object_id"), (19.0 + F.col("x") / 10000.0).alias("lon"), (52.0 + F.col("y") / 20000.0).alias("lat"))
+    p.createOrReplaceTempView("boundra_points")
+    return spark.sql("""
+        SELECT encode_area_id('L9', object_id, 3) AS id, decode_area_id(encode_area_id('L9', object_id, 3)).objectId AS object_id, round(back.lon, 7) AS lon, round(back.lat, 7) AS lat
+        FROM (SELECT object_id, to_4326(m.x, m.y) AS back FROM (SELECT object_id, to_2180(lon, lat) AS m FROM boundra_points))""")

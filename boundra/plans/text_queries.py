@@ -20,14 +20,13 @@ from boundra.sources.storage import shared_path
     "normalize_polish",
     rf"""WITH {fx.ADDRESSES}
 SELECT 'a' || object_id AS id, {fx.polish_sql("text")} AS norm FROM addresses
-UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR), {fx.polish_sql("regexp_replace(text, '[^ -~ąćęłńóśźżéèêçàâîôûùëïüäößñíóúá]', ' ', 'g')")} FROM documents""",
+UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR), {fx.polish_sql("text")} FROM documents""",
 )
 def q_normalize_polish(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    plain = F.regexp_replace("text", "[^ -~ąćęłńóśźżéèêçàâîôûùëïüäößñíóúá]", " ")
     return (
         fx.addresses(spark, sf_dir).select(F.concat(F.lit("a"), "object_id").alias("id"), normalize_polish(F.col("text")).alias("norm"))
-        .unionByName(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), normalize_polish(plain).alias("norm")))
+        .unionByName(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), normalize_polish(F.col("text")).alias("norm")))
     )
 
 
