@@ -183,3 +183,20 @@ def test_special_vectors(spark):
     assert [x[1:4] for x in of([(1, [1.0, 2.0, 3.0], None)])] == [(None, None, 0)]
     huge = of([(1, [3e38] * 4, 1), (2, [-3e38] * 4, 1), (3, [3e38] * 4, 2)])
     assert {x[0]: x[2] for x in huge} == {1: 0, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("name", ["op11_chat_format", "op12_collocations", "op13_vector_codes"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from boundra.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001" if name != "op12_collocations" else "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, folder)
+    want = con.sql(ORACLES[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    rows = df.select(*want.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(want.fetchall()) and rows
