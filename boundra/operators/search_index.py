@@ -170,6 +170,7 @@ def search_index(queries: DataFrame, root: str, k: int = 10, scored: bool = Fals
         empty = spark.createDataFrame([], "part int, doc string, bm25 double, rank int, postings bigint, matches bigint")
         return queries.select("request_id").filter("false").crossJoin(empty).select(*kept)
     tokens = F.broadcast(matched.drop("bucket")) if matched.count() <= SENT else matched.drop("bucket")
+    known = tokens.select("token").distinct()
     rows = _tables(spark, root, names, "blocks").filter(F.col("bucket").isin(buckets))
     gone = _removed(spark, root, says)
 
@@ -197,9 +198,11 @@ def search_index(queries: DataFrame, root: str, k: int = 10, scored: bool = Fals
 
     def score(now: DataFrame) -> DataFrame:
         """Every document of these blocks that holds all words, with its score and how many postings that took."""
-        wanted = now.join(per_word.select("request_id", "word", "times"), "request_id").join(tokens, "word").select("request_id", "word", "times", "token", "segment", "part", "block", F.col("mask").alias("able"))
-        items = wanted.join(rows.select("token", "segment", "part", "block", "items"), ["token", "segment", "part", "block"]).select("request_id", "word", "times", "segment", "part", "able", F.explode("items").alias("i"))
-        items = items.filter(F.col("able").bitwiseAND(_bit(F.col("i.bit"))) != 0)
+        able = now.select("request_id", "segment", "part", "block", F.col("mask").alias("able"))
+        held = rows.select("token", "segment", "part", "block", "mask", "items").join(known, "token", "left_semi").join(able, ["segment", "part", "block"]).filter(F.col("mask").bitwiseAND(F.col("able")) != 0)
+        items = held.select("request_id", "token", "segment", "part", F.explode(F.filter("items", lambda i: F.col("able").bitwiseAND(_bit(i["bit"])) != 0)).alias("i"))
+        # of the words that a token begins with, those that the request asks
+        items = items.join(tokens, "token").join(per_word.select("request_id", "word", "times"), ["request_id", "word"])
         hits = items.groupBy("request_id", "word", "times", "segment", "part", F.col("i.doc").alias("doc"), F.col("i.length").alias("length")).agg(F.sum("i.f").alias("f"), F.count(F.lit(1)).alias("postings"))
         terms = hits.join(facts.drop("n"), ["word", "part"])
         return terms.groupBy("request_id", "part", "doc").agg((-F.sum(_term(F.col("f"), F.col("length")) * F.col("times"))).alias("bm25"), F.sum("postings").alias("postings"))

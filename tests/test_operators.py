@@ -91,6 +91,8 @@ def test_page_after_stale(spark):
 REGISTER = ["locate_points_covers", "relate_areas_intersects", "reverse_candidate_limit", "search_addresses_ranked", "coverage_summary", "sync_decisions", "assign_partition", "gml_ingest", "csv_ingest", "incremental_ingest"]
 REGISTER += ["relate_areas_statuses", "polish_order", "search_structured", "request_rules", "cursor_pages", "gml_streets", "boundary_layer", "snapshot_staging", "page_files", "file_set_fingerprints", "schema_drift", "simplify_layer", "sql_functions_all"]
 
+REGISTER += ["relate_areas_tested", "nearest_per_request", "cursor_pages_many", "as_of_versions", "search_index_segments", "publication_versions", "package_ingest", "geojson_export_wgs84", "sql_functions_projections", "sync_decisions_all_modes"]
+
 
 @pytest.mark.parametrize("name", REGISTER)
 def test_query_equals_oracle(spark, name):
