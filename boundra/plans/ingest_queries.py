@@ -76,9 +76,9 @@ def _gml_addresses(spark, sf_dir):
     root = shared_path(spark, "gml")
     for year, body, part in (("2012", old, 0), ("2021", new, 1)):
         head = f'<gml:FeatureCollection xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:ad="urn:gugik:emuia:1.0:{year}">'
-        rows = a.filter(F.col("c_custkey") % 2 == part).select(body.alias("value"))
-        # every file of a package is a document of its own
-        rows.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit(head), F.array_join(F.collect_list("value"), "\n"), F.lit("</gml:FeatureCollection>")).alias("value")).select("value").write.text(f"{root}/{year}")
+        rows = a.filter(F.col("c_custkey") % 2 == part).select(F.floor(F.col("c_custkey") / 5000).alias("file"), body.alias("value"))
+        # every file of a package is a document of its own, of a bounded number of features
+        rows.groupBy("file").agg(F.concat(F.lit(head), F.array_join(F.collect_list("value"), "\n"), F.lit("</gml:FeatureCollection>")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{year}")
     return root
 
 

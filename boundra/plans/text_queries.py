@@ -55,8 +55,8 @@ SELECT c_custkey, CASE WHEN q = c THEN 'exact' WHEN length(q) >= 2 AND starts_wi
 FROM o""".replace("\\\\", "\\")
 
 
-@query("classify_match", _PAIRS)
-def q_classify_match(spark, sf_dir):
+def _pairs(spark, sf_dir):
+    """Addresses c, and queries q that are equal, begin, lie in, are in order, are misspelled or cover."""
     n = fx.addresses(spark, sf_dir).select("c_custkey", normalize_polish(F.col("text")).alias("c"))
     w = lambda k: F.split_part("c", F.lit(" "), F.lit(k))
     k = F.col("c_custkey") % 6
@@ -65,10 +65,23 @@ def q_classify_match(spark, sf_dir):
         .when(k == 3, F.concat_ws(" ", w(1), w(3), w(4))).when(k == 4, F.concat(F.substring("c", 1, 5), F.lit("x"), F.expr("substring(c, 7)")))
         .otherwise(F.concat(w(3), F.lit(" "), F.substring("c", 1, 6)))
     )
-    m = n.withColumn("m", classify_match(q, F.col("c")))
+    return n.withColumn("q", q)
+
+
+@query("classify_match", _PAIRS)
+def q_classify_match(spark, sf_dir):
+    m = _pairs(spark, sf_dir).withColumn("m", classify_match(F.col("q"), F.col("c")))
     return m.select("c_custkey", "m.mode", F.round("m.confidence", 9).alias("confidence"), remove_street_kind(F.col("c")).alias("bare"))
 
 
+@query("sql_functions_match", _PAIRS)
+def sql_functions_match(spark, sf_dir):
+    """As classify_match, by the SQL functions."""
+    register_functions(spark)
+    _pairs(spark, sf_dir).createOrReplaceTempView("boundra_pairs")
+    return spark.sql("SELECT c_custkey, m.mode, round(m.confidence, 9) AS confidence, remove_street_kind(c) AS bare FROM (SELECT c_custkey, c, classify_match(q, c) AS m FROM boundra_pairs)")
+
+
 def _bm25_sql(docs: str, queries: str) -> str:
     """BM25 over ``docs`` (part, doc, w1: list of {token, w}, length) and ``queries`` (request_id, words)."""
     return f"""{docs}, {queries},
