@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boundra.functions.geometry import vertex_count
+from boundra.functions.geometry import outline, outlines_meet, vertex_count
 from boundra.functions.text import lower_ascii
 from boundra.operators.tiles import KEY, cells_of, crossing_pairs, points_in_tiles, positions_in_tiles, runs_of, tile_areas, tile_levels
 from boundra.sources.storage import written
@@ -104,6 +104,8 @@ def locate_points(points: DataFrame, areas: DataFrame, limit: int = 20, max_cand
 
 #: Of a source's candidates in order, so many times the limit are tested first, and each further batch is so many times as large as all before.
 FIRST, GROWTH = 2, 4
+#: Areas of at most so many positions are held against each other directly; outlines of so many segments in all are sent to all tasks.
+FEW, SENT_SEGMENTS = 64, 1_000_000
 _OURS, _THEIRS = ["source_layer", "source_id", "source_snapshot"], list(KEY)
 _FIRSTS = "transform(geom.parts, p -> get(get(p, 0), 0))"
 
@@ -123,6 +125,19 @@ class _Side:
         self.firsts = own.select(*by, F.explode(F.expr(_FIRSTS)).alias("p")).select(*by, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
+def _outlines(areas: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """What a direct test needs of areas of few segments; sent to all tasks if counted to be small."""
+    some = areas.filter(vertex_count(F.col("geom")) <= FEW).select(*(F.col(a).alias(b) for a, b in zip(KEY, by)), F.struct(*BOX).alias(f"_{tag}_box"), outline(F.col("geom")).alias(f"_{tag}"))
+    segments = some.agg(F.sum(F.size(f"_{tag}.segments")).alias("n")).first().n or 0
+    return F.broadcast(some) if segments <= SENT_SEGMENTS else some
+
+
+def _meeting_directly(pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """As _meeting, for pairs of few segments: each holds its own against the other's, in one row."""
+    shared = F.struct(*[(F.greatest if c.startswith("min") else F.least)(F.col(f"_a_box.{c}"), F.col(f"_b_box.{c}")).alias(c) for c in BOX])
+    return pairs.join(ours, _OURS).join(theirs, _THEIRS).filter(outlines_meet(F.col("_a"), F.col("_b"), shared)).select(*_OURS, *_THEIRS)
+
+
 def _meeting(pairs: DataFrame, ours: _Side, theirs: _Side) -> DataFrame:
     """Pairs of areas or lines that share a point: their segments do, or a component of one lies in the other."""
     known = pairs.join(ours.facts, ours.by).join(theirs.facts, theirs.by)
@@ -149,12 +164,12 @@ def relate_areas(
     Sources with more candidates than ``max_candidates`` give one row with status COST_LIMIT_EXCEEDED.
 
     Candidates are ranked without geometries and tested in that order, in batches that grow, until a source has its
-    ``limit``; with ``tested``, a column says how many of a source's candidates were tested. A source and its areas meet by cells, where only
-    the segments of both in one cell are held against each other.
+    ``limit``; with ``tested``, a column says how many of a source's candidates were tested. Areas of few segments are held against
+    each other directly. Others meet by cells, where only the segments of both in one cell are held against each other.
     """
     own = _OURS
     asked = [c for c in ("asked_snapshot", "asked_layers") if c in sources.columns]
-    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), *BOX, *asked)
+    left = sources.select(F.col("layer_id").alias("source_layer"), F.col("object_id").alias("source_id"), F.col("snapshot_id").alias("source_snapshot"), *BOX, *asked, vertex_count(F.col("geom")).alias("_an"))
     other = (F.col("source_layer") != F.col("layer_id")) | (F.col("source_id") != F.col("object_id")) | (F.col("source_snapshot") != F.col("snapshot_id"))
     if snapshot_mode == "same":
         other = other & (F.col("source_snapshot") == F.col("snapshot_id"))
@@ -170,7 +185,7 @@ def relate_areas(
     held = areas if layer_ids is None else areas.filter(F.col("layer_id").isin(layer_ids))
     checked = left.withColumn("status", status)
     small = held.select("layer_id").count() <= SENT_BOXES
-    pairs = bbox_candidates(checked.filter("status = 'OK'").drop("status"), held.drop("geom"), other, small).select(*own, *_THEIRS, "name")
+    pairs = bbox_candidates(checked.filter("status = 'OK'").drop("status"), held.withColumn("_bn", vertex_count(F.col("geom"))).drop("geom"), other, small).select(*own, *_THEIRS, "name", "_an", "_bn")
     each = Window.partitionBy(*own)
     ranked = pairs.withColumn("place", F.row_number().over(each.orderBy(*order_keys())))
     ranked = written(ranked.withColumn("candidates", F.count(F.lit(1)).over(each)), "ranked")
@@ -178,21 +193,28 @@ def relate_areas(
     if max_candidates is not None:
         refused = refused.unionByName(ranked.filter((F.col("place") == 1) & (F.col("candidates") > max_candidates)).select(*own, F.lit("COST_LIMIT_EXCEEDED").alias("status")))
         ranked = ranked.filter(F.col("candidates") <= max_candidates)
-    # of both sides only what has a candidate is cut up
-    ours = _Side(sources.join(ranked.select(*(F.col(a).alias(b) for a, b in zip(own, KEY))).distinct(), list(KEY), "left_semi"), own, "a")
-    theirs = _Side(held.join(ranked.select(*KEY).distinct(), list(KEY), "left_semi"), _THEIRS, "b")
+    many = (F.col("_an") > FEW) | (F.col("_bn") > FEW)
+    # of both sides only what has a candidate, and isn't small like it, is cut up
+    large, ours, theirs = ranked.filter(many), None, None
+    if not large.isEmpty():
+        ours = _Side(sources.join(large.select(*(F.col(a).alias(b) for a, b in zip(own, KEY))).distinct(), list(KEY), "left_semi"), own, "a")
+        theirs = _Side(held.join(large.select(*KEY).distinct(), list(KEY), "left_semi"), _THEIRS, "b")
+    small_ours, small_theirs = _outlines(sources, own, "a"), _outlines(held, _THEIRS, "b")
     done, upto = 0, FIRST * limit
     last = ranked.agg(F.max("place").alias("n")).first().n or 0
     found, tests, satisfied = None, None, None
     while done < last:
         now = ranked.filter((F.col("place") > done) & (F.col("place") <= upto))
         now = now if satisfied is None else now.join(satisfied, own, "left_anti")
-        hits = written(now.join(_meeting(now.select(*own, *_THEIRS), ours, theirs), [*own, *_THEIRS], "left_semi"), "hits")
+        met = _meeting_directly(now.filter(~many).select(*own, *_THEIRS), small_ours, small_theirs)
+        if ours is not None:
+            met = met.unionByName(_meeting(now.filter(many).select(*own, *_THEIRS), ours, theirs))
+        hits = written(now.join(met, [*own, *_THEIRS], "left_semi").drop("_an", "_bn"), "hits")
         counted = now.groupBy(*own).agg(F.count(F.lit(1)).alias("tested"))
         found, tests = (hits, counted) if found is None else (found.unionByName(hits), tests.unionByName(counted))
         satisfied = written(found.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select(*own), "satisfied")
         done, upto = upto, upto * GROWTH
-    found = ranked.filter("false") if found is None else found
+    found = ranked.filter("false").drop("_an", "_bn") if found is None else found
     found = found.withColumn("rank", F.row_number().over(each.orderBy("place"))).filter(F.col("rank") <= limit)
     none = F.lit(None).cast("string")
     shown = [F.col("source_layer"), F.col("source_id"), F.col("layer_id"), F.col("object_id"), F.col("name"), F.col("rank"), F.lit("OK").alias("status")]
