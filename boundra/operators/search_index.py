@@ -59,7 +59,8 @@ def _write_segment(listed: DataFrame, root: str) -> str:
         F.bit_or(_bit(F.col("bit"))).alias("mask"), F.max("f").alias("max_f"), F.min("length").alias("min_length"), F.collect_list(F.struct("bit", "doc", "length", "f")).alias("items")
     )
     rows = rows.withColumn("bucket", _bucket(F.col("token")))
-    rows.repartition(n, "bucket", "token").sortWithinPartitions("bucket", "token", "part", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    # a bucket is in as many tasks as there are for it, so that each writes few files and a large bucket isn't one task's
+    rows.repartition(n, F.col("bucket"), F.pmod(F.xxhash64("token"), F.lit(max(1, n // BUCKETS)))).sortWithinPartitions("bucket", "token", "part", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
     _read(spark, path, "blocks").select("token", "bucket").distinct().repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/vocabulary")
     return name
 
