@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the 16 voivodeships
@@ -22,6 +22,11 @@ def decode_id(col: Column, schema: str) -> Column:
     return F.from_json(F.when(good, F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")), schema)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used; else each use of an id works its text out again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse_properties(col: Column) -> Column:
     """A JSON object as a map; anything else as an empty one."""
     return F.coalesce(F.from_json(F.when(col.rlike(r"^\s*\{"), col), "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boundra.functions.ids import VOIVODESHIPS, decode_id, encode_id
+from boundra.functions.ids import VOIVODESHIPS, decode_id, encode_id, once
 from boundra.sources.storage import written
 
 #: The extent of the register in EPSG:2180 and the parts of a shape file set.
@@ -153,9 +153,10 @@ def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int,
     a cursor's place says which rows are its page, and both meet by the page's number. A row moves twice, however many cursors there are.
     """
     spark = df.sparkSession
-    c = cursors.withColumn("_c", decode_id(F.col("cursor"), CURSOR))
+    c = once(once(cursors.select("request_id", "cursor"), "cursor", F.col("cursor")), "_c", decode_id(F.col("cursor"), CURSOR))
     good = F.col("cursor").isNull() | (F.col("_c.snapshot_version").isNotNull() & F.col("_c.offset").isNotNull() & (F.size("_c.sort_key") == len(keys)))
     c = c.withColumn("status", F.when(~F.coalesce(good, F.lit(False)), "INVALID_CURSOR").when(F.col("_c.snapshot_version") != version, "CURSOR_STALE").otherwise("OK"))
+    c = written(c, "cursors")
     begin = c.filter("status = 'OK' AND cursor IS NULL").select("request_id", F.lit(0).cast("bigint").alias("_offset"), F.lit(0).cast("bigint").alias("_before"))
     after = c.filter("status = 'OK' AND cursor IS NOT NULL").select(*[F.get("_c.sort_key", k).try_cast(df.schema[n].dataType).alias(n) for k, n in enumerate(keys)], F.struct("request_id", F.col("_c.offset").alias("offset")).alias("_asked"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
