@@ -44,15 +44,43 @@ def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], date:
     lengths and a date on the one bin of each length, so that a pair meets once, by equality: a key of many versions and requests is many
     keys, and no pair is made that isn't valid. A date or version that isn't in days of the calendar has no pairs.
     """
+    spread, held = _on_bins(requests, date), _in_bins(versions)
+    exact = valid_on(F.col(date))  # days beyond the bins' ends
+    # by shuffling: rows are multiplied by their bins after they were counted, so none of the sides is known to be small
+    return spread.join(held.hint("merge"), [*keys, "_level", "_bin"]).drop("_level", "_bin").filter(exact)
+
+
+def _on_bins(requests: DataFrame, date: str) -> DataFrame:
+    """Requests on the bin of each length that holds their day: _level, _bin."""
     day = _day(F.col(date))
-    spread = requests.filter(day.isNotNull()).withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(day / F.pow(F.lit(2.0), k)).cast("bigint").alias("bin")))))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(day / F.pow(F.lit(2.0), k)).cast("bigint").alias("bin")))
+    spread = requests.filter(day.isNotNull()).withColumn("_b", F.explode(bins))
+    return spread.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+
+
+def _in_bins(versions: DataFrame) -> DataFrame:
+    """Versions on the bins whose days are theirs: _level, _bin."""
     first = F.when(F.col("valid_from").isNull(), F.lit(0)).otherwise(_day(F.col("valid_from")))
     last = F.when(F.col("valid_to").isNull(), F.lit((1 << DAY_BITS) - 1)).otherwise(_day(F.col("valid_to")))
     held = versions.filter(first <= last).withColumn("_b", F.explode(_bins(first, last)))
-    a = spread.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
-    b = held.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
-    exact = valid_on(F.col(date))  # days beyond the bins' ends
-    return a.join(b, [*keys, "_level", "_bin"]).drop("_level", "_bin").filter(exact)
+    return held.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+
+
+def as_of_summary(requests: DataFrame, versions: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """As ``as_of_join``, but only how many versions each request has, and the oldest and newest valid_from: columns of ``requests``, versions, oldest, newest.
+
+    No pair is made: versions are summed up by key and bin, each is in one of the bins that hold a day, and the requests of a key and
+    date are answered once. So work grows with rows, not with the pairs of a hot key. Days at the bins' ends, which may stand for others
+    beyond, take pairs.
+    """
+    day = _day(F.col(date))
+    end = (day <= 0) | (day >= (1 << DAY_BITS) - 1)
+    asked = requests.select(*keys, date).distinct()
+    whole = lambda rows, n: rows.groupBy(*keys, date).agg(n.alias("versions"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    sums = _in_bins(versions).groupBy(*keys, "_level", "_bin").agg(F.count(F.lit(1)).alias("n"), F.min("valid_from").alias("oldest"), F.max("valid_from").alias("newest"))
+    inner = whole(_on_bins(asked.filter(~end), date).join(sums.hint("merge"), [*keys, "_level", "_bin"]), F.sum("n"))
+    outer = whole(as_of_join(asked.filter(end), versions, keys, date).withColumns({"oldest": F.col("valid_from"), "newest": F.col("valid_from")}), F.count(F.lit(1)))
+    return requests.join(inner.unionByName(outer), [*keys, date])
 
 
 def current_snapshots(coverage: DataFrame, layers: DataFrame | None = None) -> DataFrame:

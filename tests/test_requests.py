@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from boundra.operators.quality import encode_cursor, pages_after
 from boundra.operators.search import match_structured, structured_matches
-from boundra.operators.snapshots import as_of_join
+from boundra.operators.snapshots import as_of_join, as_of_summary, filter_areas
 from boundra.operators.spatial import nearest_per_request
 
 
@@ -86,3 +86,38 @@ def test_as_of_join_by_brute_force(spark):
     rows = [(x.q, x.v) for x in found.collect()]
     wanted = {(q, v) for a, q, d in requests if d and d != "no day" for b, v, f, t in versions if a == b and (f is None or f <= d) and (t is None or d <= t)}
     assert len(rows) == len(set(rows)) and set(rows) == wanted
+
+
+def test_as_of_summary_equals_its_pairs(spark):
+    """Open ends, days beyond the bins, keys without versions; and no more rows are joined than bins hold."""
+    r = random.Random(5)
+    day = lambda: r.choice([f"20{r.randint(10, 12)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"] * 8 + ["1750-01-01", "1799-12-31", "1800-01-01", "2600-05-05", "2023-02-30"])
+    requests = spark.createDataFrame([(r.choice("abc"), q, day()) for q in range(400)], "key string, q int, date string")
+    versions = spark.createDataFrame([(r.choice("ab"), r.choice([None, day()]), r.choice([None, day(), day()])) for _ in range(200)], "key string, valid_from string, valid_to string")
+    pairs = as_of_join(requests, versions, ["key"]).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("valid_from").alias("a"), F.max("valid_from").alias("b")).collect()
+    found = as_of_summary(requests, versions, ["key"]).select("q", "versions", "oldest", "newest").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, map(tuple, pairs))) and pairs
+    plan = as_of_summary(requests, versions, ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("hint") == 0 and "Aggregate" in plan
+
+
+def test_filters_that_ask_the_same_are_answered_once(spark):
+    areas = spark.createDataFrame([("L01", str(k), f"N{k % 3}", f"{k % 4:02d}") for k in range(30)] + [("L02", "x", None, None)], "layer_id string, object_id string, name string, code string")
+    asked = [(i, [None, "01", "02", "none"][i % 4], [None, "L01", "L02"][i % 3]) for i in range(60)]
+    found = {}
+    for x in filter_areas(areas, spark.createDataFrame(asked, "request_id int, code string, layer_id string"), limit=3).collect():
+        found.setdefault(x.request_id, []).append((x.rank, x.object_id))
+    rows = [(a.layer_id, (a.name or "").lower(), a.object_id, a.code) for a in areas.collect()]
+    for i, code, layer in asked:
+        best = sorted(a for a in rows if (code or layer) and (code is None or code == a[3]) and (layer is None or layer == a[0]))[:3]
+        assert sorted(found.get(i, [])) == [(n, a[2]) for n, a in enumerate(best, 1)]
+    ranked = filter_areas(areas, spark.createDataFrame(asked, "request_id int, code string, layer_id string"), limit=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in ranked and "request_id" not in next(x for x in ranked.splitlines() if "Window [" in x)
+
+
+def test_a_cursor_is_decoded_once(spark):
+    from boundra.functions.ids import once
+
+    df = once(spark.range(3).withColumn("k", F.col("id").cast("string")), "d", F.upper("k"))
+    plan = df.filter("d = 'x' OR d = 'y' OR d = 'z'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
