@@ -123,15 +123,20 @@ def filter_code(code: Column, asked: Column) -> Column:
 def filter_areas(areas: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
     """Areas for requests without text (request_id, code, layer_id): the first ``limit`` by order.
 
-    A null asks nothing; a request that asks nothing at all has no rows.
+    A null asks nothing; a request that asks nothing at all has no rows. Requests that ask the same are answered once, so
+    their areas are ranked once and not for each of them.
     """
     from boundra.operators.spatial import order_keys, top_k
 
-    asked = requests.select("request_id", F.lower("code").alias("q_code"), F.col("layer_id").alias("q_layer")).filter("q_code IS NOT NULL OR q_layer IS NOT NULL")
+    requests = requests.select("request_id", F.lower("code").alias("q_code"), F.col("layer_id").alias("q_layer")).filter("q_code IS NOT NULL OR q_layer IS NOT NULL")
+    asked = requests.select("q_code", "q_layer").distinct()
     held = areas.withColumn("_code", F.lower(F.coalesce("code", F.lit(""))))
     by_code = asked.filter("q_code IS NOT NULL").join(held, (F.col("q_code") == F.col("_code")) & (F.col("q_layer").isNull() | (F.col("q_layer") == F.col("layer_id"))))
     by_layer = asked.filter("q_code IS NULL").join(held, F.col("q_layer") == F.col("layer_id"))
-    return top_k(by_code.unionByName(by_layer), ["request_id"], order_keys(), limit).select("request_id", "rank", "layer_id", "object_id", "name")
+    best = top_k(by_code.unionByName(by_layer), ["q_code", "q_layer"], order_keys(), limit)
+    listed = best.groupBy("q_code", "q_layer").agg(F.collect_list(F.struct("rank", "layer_id", "object_id", "name")).alias("_best"))
+    same = requests["q_code"].eqNullSafe(listed["q_code"]) & requests["q_layer"].eqNullSafe(listed["q_layer"])
+    return requests.join(listed, same).select("request_id", F.explode("_best").alias("_a")).select("request_id", "_a.rank", "_a.layer_id", "_a.object_id", "_a.name")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
