@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from boundra.functions.ids import VOIVODESHIPS, decode_id, encode_id, once
 from boundra.sources.storage import written
@@ -234,6 +235,20 @@ def schema_fingerprint(fields: DataFrame) -> DataFrame:
     return fields.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "type", "required")))), 256).alias("fingerprint"))
 
 
+def table_fields(df: DataFrame) -> DataFrame:
+    """Fields (position, name, type, required) of a table's columns that have values: ``number`` if every value is one, else ``text``.
+
+    One aggregate a column, so that a table is read once and gives one row a task; only texts are looked at value by value.
+    """
+    seen = []
+    for k, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        number = F.lit(True) if isinstance(f.dataType, NumericType) else F.bool_and(F.when(c.isNotNull(), c.try_cast("double").isNotNull())) if isinstance(f.dataType, StringType) else F.lit(False)
+        seen.append(F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("name"), F.when(number, "number").otherwise("text").alias("type"), F.lit(True).alias("required"), (F.count(c) > 0).alias("_any")))
+    fields = df.agg(F.array(*seen).alias("_f")).select(F.explode("_f").alias("_f")).select("_f.*")
+    return fields.filter("_any").drop("_any")
+
+
 def schema_drift(expected: DataFrame, actual: DataFrame, critical: list[str]) -> DataFrame:
     """compatible, warning or breaking, with the counts behind it. Fields: position, name, type, required."""
     e = expected.select("name", F.col("type").alias("e_type"), F.col("position").alias("e_pos"))

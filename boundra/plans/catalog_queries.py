@@ -8,6 +8,7 @@ from boundra.operators import catalog, coverage, planning, quality
 from boundra.operators.snapshots import dedupe_snapshots, latest_per_key, upsert
 from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
+from boundra.sources.storage import written
 
 _COV = "cov AS (SELECT CAST(user_id AS VARCHAR) AS layer_id, event_type AS scope, CASE WHEN event_id % 11 = 0 THEN 'partial' ELSE 'complete' END AS completeness, ts AS downloaded_at, event_id FROM events)"
 
@@ -369,15 +370,11 @@ SELECT 1 AS added, count(*) FILTER (name = 'l_returnflag') AS missing, 0 AS miss
   (SELECT sha256('[' || string_agg('{"name":"' || name || '","type":"' || type || '","required":true}', ',' ORDER BY name) || ']') FROM t) AS fingerprint FROM c""",
 )
 def schema_drift(spark, sf_dir):
-    # fields as rows: every column of every lineitem row's JSON form, so the check follows the table
-    def fields(df):
-        rows = df.select(F.posexplode(F.map_entries(F.from_json(F.to_json(F.struct(*df.columns)), "map<string,string>"))).alias("position", "e"))
-        return rows.groupBy(F.col("e.key").alias("name")).agg(F.min("position").alias("position"), F.when(F.bool_and(F.expr("try_cast(e.value AS double) IS NOT NULL")), "number").otherwise("text").alias("type"), F.lit(True).alias("required"))
-
     li = table(spark, sf_dir, "lineitem")
     altered = li.withColumn("l_tax", F.col("l_tax").cast("string")).drop("l_returnflag").withColumn("l_note", F.lit("x"))
-    drift = quality.schema_drift(fields(li), fields(altered), ["l_orderkey"])
-    return drift.crossJoin(quality.schema_fingerprint(fields(li)))
+    fields = written(quality.table_fields(li), "fields")
+    drift = quality.schema_drift(fields, quality.table_fields(altered), ["l_orderkey"])
+    return drift.crossJoin(quality.schema_fingerprint(fields))
 
 
 @query(
