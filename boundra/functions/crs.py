@@ -46,22 +46,40 @@ def to_2180(lon: Column, lat: Column) -> Column:
     return F.when(good, F.struct((EAST + SCALE * radius * x).alias("x"), (NORTH + SCALE * radius * y).alias("y")))
 
 
-def to_4326(x: Column, y: Column) -> Column:
-    """struct<lon, lat> in degrees; null where not finite or outside the degrees' range."""
+def _plain(value: Column, then) -> Column:
+    return then(value)
+
+
+def to_4326(x: Column, y: Column, hold=_plain) -> Column:
+    """struct<lon, lat> in degrees; null where not finite or outside the degrees' range.
+
+    ``hold`` gives a value to what uses it several times. Spark finds such values by itself, but not inside lambdas: there it is ``let``.
+    """
     radius, _, beta, e = series()
-    xi0, eta0 = (y - NORTH) / (SCALE * radius), (x - EAST) / (SCALE * radius)
-    xi, eta = xi0, eta0
-    for k, b in enumerate(beta, 1):
-        xi, eta = xi - b * F.sin(2 * k * xi0) * F.cosh(2 * k * eta0), eta - b * F.cos(2 * k * xi0) * F.sinh(2 * k * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    # the isometric latitude is undone by a fixed number of steps, each gaining more than two digits
-    psi = F.atanh(F.sin(chi))
-    s = F.sin(chi)
-    for _ in range(7):
-        s = F.tanh(psi + e * F.atanh(e * s))
-    lon, lat = CENTRAL + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(F.asin(s))
-    good = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < 1e9) & (F.abs(y) < 1e9)
-    return F.when(good & lon.between(-180, 180) & lat.between(-90, 90), F.struct(lon.alias("lon"), lat.alias("lat")))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def conformal(at: Column) -> Column:
+        xi, eta = at["a"], at["b"]
+        for k, b in enumerate(beta, 1):
+            xi, eta = xi - b * F.sin(2 * k * at["a"]) * F.cosh(2 * k * at["b"]), eta - b * F.cos(2 * k * at["a"]) * F.sinh(2 * k * at["b"])
+        return hold(pair(xi, eta), sphere)
+
+    def sphere(at: Column) -> Column:
+        lon = CENTRAL + F.degrees(F.atan2(F.sinh(at["b"]), F.cos(at["a"])))
+        return hold(F.sin(F.asin(F.sin(at["a"]) / F.cosh(at["b"]))), lambda s: hold(pair(s, F.atanh(s)), lambda v: hold(pair(lon, latitude(v)), checked)))
+
+    def latitude(v: Column) -> Column:
+        # the isometric latitude is undone by a fixed number of steps, each gaining more than two digits
+        s = v["a"]
+        for _ in range(7):
+            s = F.tanh(v["b"] + e * F.atanh(e * s))
+        return F.degrees(F.asin(s))
+
+    def checked(at: Column) -> Column:
+        good = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < 1e9) & (F.abs(y) < 1e9)
+        return F.when(good & at["a"].between(-180, 180) & at["b"].between(-90, 90), F.struct(at["a"].alias("lon"), at["b"].alias("lat")))
+
+    return hold(pair((y - NORTH) / (SCALE * radius), (x - EAST) / (SCALE * radius)), conformal)
 
 
 def map_positions(geom: Column, change) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boundra.functions.crs import map_positions, to_4326
-from boundra.functions.geometry import validate_geometry, vertex_count
+from boundra.functions.geometry import let, validate_geometry, vertex_count
 from boundra.operators.snapshots import current_snapshots, select_snapshot, upsert
 from boundra.sources.wkb import simplify_layer
 
@@ -93,8 +93,11 @@ def export_geojson(areas: DataFrame, coverage: DataFrame | None, layers: DataFra
     a = simplify_layer(a, tolerance, 2**31 - 1).drop("vertex_count", "status") if tolerance > 0 else a.withColumn("simplified", F.lit(False))
     g = F.col("geom")
     if crs == "EPSG:4326":
-        g = map_positions(g, lambda x, y: F.struct(to_4326(x, y)["lon"].alias("x"), to_4326(x, y)["lat"].alias("y")))
-    a = a.withColumn("_g", F.explode(F.array(g))).withColumn("_n", vertex_count(F.col("geom"))).withColumn("_e", validate_geometry(F.col("geom")))
+        # positions outside the degrees' range have no coordinates
+        g = map_positions(g, lambda x, y: let(to_4326(x, y, let), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
+    # a small file would be one task's, which makes all texts; what is used several times is computed once
+    a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = a.withColumn("_g", F.explode(F.array(g))).withColumn("_f", F.explode(F.array(F.struct(vertex_count(F.col("geom")).alias("n"), validate_geometry(F.col("geom")).alias("e"))))).select("*", F.col("_f.n").alias("_n"), F.col("_f.e").alias("_e"))
     pair = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
     parts = F.col("_g.parts")
     shown = {

@@ -66,3 +66,20 @@ def test_points_meet_no_more_areas_than_a_batch_takes(spark, monkeypatch):
     found = spatial.locate_points(points, areas, limit=3, max_candidates=None).collect()
     assert {(x.point_id, x.rank, x.object_id) for x in found} == {(p, k + 1, f"00{k}") for p in range(50) for k in range(3)} and sum(met) < 30
     assert {(x.point_id, x.status) for x in spatial.locate_points(points, areas, limit=3, max_candidates=299).collect()} == {(p, "COST_LIMIT_EXCEEDED") for p in range(50)}
+
+
+def test_exported_positions_are_projected_once(spark):
+    """Inside lambdas Spark finds no equal parts: the projection's text must not hold them again and again. Values stay the same, rows are spread."""
+    from boundra.functions.crs import map_positions, to_4326
+    from boundra.plans import fixtures as fx
+    from boundra.sources.storage import export_geojson
+
+    a = fx.areas(spark, SMALL).withColumn("geom", map_positions(F.col("geom"), lambda x, y: F.struct((x + 5e5).alias("x"), (y + 4.8e5).alias("y"))))
+    layers = a.select("layer_id", F.lit("c").alias("category"), F.lit("polygon").alias("geometry")).distinct()
+    out = export_geojson(a, None, layers, "EPSG:4326")
+    assert out._jdf.queryExecution().optimizedPlan().toString().upper().count("ATANH") < 50
+    assert out.rdd.getNumPartitions() == 4
+    at = lambda k: F.get_json_object("feature", f"$.geometry.coordinates[0][0][{k}]").cast("double")
+    corner = F.get(F.get(F.get("geom.parts", 0), 0), 0)
+    plain = a.withColumn("g", to_4326(corner["x"], corner["y"])).select("layer_id", "object_id", "g.lon", "g.lat")
+    assert sorted(map(tuple, out.select("layer_id", "object_id", at(0), at(1)).collect())) == sorted(map(tuple, plain.collect()))
