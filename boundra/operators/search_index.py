@@ -50,11 +50,14 @@ def _write_segment(listed: DataFrame, root: str) -> str:
     spark, name = listed.sparkSession, f"segment-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = listed.repartitionByRange(n, "part", "length").sortWithinPartitions("part", "length", "doc")
+    # words are looked for once: ranges are found by reading the rows twice, which would be one task's where the file is small
+    ordered = written(listed, "listed").repartitionByRange(n, "part", "length").sortWithinPartitions("part", "length", "doc")
     ordered.withColumn("_id", F.monotonically_increasing_id()).select("part", "doc", "length", "listed", F.shiftright("_id", 6).alias("block"), (F.col("_id") % 64).cast("int").alias("bit")).write.parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     docs.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).write.parquet(f"{path}/stats")
-    hits = docs.select("part", "doc", "length", "block", "bit", F.explode("listed").alias("t")).groupBy("part", "doc", "length", "block", "bit", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("f"))
+    # documents move once, by block: words are counted and put in rows of their block where these lie
+    placed = docs.repartition(n, "block")
+    hits = placed.select("part", "doc", "length", "block", "bit", F.explode("listed").alias("t")).groupBy("part", "doc", "length", "block", "bit", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("f"))
     rows = hits.groupBy("token", "part", "block").agg(
         F.bit_or(_bit(F.col("bit"))).alias("mask"), F.max("f").alias("max_f"), F.min("length").alias("min_length"), F.collect_list(F.struct("bit", "doc", "length", "f")).alias("items")
     )
@@ -112,6 +115,7 @@ def add_documents(docs: DataFrame, root: str, part: str, doc: str, weights: dict
     spark, manifest = docs.sparkSession, Manifest(docs.sparkSession, root)
     version, says = _says(manifest)
     gone = _write_removal(spark, root, says, docs.select(F.col(part).alias("part"), F.col(doc).alias("doc")))
+    docs = docs.select(part, doc, *weights).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = _write_segment(tokenised(docs, part, doc, weights), root)
     return manifest.commit(version, {"segments": [*says["segments"], name], "removed": [*says["removed"], *([gone] if gone else [])]})
 

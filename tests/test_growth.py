@@ -83,3 +83,19 @@ def test_exported_positions_are_projected_once(spark):
     corner = F.get(F.get(F.get("geom.parts", 0), 0), 0)
     plain = a.withColumn("g", to_4326(corner["x"], corner["y"])).select("layer_id", "object_id", "g.lon", "g.lat")
     assert sorted(map(tuple, out.select("layer_id", "object_id", at(0), at(1)).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_words_of_a_small_file_are_found_by_all_tasks(spark, tmp_path, monkeypatch):
+    from boundra.operators import search_index as si
+
+    docs, seen, plain = spark.range(300).selectExpr("0 AS part", "cast(id AS string) AS doc", "concat('word w', id % 7) AS text").coalesce(1), [], si.tokenised
+
+    def counted(df, *more):
+        seen.append(df.rdd.getNumPartitions())
+        return plain(df, *more)
+
+    monkeypatch.setattr(si, "tokenised", counted)
+    si.add_documents(docs, f"{tmp_path}/i", "part", "doc", {"text": 1.0})
+    assert seen == [4]
+    rows = spark.read.parquet(f"{tmp_path}/i/segment-*/blocks")
+    assert {(r.token, r.n) for r in rows.groupBy("token").agg(F.sum(F.bit_count("mask")).alias("n")).collect()} == {("word", 300), *((f"w{k}", len(range(k, 300, 7))) for k in range(7))}
