@@ -74,19 +74,19 @@ def validate_dataset(records: DataFrame, streets: DataFrame, manifest: DataFrame
     ``records``: dataset_key, record_type, object_id, crs, street_id, min_x ... max_y. References are
     checked only where streets were imported at all. ``manifest``: dataset_key, expected.
     """
-    repeated = F.count(F.lit(1)).over(Window.partitionBy("dataset_key", "record_type", "object_id")) > 1
     box = [F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]
     finite = box[0].isNotNull()
     for c in box:
         finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     proper = finite & (box[0] <= box[2]) & (box[1] <= box[3])
     inside = (box[0] >= EXTENT[0]) & (box[1] >= EXTENT[1]) & (box[2] <= EXTENT[2]) & (box[3] <= EXTENT[3])
-    known = streets.select(F.col("object_id").alias("street_id")).distinct().withColumn("_known", F.lit(True))
-    some = streets.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))
-    r = records.withColumn("_twice", repeated).join(known, "street_id", "left").crossJoin(F.broadcast(some))
-    broken = F.col("_some") & F.col("street_id").isNotNull() & F.col("_known").isNull()
-    found = F.array(F.when(F.col("_twice"), CHECKS[0]), F.when(~F.col("crs").eqNullSafe("EPSG:2180"), CHECKS[1]), F.when(~proper, CHECKS[2]), F.when(proper & ~inside, CHECKS[3]), F.when(broken, CHECKS[4]))
-    rows = r.select("dataset_key", "object_id", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("code"))
+    # what a record alone says moves no row; of repeated ones and of references only keys move, and records meet the few that are missing
+    found = F.array(F.when(~F.col("crs").eqNullSafe("EPSG:2180"), CHECKS[1]), F.when(~proper, CHECKS[2]), F.when(proper & ~inside, CHECKS[3]))
+    rows = records.select("dataset_key", "object_id", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("code"))
+    twice = records.groupBy("dataset_key", "record_type", "object_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.unionByName(twice.select("dataset_key", "object_id", F.explode(F.array_repeat(F.lit(CHECKS[0]), F.col("n").cast("int"))).alias("code")))
+    missing = street_references(records.select("street_id").distinct(), streets)
+    rows = rows.unionByName(records.join(missing, "street_id", "left_semi").select("dataset_key", "object_id", F.lit(CHECKS[4]).alias("code")))
     counts = records.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("n"))
     short = manifest.join(counts, "dataset_key", "left").filter(F.coalesce("n", F.lit(0)) != F.col("expected")).select("dataset_key", F.lit(None).cast("string").alias("object_id"), F.lit(CHECKS[5]).alias("code"))
     rank = F.array_position(F.array(*[F.lit(c) for c in CHECKS]), F.col("code")).cast("int")

@@ -9,7 +9,7 @@ from boundra.plans import fixtures as fx
 from boundra.plans.registry import query, table
 from boundra.sources import gml
 from boundra.sources.publication import publish_snapshots, read_snapshots, read_table
-from boundra.sources.storage import export_geojson, publish, shared_path, write_address_partitions, write_snapshot
+from boundra.sources.storage import export_geojson, publish, shared_path, write_address_partitions, write_snapshot, written
 from boundra.sources.wkb import decode_wkb, encode_wkb, simplify_layer
 from boundra.streaming.ingest import incremental_ingest
 from boundra.streaming.packages import ingest_packages
@@ -154,6 +154,7 @@ def q_incremental_ingest(spark, sf_dir):
     )
     root = shared_path(spark, "landing")
     r.write.parquet(f"{root}/in")
+    r = spark.read.schema(r.schema).parquet(f"{root}/in")
     streets = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("object_id"))
     manifest = r.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("expected"))
     incremental_ingest(spark, f"{root}/in", f"{root}/table", f"{root}/state", streets, manifest)
@@ -203,7 +204,7 @@ def package_ingest(spark, sf_dir):
         key.alias("dataset_key"), F.lit("address").alias("record_type"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("object_id"), F.when(key == "3", "EPSG:4326").otherwise("EPSG:2180").alias("crs"), F.col("l_partkey").cast("string").alias("street_id"),
         F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(1.0).alias("max_x"), F.lit(1.0).alias("max_y"), F.concat_ws("/", key, part).alias("package_id"), part.alias("part"),
     )
-    base = shared_path(spark, "packages")
+    r, base = written(r, "records"), shared_path(spark, "packages")
     streets = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("object_id"))
     manifest = r.groupBy("dataset_key").agg((F.count(F.lit(1)) + F.when(F.first("dataset_key") == "4", 1).otherwise(0)).alias("expected")).select("dataset_key", "expected", (F.col("dataset_key").cast("bigint") + 1).alias("snapshot_id"), F.concat(F.lit("A0"), "dataset_key").alias("layer_id"))
     for now in ("part = '0'", "part = '1' OR (part = '0' AND dataset_key = '2')", "part = '2' OR (part = '1' AND dataset_key = '1')"):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boundra.operators.quality import validate_dataset
+from boundra.sources.storage import written
 
 RECORD = "dataset_key string, record_type string, object_id string, crs string, street_id string, min_x double, min_y double, max_x double, max_y double"
 
@@ -23,6 +24,7 @@ def incremental_ingest(spark: SparkSession, landing: str, table: str, checkpoint
         try:
             keys = batch.select("dataset_key").distinct()
             bad = validate_dataset(batch, streets, manifest.join(keys, "dataset_key", "left_semi")).groupBy("dataset_key").agg(F.min_by("code", "severity").alias("error"))
+            bad = written(bad, "bad")  # asked for twice, and small enough to be sent to tasks if it is
             runs = batch.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("records")).join(bad, "dataset_key", "left")
             runs = runs.withColumn("status", F.when(F.col("error").isNull(), "published").otherwise("failed"))
             good = batch.join(bad, "dataset_key", "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boundra.operators.quality import validate_dataset
 from boundra.sources.publication import publish_snapshots
+from boundra.sources.storage import written
 from boundra.streaming.ingest import RECORD
 
 PACKAGE = f"{RECORD}, package_id string"
@@ -55,7 +56,7 @@ def ingest_packages(spark: SparkSession, landing: str, root: str, checkpoint: st
     nothing lands for ``timeout_ms`` before it is whole is given up with a run row EXPIRED, by the next run in which anything lands; what lands later begins anew. A
     micro-batch that is run again publishes nothing twice. The landing folder keeps its files.
     """
-    known = manifest.select("dataset_key", "expected", "snapshot_id", "layer_id")
+    known = written(manifest.select("dataset_key", "expected", "snapshot_id", "layer_id"), "known")  # used many times in each batch
 
     def publish(outcomes: DataFrame, batch_id: int) -> None:
         outcomes = outcomes.persist()
@@ -63,6 +64,7 @@ def ingest_packages(spark: SparkSession, landing: str, root: str, checkpoint: st
             whole = outcomes.filter("outcome = 'whole'")
             lost = outcomes.filter("outcome = 'expired'").join(known, "dataset_key").select("dataset_key", "snapshot_id", "layer_id", "records", F.lit("EXPIRED").alias("error"))
             taken = whole.select("dataset_key", F.explode("files").alias("f")).select("dataset_key", F.substring_index("f", "\x01", 1).alias("package_id"), F.substring_index("f", "\x01", -1).alias("_file"))
+            taken = written(taken, "taken")
             landed = spark.read.schema(PACKAGE).parquet(landing).withColumn("_file", F.col("_metadata.file_name"))
             rows = landed.join(taken, ["dataset_key", "package_id", "_file"], "left_semi").drop("_file").join(known.select("dataset_key", "snapshot_id"), "dataset_key")
             keys = whole.select("dataset_key").distinct()

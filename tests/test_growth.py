@@ -134,3 +134,28 @@ def test_boxes_of_very_different_size_dont_all_meet(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted([(k, k) for k in range(401)] + [(k, 400) for k in range(400)] + [(400, k) for k in range(400)])
     met = sum(a.alias("a").join(b.alias("b"), [*("_level", "_cx", "_cy")]).count() for a, b in zip(laid[::2], laid[1::2]))
     assert met < 10_000  # and not 400 * 400 in the large one's cell
+
+
+def test_validation_moves_no_whole_records(spark):
+    text = "dataset_key string, record_type string, object_id string, crs string, street_id string, min_x double, min_y double, max_x double, max_y double"
+    good = ("address", "o", "EPSG:2180", "s", 0.0, 0.0, 1.0, 1.0)
+    records = spark.createDataFrame([("a", *good), ("a", *good), ("a", *good), ("b", "address", "p", None, "t", 0.0, 0.0, 3e6, 1.0), ("c", "address", None, "EPSG:2180", None, 1.0, 0.0, 0.0, 1.0)], text)
+    streets, manifest = spark.createDataFrame([("s",)], "object_id string"), spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "dataset_key string, expected bigint")
+    found = quality.validate_dataset(records, streets, manifest)
+    assert sorted((x.dataset_key, str(x.object_id), x.code) for x in found.collect()) == sorted([("a", "o", "DUPLICATE_ID")] * 3 + [("b", "p", c) for c in ("INVALID_CRS", "OUTSIDE_POLAND", "BROKEN_REFERENCE")] + [("b", "None", "MANIFEST_MISMATCH"), ("c", "None", "INVALID_BBOX")])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packages_take_their_records_once(spark, monkeypatch):
+    from boundra.plans import ingest_queries
+
+    made, plain = spark.sparkContext.accumulator(0), ingest_queries._lines
+    rows = plain(spark, SMALL).count()
+
+    def seen(part):
+        made.add(1)
+        return part
+
+    monkeypatch.setattr(ingest_queries, "_lines", lambda *a: plain(*a).withColumn("l_partkey", F.udf(seen, "bigint")("l_partkey")))
+    assert ingest_queries.package_ingest(spark, SMALL).count() > 0
+    assert made.value == rows
