@@ -187,9 +187,10 @@ def pages_after(df: DataFrame, keys: list[str], cursors: DataFrame, limit: int,
 
 def read_page_files(spark: SparkSession, path: str, most_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Page files (dataset=.../*): dataset, file, bytes, value of those within the ceiling; and the files that pass it."""
-    files = spark.read.format("binaryFile").load(path).select("dataset", F.regexp_extract("path", r"[^/]*$", 0).alias("file"), F.col("length").alias("bytes"))
-    kept = spark.read.text(path, wholetext=True).select("dataset", "value", F.regexp_extract("_metadata.file_path", r"[^/]*$", 0).alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    return kept.filter(F.col("bytes") <= most_bytes), files.filter(F.col("bytes") > most_bytes).withColumn("status", F.lit("TOO_LARGE"))
+    files = spark.read.format("binaryFile").load(path)  # listed once; what passes the ceiling isn't opened
+    named = [F.col("dataset"), F.regexp_extract("path", r"[^/]*$", 0).alias("file"), F.col("length").alias("bytes")]
+    kept = files.filter(F.col("length") <= most_bytes).select(*named, F.col("content").cast("string").alias("value"))
+    return kept, files.filter(F.col("length") > most_bytes).select(*named, F.lit("TOO_LARGE").alias("status"))
 
 
 def check_page_set(pages: DataFrame) -> DataFrame:

@@ -159,3 +159,15 @@ def test_packages_take_their_records_once(spark, monkeypatch):
     monkeypatch.setattr(ingest_queries, "_lines", lambda *a: plain(*a).withColumn("l_partkey", F.udf(seen, "bigint")("l_partkey")))
     assert ingest_queries.package_ingest(spark, SMALL).count() > 0
     assert made.value == rows
+
+
+def test_pages_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from boundra.plans import register_queries
+
+    monkeypatch.setattr(register_queries, "shared_path", lambda *a: f"{tmp_path}/pages")
+    register_queries.page_files(spark, SMALL).collect()
+    assert len({p.name.split("-")[1] for p in tmp_path.glob("pages/*/part-*")}) == 4
+    kept, lost = quality.read_page_files(spark, f"{tmp_path}/pages", 8001)
+    assert "text(" not in kept._jdf.queryExecution().optimizedPlan().toString().lower() and lost.filter("bytes <= 8001").isEmpty()
+    texts = sorted(r.html or "" for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect() if len((r.html or "").encode()) <= 8000)
+    assert sorted(r.value[:-1] for r in kept.collect()) == texts
