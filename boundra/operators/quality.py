@@ -199,6 +199,11 @@ def check_page_set(pages: DataFrame) -> DataFrame:
     return s.withColumn("status", F.when(F.col("totals") > 1, "TOTALS_DIFFER").when((F.col("totals") == 1) & (F.col("stated") != F.col("rows")), "ROWS_MISSING").otherwise("OK")).select("dataset", "rows", "bytes", "status")
 
 
+def _packed(text: str) -> Column:
+    """A text as bytes, those of lower-case hex digits packed; different texts stay different."""
+    return F.when(F.col(text).rlike("^([0-9a-f]{2})*$"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), F.encode(text, "UTF-8")))
+
+
 def check_file_sets(listing: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Status of each base name of ``path``: the roles it has by extension and those it lacks.
 
@@ -206,13 +211,17 @@ def check_file_sets(listing: DataFrame, allowed: DataFrame | None = None) -> Dat
     with a file whose fingerprint isn't allowed is NOT_ALLOWED.
     """
     name = F.regexp_extract("path", r"[^/]*$", 0)
-    role = F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)))
+    # roles are bits, and fingerprints in lower-case hex half as many bytes: that is what moves
+    known = sorted(ROLES.values())
+    bit = F.element_at(F.create_map(*[F.lit(x) for e, r in ROLES.items() for x in (e, 1 << known.index(r))]), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)))
+    s = listing.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("base"), F.coalesce(bit, F.lit(0)).cast("int").alias("bit"), *([_packed("fingerprint").alias("_print")] if allowed is not None else []))
     foreign = F.lit(False)
     if allowed is not None:
-        listing = listing.join(allowed.select("fingerprint").distinct().withColumn("_allowed", F.lit(True)), "fingerprint", "left")
+        s = s.join(allowed.select(_packed("fingerprint").alias("_print")).distinct().withColumn("_allowed", F.lit(True)), "_print", "left")
         foreign = F.col("_allowed").isNull()
-    s = listing.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("base"), role.alias("role"), foreign.alias("foreign"))
-    g = s.groupBy("base").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_if(F.col("role").isNull()).alias("unsupported"), F.bool_or("foreign").alias("foreign"))
+    g = s.groupBy("base").agg(F.bit_or("bit").alias("_bits"), F.min("bit").alias("_least"), F.bool_or(foreign).alias("foreign"))
+    has = F.filter(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(1 << k).alias("b")) for k, r in enumerate(known)]), lambda x: F.col("_bits").bitwiseAND(x["b"]) != 0)
+    g = g.select("base", F.transform(has, lambda x: x["r"]).alias("roles"), (F.col("_least") == 0).cast("int").alias("unsupported"), "foreign")
     lacks = F.array_join(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), F.col("roles")), ",")
     status = F.when(F.col("unsupported") > 0, "UNSUPPORTED").when(lacks != "", "INCOMPLETE").when(F.col("foreign"), "NOT_ALLOWED").otherwise("OK")
     return g.select("base", F.array_join("roles", ",").alias("roles"), lacks.alias("missing"), status.alias("status"))

@@ -171,3 +171,13 @@ def test_pages_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     assert "text(" not in kept._jdf.queryExecution().optimizedPlan().toString().lower() and lost.filter("bytes <= 8001").isEmpty()
     texts = sorted(r.html or "" for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect() if len((r.html or "").encode()) <= 8000)
     assert sorted(r.value[:-1] for r in kept.collect()) == texts
+
+
+def test_fingerprints_move_packed(spark):
+    rows = [("a.shp", "ab"), ("a.shx", "AB"), ("a.dbf", ""), ("a.prj", "abc"), ("b.shp", "Ab"), ("b.shx", "ab"), ("b.dbf", "ab"), ("b.prj", "ab"), ("c.shp", "ab"), ("c.x", "ab")]
+    listing = spark.createDataFrame(rows, "path string, fingerprint string")
+    found = quality.check_file_sets(listing, spark.createDataFrame([("ab",), ("AB",), ("",), ("abc",), ("ab",)], "fingerprint string"))
+    every = "attributes,index,projection,shape"
+    assert sorted(map(tuple, found.collect())) == [("a", every, "", "OK"), ("b", every, "", "NOT_ALLOWED"), ("c", "shape", "attributes,index,projection", "UNSUPPORTED")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan and "collect_set" not in plan
