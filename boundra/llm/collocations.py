@@ -33,7 +33,9 @@ from boundra.llm.double_array import DoubleArray
 #: Phrases of a trie and words of a dictionary that are broadcast at once; more make more passes.
 SHARD = 1 << 19
 #: Bytes of text of a chunk. A longer piece, if nothing in it separates pieces, is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Words of a row of texts as numbers, which a longer piece may pass: 256 kB, below what a JVM of a few GB puts into regions of their own.
+LOT = 1 << 16
 #: Longer words are told by their SHA-256 in the broadcast dictionary.
 WORD_BYTES = 64
 #: Occurrences of pairs or classes that a task holds before it passes them on, and rows of a batch of these.
@@ -128,8 +130,9 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     for part, n in written.groupBy(F.shiftright("_raw", 33).alias("part")).count().collect():  # one row a partition
         counts[part] = n
     ends = np.cumsum([counts[p] for p in sorted(counts)]) if counts else np.zeros(0, np.int64)
-    before = [(p, int(end - counts[p])) for p, end in zip(sorted(counts), ends)]
-    offsets = spark.createDataFrame(before, "part long, before long")
+    before = [int(end - counts[p]) for p, end in zip(sorted(counts), ends)]
+    # an Arrow table is a local relation; from a list, executors would start Python workers of another kind, which stay beside these
+    offsets = spark.createDataFrame(pa.table({"part": pa.array(sorted(counts), pa.int64()), "before": pa.array(before, pa.int64())}))
     out = written.join(F.broadcast(offsets), F.shiftright("_raw", 33) == F.col("part")).withColumn("number", (F.col("before") + F.col("_raw").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_raw", "part", "before")
     out.rows, out.written_at = int(ends[-1]) if len(ends) else 0, written.written_at
     return out
@@ -143,7 +146,7 @@ def _shards(table: DataFrame, *columns: str) -> Iterator[pa.Table]:
 
 def _grams(part: pa.Table, column: str = "ids") -> np.ndarray:
     lists = part.column(column).combine_chunks()
-    return np.asarray(lists.flatten(), np.int64).reshape(len(part), -1)
+    return np.asarray(lists.flatten()).reshape(len(part), -1)
 
 
 def _kept(ids: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +172,17 @@ def _beside(marked: np.ndarray) -> np.ndarray:
     return out & marked
 
 
+def _lots(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Text in parts of at most ``LOT`` words (or one piece), cut between pieces."""
+    zeros, at = np.append(np.flatnonzero(text == 0), len(text)), 0
+    while at < len(text):
+        k = int(np.searchsorted(zeros, at + LOT, "right")) - 1
+        cut = int(zeros[max(k, int(np.searchsorted(zeros, at)))])
+        if cut > at:
+            yield text[at:cut]
+        at = cut + 1
+
+
 def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """ids, marks (binary, int32): texts as numbers of frequent words, one pass for SHARD words; marks are null, as a word's mark is its number."""
     sc = chunks.sparkSession.sparkContext
@@ -190,8 +204,8 @@ def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
                         continue
                     text = np.concatenate([[0], ids]).astype(np.int32)[np.frombuffer(codes.as_py(), np.int32)]
                     text, _ = _kept(text, _beside(text > 0))
-                    if len(text):
-                        yield pa.RecordBatch.from_arrays([pa.array([text.tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["ids", "marks"])
+                    for lot in _lots(text):
+                        yield pa.RecordBatch.from_arrays([pa.array([lot.tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["ids", "marks"])
             give_back()
 
         return look_up
@@ -204,7 +218,7 @@ def encode(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
             book.setdefault(lang, {})[key] = k
         shared, last, old = sc.broadcast(book), number == len(parts) - 1, step
         done = step.mapInArrow(pass_of(shared, last), "ids binary, marks binary" if last else "lang string, words array<binary>, codes binary, ids array<int>")
-        step = materialise(done, "texts")
+        step = materialise(done, "texts", large_rows=True)
         discard(chunks if number == 0 else old)
         shared.unpersist()
     return step
@@ -230,11 +244,19 @@ def _tallied(batches: Iterator[pa.RecordBatch], keys_of, emit) -> Iterator[pa.Re
             yield emit(keys[first : first + _ROWS], counts[first : first + _ROWS])
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        more, n = np.unique(np.concatenate(waiting), return_counts=True)
+        more = np.concatenate(waiting)
+        waiting.clear()
+        more.sort()
+        firsts = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]]))
+        more, n = more[firsts], np.diff(firsts, append=len(more))
+        del firsts
         if not len(keys):
             return more, n
-        both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        return both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        at = np.searchsorted(keys, more)
+        known = keys[np.minimum(at, len(keys) - 1)] == more
+        counts[at[known]] += n[known]
+        fresh = ~known
+        return np.insert(keys, at[fresh], more[fresh]), np.insert(counts, at[fresh], n[fresh])
 
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     waiting, held = [], 0
@@ -242,9 +264,9 @@ def _tallied(batches: Iterator[pa.RecordBatch], keys_of, emit) -> Iterator[pa.Re
         for i in range(batch.num_rows):
             waiting.append(keys_of(batch, i))
             held += len(waiting[-1])
-            if held >= HELD:
+            if held >= HELD // 4:
                 keys, counts = merged()
-                waiting, held = [], 0
+                held = 0
                 if len(keys) > HELD // 2:
                     yield from out()
                     keys, counts = keys[:0], counts[:0]
@@ -306,10 +328,15 @@ def count_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie, numbers = shared.value
-            total = np.zeros(len(numbers), np.int64)
+            total, found, held = np.zeros(len(numbers), np.int64), [np.zeros(0, np.int32)], 0
             for batch in batches:
                 for i in range(batch.num_rows):
-                    total += np.bincount(trie.walk(np.frombuffer(batch.column(0)[i].as_py(), np.int32))[1], minlength=len(numbers))
+                    found.append(trie.walk(np.frombuffer(batch.column(0)[i].as_py(), np.int32))[1])
+                    held += len(found[-1])
+                    if held >= HELD // 4:
+                        total += np.bincount(np.concatenate(found), minlength=len(numbers))
+                        found, held = found[:1], 0
+            total += np.bincount(np.concatenate(found), minlength=len(numbers))
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(numbers[seen]), pa.array(total[seen])], names=["number", "n"])
             give_back()
@@ -343,7 +370,7 @@ def mark(texts: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())], names=["ids", "marks"])
             give_back()
 
-        old, texts = texts, materialise(texts.mapInArrow(marked, "ids binary, marks binary"), "texts")
+        old, texts = texts, materialise(texts.mapInArrow(marked, "ids binary, marks binary"), "texts", large_rows=True)
         discard(old)
         shared.unpersist()
     return texts
@@ -351,7 +378,7 @@ def mark(texts: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vocabulary (lang, word, number, f), all frequent phrases of 1 to ``longest`` words (ids, f), and word counts (lang, n)."""
-    chunks = materialise(chunks_of(docs), "chunks")
+    chunks = materialise(chunks_of(docs), "chunks", large_rows=True)
     totals = materialise(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     words = chunks.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).filter(F.col("f") >= least)
     key = F.when(F.length("word") <= WORD_BYTES, F.col("word")).otherwise(F.concat(F.unhex(F.lit("20")), F.unhex(F.sha2("word", 256))))

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once.
 PIECE = 1 << 20
+#: For rows of up to some MB: Parquet's writer looks at the size of pages and row groups after each row instead of every 100, and its row groups,
+#: which writers and readers hold in memory, are small.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 _own: list[str] = []
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -39,14 +42,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", large_rows: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     It cuts the lineage, survives lost executors, and keeps expensive stages from running twice.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_at = path
     return written

@@ -14,7 +14,7 @@ class DoubleArray:
     """Rows of ``grams`` (n, k), distinct positive numbers in any order; ``walk`` finds them in a text.
 
     State s has its child by digit d at slot ``base[s] + d`` if ``check`` of that slot is s. The root is slot 0.
-    ``leaf`` has the row of ``grams`` that ends in a state.
+    A state in which a row of ``grams`` ends has no children; its ``base`` is that row.
     """
 
     def __init__(self, grams: np.ndarray, seed: int = 1):
@@ -23,9 +23,8 @@ class DoubleArray:
         self.digits = 1
         while len(self.known) >> (BITS * self.digits):
             self.digits += 1
-        codes = np.searchsorted(self.known, grams) + 1
-        shifts = [BITS * (self.digits - 1 - d) for d in range(self.digits)]
-        symbols = np.concatenate([(codes[:, [j]] >> np.array(shifts)) & ((1 << BITS) - 1) for j in range(self.length)], axis=1)
+        shifts = np.array([BITS * (self.digits - 1 - d) for d in range(self.digits)])
+        symbols = np.concatenate([((np.searchsorted(self.known, grams[:, [j]]) + 1 >> shifts) & ((1 << BITS) - 1)).astype(np.int16) for j in range(self.length)], axis=1)
         order = np.lexsort(symbols.T[::-1])
         symbols = symbols[order]
         self._random = np.random.default_rng(seed)
@@ -38,15 +37,14 @@ class DoubleArray:
             parents, signs = slot_of_row[firsts], symbols[firsts, j]
             slots = self._place(parents, signs)
             slot_of_row = np.repeat(slots, np.diff(firsts, append=len(symbols)))
-        self.leaf = np.zeros(len(self.check), np.int32)
-        self.leaf[slot_of_row] = order
         last = int(np.flatnonzero(self.check != -1).max()) + 1
         end = max(last, int(self.base.max()) + 1) + (1 << BITS)
         if end > len(self.check):
             self._room_to(end)
-            self.leaf = np.resize(self.leaf, len(self.check))
-        self.base, self.check, self.leaf = self.base[:end].copy(), self.check[:end].copy(), self.leaf[:end].copy()
+        self.base[slot_of_row] = order
         del self._owner, self._random
+        self.base, self.check = self.base[:end].copy(), self.check[:end].copy()
+        self._table = None
 
     @staticmethod
     def _fresh(symbols: np.ndarray, j: int) -> np.ndarray:
@@ -73,7 +71,7 @@ class DoubleArray:
         for size in np.unique(sizes)[::-1]:
             waiting, tries = firsts[sizes == size], 0
             while len(waiting):
-                now = waiting[: max(1, (1 << 22) // int(size))]
+                now = waiting[: max(1, (1 << 20) // int(size))]
                 rows = now[:, None] + np.arange(size)
                 base = self._random.integers(1, len(self.check) - (1 << BITS), len(now))
                 wanted = base[:, None] + signs[rows]
@@ -95,9 +93,10 @@ class DoubleArray:
     def _codes(self, ids: np.ndarray) -> np.ndarray:
         """Numbers as the trie's own, from 1; 0 for others."""
         if self.known[-1] < _TABLE:
-            table = np.zeros(int(self.known[-1]) + 2, np.int32)
-            table[self.known] = np.arange(1, len(self.known) + 1)
-            return table[np.minimum(ids, len(table) - 1)]
+            if self._table is None:  # made where the trie is used, once for all texts
+                self._table = np.zeros(int(self.known[-1]) + 2, np.int32)
+                self._table[self.known] = np.arange(1, len(self.known) + 1)
+            return self._table[np.minimum(ids, len(self._table) - 1)]
         at = np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)
         return np.where(self.known[at] == ids, at + 1, 0)
 
@@ -114,4 +113,4 @@ class DoubleArray:
                 slot = self.base[state] + ((code >> (BITS * (self.digits - 1 - d))) & ((1 << BITS) - 1))
                 go = self.check[slot] == state
                 at, state, code = at[go], slot[go], code[go]
-        return at, self.leaf[state]
+        return at, self.base[state]

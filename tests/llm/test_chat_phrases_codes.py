@@ -3,13 +3,19 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from boundra.llm import collocations, vector_codes
 from boundra.llm.chat_format import FormatError, escape, format_turn, format_turns, parse, read_back, recovered, unescape, with_probe
+from boundra.llm.common import discard, materialise
 from boundra.llm.double_array import DoubleArray
 
 BITS = ["###", "</turn>", "\\", " ", "\n", ": ", "### user: ", " </turn>\n", "a", "é", "<", "#", "</tur", "🙂"]
@@ -125,6 +131,36 @@ def test_phrases_by_brute_force(spark, monkeypatch, shard, chunk, bits):
     assert len({x[0] for x in found}) >= (3 if shard > 7 else 1)
 
 
+def test_mining_holds_small_rows_and_one_kind_of_worker(spark):
+    """Texts as numbers are rows of at most LOT words, written in small row groups; numbering starts no workers of another kind."""
+    r = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [". ".join(" ".join(words[k] for k in piece) for piece in r.integers(0, 3000, (40_000, 5))) for _ in range(20)]
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    chunks = materialise(collocations.chunks_of(df), "chunks", large_rows=True)
+    vocabulary = collocations.numbered(chunks.select("lang", F.explode("words").alias("word")).distinct().withColumn("key", F.col("word")), "vocabulary")
+    assert "ExistingRDD" not in vocabulary._jdf.queryExecution().executedPlan().toString()
+    assert [x.number for x in vocabulary.select("number").sort("number").collect()] == list(range(1, 3001))
+    encoded = collocations.encode(chunks, vocabulary)
+    sizes = [x.n for x in encoded.select(F.length("ids").alias("n")).collect()]
+    assert max(sizes) <= 4 * collocations.LOT and sum(sizes) >= 4 * 20 * 40_000 * 5
+    groups = [m.row_group(k).total_byte_size for f in encoded.inputFiles() for m in [pq.ParquetFile(urlparse(f).path).metadata] for k in range(m.num_row_groups)]
+    assert max(groups) <= 10 << 20 and sum(groups) > 10 << 20  # also where files have few rows
+    discard(encoded)
+
+
+def test_tallies_hold_little_beside_their_keys():
+    r = np.random.default_rng(7)
+    known, new = ([r.integers(0, most, 1 << 16) for _ in range(collocations.HELD >> 16)] for most in (1 << 20, 1 << 62))
+    rows = known + new
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)))], names=["row"])
+    tracemalloc.start()
+    seen = sum(int(counts.sum()) for _, counts in collocations._tallied(iter([batch]), lambda _, i: rows[i].copy(), lambda keys, counts: (keys, counts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sum(map(len, rows)) and peak < 100 << 20, peak
+
+
 def test_phrases_of_nothing(spark):
     for rows in ([], [(None, None)], [("en", "too few")]):
         df = spark.createDataFrame(rows, "lang string, text string")
