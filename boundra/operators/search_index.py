@@ -1,7 +1,8 @@
 """A stored inverted index for text search, and top results without scoring every match.
 
-A segment holds documents sorted by part and length and cut into blocks of 64. For each token and block there is one row:
-a bit for each of the block's documents that has it, bounds (largest weighted hits, shortest length), and the postings themselves. Bits tell
+A segment holds documents sorted by part and about by length and cut into blocks of 64. For each token and block there is one row:
+a bit for each of the block's documents that has it, bounds (largest weighted hits, shortest length), and the weighted hits of each bit; a block's documents and
+their lengths are one row of another table. Texts move once and rows once, and nothing else of the texts is written. Bits tell
 how many documents have any token that begins with a word, and which have all words, from a 64th of the rows; bounds tell which blocks can
 hold one of the best. A search reads the folders of the buckets its words fall in.
 
@@ -12,8 +13,12 @@ the index is said by a manifest, so a search sees it before a change or after, n
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boundra.operators.search import tokenised
@@ -22,9 +27,15 @@ from boundra.sources.storage import written
 
 #: Tokens are in one bucket by their first letters; so many buckets there are.
 HEAD, BUCKETS = 3, 64
+#: The bucket of the rows of documents until they have a folder of their own.
+DOCS = -1
+#: Tokens that are put in rows of their blocks at once, and bytes of a batch of documents on its way there.
+AT_ONCE, BATCH = 1 << 18, 4 << 20
+#: Documents of a range, as far as there are not more ranges than so many for a shuffle partition.
+RANGE, RANGES = 512, 8
 #: Blocks of a request that are scored first; each further round takes so many times as many.
 FIRST, GROWTH = 4, 4
-#: Matched tokens up to this number are sent to all tasks.
+#: Words, and words of blocks that are scored, up to this number are sent to all tasks.
 SENT = 200_000
 
 
@@ -37,33 +48,99 @@ def _bit(place: Column) -> Column:
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of a segment. Blocks, of which a segment without words has no file, take their types from the documents."""
-    if table != "blocks":
+    """A table of a segment. Blocks and documents, of which there may be no file, have their types beside them."""
+    if table not in ("blocks", "docs"):
         return spark.read.parquet(f"{path}/{table}")
-    docs = spark.read.parquet(f"{path}/docs").schema
-    part, doc = (docs[c].dataType.simpleString() for c in ("part", "doc"))
-    return spark.read.schema(f"token string, part {part}, block bigint, mask bigint, max_f double, min_length int, items array<struct<bit: int, doc: {doc}, length: int, f: double>>, bucket int").parquet(f"{path}/blocks")
+    own = {"blocks": ["token", "part", "block", "mask", "max_f", "min_length", "fs", "bucket"], "docs": ["part", "block", "docs", "lengths"]}[table]
+    return spark.read.schema(spark.read.parquet(f"{path}/types").select(*own).schema).parquet(f"{path}/{table}")
+
+
+def _in_blocks(docs: pa.RecordBatch, group: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens and of documents, of whole blocks; ``group`` has the number of each document's block, ascending."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    bit = np.int64(1) << (np.arange(len(docs)) - starts[group])
+    length, listed = np.asarray(docs.column("length")), docs.column("listed")
+    token, w = listed.flatten().flatten()
+    token = token.dictionary_encode()
+    key = np.asarray(token.indices, np.int64) * len(docs) + np.repeat(np.arange(len(docs)), np.diff(np.asarray(listed.offsets)))
+    key, where = np.unique(key, return_inverse=True)
+    f = np.bincount(where, np.asarray(w), len(key))
+    word, at = np.divmod(key, len(docs))
+    if len(key):
+        own = group[at]
+        firsts = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (own[1:] != own[:-1])]))
+        place, none = pa.array(at[firsts]), [pa.nulls(len(firsts), schema.field(c).type) for c in ("docs", "lengths")]
+        yield pa.RecordBatch.from_arrays([
+            token.dictionary.take(pa.array(word[firsts])), docs.column("part").take(place), docs.column("block").take(place), pa.array(np.bitwise_or.reduceat(bit[at], firsts)),
+            pa.array(np.maximum.reduceat(f, firsts)), pa.array(np.minimum.reduceat(length[at], firsts)), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(key)), pa.int32()), pa.array(f)), *none,
+        ], names=schema.names)
+    place, ends = pa.array(starts), pa.array(np.append(starts, len(docs)), pa.int32())
+    none = {c: pa.nulls(len(starts), schema.field(c).type) for c in ("token", "max_f", "fs")}
+    yield pa.RecordBatch.from_arrays([
+        none["token"], docs.column("part").take(place), docs.column("block").take(place), pa.array(np.bitwise_or.reduceat(bit, starts)),
+        none["max_f"], pa.array(np.minimum.reduceat(length, starts)), none["fs"], pa.ListArray.from_arrays(ends, docs.column("doc")), pa.ListArray.from_arrays(ends, docs.column("length")),
+    ], names=schema.names)
+
+
+def _rows_of_blocks(listed: DataFrame) -> DataFrame:
+    """Rows of tokens and of documents, made where the documents lie, in the order in which they lie there."""
+    part, doc = (listed.schema[c].dataType.simpleString() for c in ("part", "doc"))
+    spelled = f"token string, part {part}, block bigint, mask bigint, max_f double, min_length int, fs array<double>, docs array<{doc}>, lengths array<int>"
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, schema = None, None
+        for batch in batches:
+            if schema is None:
+                kinds = {c: batch.schema.field(c).type for c in ("part", "doc")}
+                schema = pa.schema([("token", pa.string()), ("part", kinds["part"]), ("block", pa.int64()), ("mask", pa.int64()), ("max_f", pa.float64()), ("min_length", pa.int32()), ("fs", pa.list_(pa.float64())), ("docs", pa.list_(kinds["doc"])), ("lengths", pa.list_(pa.int32()))])
+            now = batch if rest is None else pa.concat_batches([rest, batch])
+            # a block may lie in two parts and then is two
+            same = np.diff(np.asarray(now.column("block"))) == 0
+            same &= np.diff(np.asarray(pc.fill_null(now.column("part").dictionary_encode().indices, -1))) == 0
+            firsts = np.flatnonzero(np.concatenate([[True], ~same])) if len(now) else np.zeros(1, np.int64)
+            rest = now.slice(int(firsts[-1]))  # the next batch may go on with the last block
+            yield from whole(now.slice(0, int(firsts[-1])), firsts[:-1], schema)
+        if rest is not None and len(rest):
+            yield from whole(rest, np.zeros(1, np.int64), schema)
+
+    def whole(docs: pa.RecordBatch, firsts: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        upto = np.append(0, np.cumsum(np.asarray(docs.column("length"), np.int64)))
+        ends = np.append(firsts[1:], len(docs))
+        k = 0
+        while k < len(firsts):
+            last = max(k, int(np.searchsorted(upto[ends], upto[firsts[k]] + AT_ONCE, "right")) - 1)
+            a, b = int(firsts[k]), int(ends[last])
+            yield from _in_blocks(docs.slice(a, b - a), np.repeat(np.arange(last - k + 1), ends[k : last + 1] - firsts[k : last + 1]), schema)
+            k = last + 1
+
+    numbered = listed.withColumn("_id", F.monotonically_increasing_id())
+    return numbered.select("part", "doc", "length", F.shiftright("_id", 6).alias("block"), "listed").mapInArrow(combined, spelled)
 
 
 def _write_segment(listed: DataFrame, root: str) -> str:
-    """A new segment folder of documents (part, doc, listed, length); nothing refers to it yet."""
+    """A new segment folder of documents (part, doc, listed, length), in the order in which tasks have them; nothing refers to it yet."""
     spark, name = listed.sparkSession, f"segment-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # words are looked for once: ranges are found by reading the rows twice, which would be one task's where the file is small
-    ordered = written(listed, "listed").repartitionByRange(n, "part", "length").sortWithinPartitions("part", "length", "doc")
-    ordered.withColumn("_id", F.monotonically_increasing_id()).select("part", "doc", "length", "listed", F.shiftright("_id", 6).alias("block"), (F.col("_id") % 64).cast("int").alias("bit")).write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    docs.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).write.parquet(f"{path}/stats")
-    # documents move once, by block: words are counted and put in rows of their block where these lie
-    placed = docs.repartition(n, "block")
-    hits = placed.select("part", "doc", "length", "block", "bit", F.explode("listed").alias("t")).groupBy("part", "doc", "length", "block", "bit", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("f"))
-    rows = hits.groupBy("token", "part", "block").agg(
-        F.bit_or(_bit(F.col("bit"))).alias("mask"), F.max("f").alias("max_f"), F.min("length").alias("min_length"), F.collect_list(F.struct("bit", "doc", "length", "f")).alias("items")
-    )
-    rows = rows.withColumn("bucket", _bucket(F.col("token")))
+    token = F.col("token")
+    rows = _rows_of_blocks(listed).withColumn("bucket", F.when(token.isNull(), DOCS).otherwise(_bucket(token)))
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/types")
     # a bucket is in as many tasks as there are for it, so that each writes few files and a large bucket isn't one task's
-    rows.repartition(n, F.col("bucket"), F.pmod(F.xxhash64("token"), F.lit(max(1, n // BUCKETS)))).sortWithinPartitions("bucket", "token", "part", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    own = F.when(token.isNull(), F.xxhash64("block")).otherwise(F.xxhash64("token"))
+    rows = rows.repartition(n, F.col("bucket"), F.pmod(own, F.lit(max(1, n // BUCKETS)))).sortWithinPartitions("bucket", "token", "part", "block")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))  # whole texts are on their way
+    try:
+        rows.write.partitionBy("bucket").parquet(f"{path}/blocks")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = at(f"{path}/blocks/bucket={DOCS}")
+    if not (fs.rename(made, at(f"{path}/docs")) if fs.exists(made) else fs.mkdirs(at(f"{path}/docs"))):
+        raise OSError(f"{path}/docs can't be made")
+    lengths = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    _read(spark, path, "docs").groupBy("part").agg(F.sum(F.size("docs")).alias("n"), F.sum(lengths).alias("total")).write.parquet(f"{path}/stats")
     _read(spark, path, "blocks").select("token", "bucket").distinct().repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/vocabulary")
     return name
 
@@ -77,6 +154,18 @@ def _tables(spark: SparkSession, root: str, names: list[str], table: str) -> Dat
     return out
 
 
+def _each(documents: DataFrame) -> DataFrame:
+    """(segment, part, block, bit, doc, length)."""
+    rows = documents.select("segment", "part", "block", F.posexplode(F.arrays_zip("docs", "lengths")).alias("bit", "d"))
+    return rows.select("segment", "part", "block", "bit", F.col("d.docs").alias("doc"), F.col("d.lengths").alias("length"))
+
+
+def _hits(mask: Column, fs: Column) -> Column:
+    """array<struct<bit, f>> of a token's row."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: mask.bitwiseAND(_bit(b)) != 0)
+    return F.arrays_zip(bits.alias("bit"), fs.alias("f"))
+
+
 def _removed(spark: SparkSession, root: str, says: dict) -> DataFrame | None:
     """(segment, part, block, gone): bits of documents that no longer count."""
     gone = _tables(spark, root, says["removed"], "bits")
@@ -95,7 +184,7 @@ def _write_removal(spark: SparkSession, root: str, says: dict, docs: DataFrame)
     held = _tables(spark, root, says["segments"], "docs")
     if held is None:
         return None
-    found = _live(held, _removed(spark, root, says)).join(docs.select("part", "doc").distinct(), ["part", "doc"], "left_semi")
+    found = _live(_each(held), _removed(spark, root, says)).join(docs.select("part", "doc").distinct(), ["part", "doc"], "left_semi")
     name = f"removed-{uuid.uuid4().hex}"
     found = written(found.select(F.col("segment").alias("of_segment"), "part", "block", "bit", "length"), "removed")
     if found.isEmpty():
@@ -115,7 +204,13 @@ def add_documents(docs: DataFrame, root: str, part: str, doc: str, weights: dict
     spark, manifest = docs.sparkSession, Manifest(docs.sparkSession, root)
     version, says = _says(manifest)
     gone = _write_removal(spark, root, says, docs.select(F.col(part).alias("part"), F.col(doc).alias("doc")))
-    docs = docs.select(part, doc, *weights).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # texts move once, as they are, by their letters: so they lie about as by their tokens, and a small file isn't one task's. There are more ranges
+    # than tasks at a time, as the last ones hold the longest texts
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    letters = sum((F.coalesce(F.length(c), F.lit(0)) for c in weights), F.lit(0))
+    docs = docs.select(part, doc, *weights)
+    ranges = max(n, min(RANGES * n, docs.count() // RANGE))
+    docs = docs.repartitionByRange(ranges, part, letters, doc).sortWithinPartitions(part, letters, doc)
     name = _write_segment(tokenised(docs, part, doc, weights), root)
     return manifest.commit(version, {"segments": [*says["segments"], name], "removed": [*says["removed"], *([gone] if gone else [])]})
 
@@ -134,22 +229,27 @@ def merge_segments(spark: SparkSession, root: str, clean: bool = True) -> int:
     version, says = _says(manifest)
     if len(says["segments"]) < 2 and not says["removed"]:
         return version
-    rows = _live(_tables(spark, root, says["segments"], "docs"), _removed(spark, root, says))
-    name = _write_segment(rows.select("part", "doc", "listed", "length"), root)
+    place = ["segment", "part", "block", "bit"]
+    docs = _live(_each(_tables(spark, root, says["segments"], "docs")), _removed(spark, root, says))
+    rows = _tables(spark, root, says["segments"], "blocks")
+    hits = rows.select(*place[:3], "token", F.explode(_hits(F.col("mask"), F.col("fs"))).alias("h")).groupBy(*place[:3], F.col("h.bit").alias("bit")).agg(F.collect_list(F.struct("token", F.col("h.f").alias("w"))).alias("listed"))
+    none = F.array().cast("array<struct<token:string,w:double>>")
+    listed = written(docs.join(hits, place, "left").select("part", "doc", F.coalesce("listed", none).alias("listed"), "length"), "listed")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _write_segment(listed.repartitionByRange(n, "part", "length").sortWithinPartitions("part", "length", "doc"), root)
     number = manifest.commit(version, {"segments": [name], "removed": []})
     for old in [*says["segments"], *says["removed"]] if clean else []:
         manifest.delete(f"{manifest.root}/{old}")
     return number
 
 
-def _matched(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, token, bucket): tokens that begin with a word. The vocabulary's beginnings join the words."""
-    span = words.agg(F.min(F.length("word")).alias("a"), F.max(F.length("word")).alias("b")).first()
+def _worded(rows: DataFrame, words: DataFrame, span: Row) -> DataFrame:
+    """Rows of tokens with each word that their token begins with, as often: beginnings join the words, of which few are sent to the rows."""
     if span.a is None:
-        return vocabulary.filter("false").withColumn("word", F.col("token"))
-    able = vocabulary.select("token", "bucket").distinct().filter(F.length("token") >= span.a)
-    spread = able.withColumn("k", F.explode(F.sequence(F.lit(span.a), F.least(F.length("token"), F.lit(span.b))))).withColumn("word", F.expr("substring(token, 1, k)"))
-    return spread.join(words, "word").select("word", "token", "bucket")
+        return rows.filter("false").withColumn("word", F.col("token"))
+    able = rows.filter(F.length("token") >= span.a)
+    spread = able.withColumn("_k", F.explode(F.sequence(F.lit(span.a), F.least(F.length("token"), F.lit(span.b))))).withColumn("word", F.expr("substring(token, 1, _k)")).drop("_k")
+    return spread.join(F.broadcast(words) if span.n <= SENT else words, "word")
 
 
 def _term(f: Column, length: Column) -> Column:
@@ -169,18 +269,18 @@ def search_index(queries: DataFrame, root: str, k: int = 10, scored: bool = Fals
     kept = ["request_id", "part", "doc", "bm25", "rank", *(["postings", "matches"] if scored else [])]
     asked = written(queries.select("request_id", F.size("words").alias("n_words"), F.explode("words").alias("word")), "asked")
     per_word = asked.groupBy("request_id", "n_words", "word").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    matched = written(_matched(asked.select("word").distinct(), _tables(spark, root, names, "vocabulary").drop("segment")), "matched") if names else None
+    words = asked.select("word").distinct()
+    span = words.agg(F.min(F.length("word")).alias("a"), F.max(F.length("word")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    matched = _worded(_tables(spark, root, names, "vocabulary").drop("segment"), words, span) if names else None
     buckets = sorted(r.bucket for r in matched.select("bucket").distinct().collect()) if names else []  # BUCKETS at most
     if not buckets:
         empty = spark.createDataFrame([], "part int, doc string, bm25 double, rank int, postings bigint, matches bigint")
         return queries.select("request_id").filter("false").crossJoin(empty).select(*kept)
-    tokens = F.broadcast(matched.drop("bucket")) if matched.count() <= SENT else matched.drop("bucket")
-    known = tokens.select("token").distinct()
     rows = _tables(spark, root, names, "blocks").filter(F.col("bucket").isin(buckets))
-    gone = _removed(spark, root, says)
+    documents, gone = _tables(spark, root, names, "docs"), _removed(spark, root, says)
 
     # which documents of a block have a token that begins with a word, and the most they can score by it
-    by_word = rows.drop("items").join(tokens, "token").groupBy("word", "segment", "part", "block").agg(F.bit_or("mask").alias("mask"), F.sum("max_f").alias("max_f"), F.min("min_length").alias("min_length"))
+    by_word = _worded(rows.drop("fs"), words, span).groupBy("word", "segment", "part", "block").agg(F.bit_or("mask").alias("mask"), F.sum("max_f").alias("max_f"), F.min("min_length").alias("min_length"))
     if gone is not None:
         by_word = by_word.join(gone, ["segment", "part", "block"], "left").withColumn("mask", F.when(F.col("gone").isNull(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(F.bitwise_not("gone")))).drop("gone")
     by_word = written(by_word.filter(F.col("mask") != 0), "by_word")
@@ -204,11 +304,15 @@ def search_index(queries: DataFrame, root: str, k: int = 10, scored: bool = Fals
     def score(now: DataFrame) -> DataFrame:
         """Every document of these blocks that holds all words, with its score and how many postings that took."""
         able = now.select("request_id", "segment", "part", "block", F.col("mask").alias("able"))
-        held = rows.select("token", "segment", "part", "block", "mask", "items").join(known, "token", "left_semi").join(able, ["segment", "part", "block"]).filter(F.col("mask").bitwiseAND(F.col("able")) != 0)
-        items = held.select("request_id", "token", "segment", "part", F.explode(F.filter("items", lambda i: F.col("able").bitwiseAND(_bit(i["bit"])) != 0)).alias("i"))
-        # of the words that a token begins with, those that the request asks
-        items = items.join(tokens, "token").join(per_word.select("request_id", "word", "times"), ["request_id", "word"])
-        hits = items.groupBy("request_id", "word", "times", "segment", "part", F.col("i.doc").alias("doc"), F.col("i.length").alias("length")).agg(F.sum("i.f").alias("f"), F.count(F.lit(1)).alias("postings"))
+        lying = able.select("segment", "part", "block").distinct()
+        wanted = able.join(per_word.select("request_id", "word", "times"), "request_id")
+        few = wanted.count() <= SENT
+        here = rows.select("token", "segment", "part", "block", "mask", "fs").join(F.broadcast(lying) if few else lying, ["segment", "part", "block"], "left_semi")
+        held = _worded(here, words, span).join(F.broadcast(wanted) if few else wanted, ["word", "segment", "part", "block"]).filter(F.col("mask").bitwiseAND(F.col("able")) != 0)
+        items = held.select("request_id", "word", "times", "segment", "part", "block", F.explode(F.filter(_hits(F.col("mask"), F.col("fs")), lambda i: F.col("able").bitwiseAND(_bit(i["bit"])) != 0)).alias("i"))
+        sums = items.groupBy("request_id", "word", "times", "segment", "part", "block", F.col("i.bit").alias("bit")).agg(F.sum("i.f").alias("f"), F.count(F.lit(1)).alias("postings"))
+        known_as = documents.join(F.broadcast(lying) if few else lying, ["segment", "part", "block"], "left_semi")
+        hits = sums.join(known_as, ["segment", "part", "block"]).withColumns({"doc": F.get("docs", F.col("bit")), "length": F.get("lengths", F.col("bit"))}).drop("docs", "lengths")
         terms = hits.join(facts.drop("n"), ["word", "part"])
         return terms.groupBy("request_id", "part", "doc").agg((-F.sum(_term(F.col("f"), F.col("length")) * F.col("times"))).alias("bm25"), F.sum("postings").alias("postings"))
 
@@ -227,7 +331,7 @@ def search_index(queries: DataFrame, root: str, k: int = 10, scored: bool = Fals
         threshold = F.broadcast(best.filter(F.col("rank") == k).select("request_id", (-F.col("bm25")).alias("least")))
         done, upto = upto, upto * GROWTH
     if best is None:
-        doc = _tables(spark, root, names, "docs").select("part", "doc").limit(0)
+        doc = _each(documents).select("part", "doc").limit(0)
         best = blocks.select("request_id").filter("false").crossJoin(doc).select("*", F.lit(0.0).alias("bm25"), F.lit(0).alias("rank"))
     if scored:
         total = per_word.join(by_word.groupBy("word").agg(F.sum(F.bit_count("mask")).alias("n")), "word").groupBy("request_id").agg(F.sum("n").alias("matches"))

@@ -84,6 +84,24 @@ def test_a_search_reads_the_buckets_of_its_words(spark):
     assert len(read) == 1 < len({f.rsplit("/", 2)[-2] for f in every.inputFiles()})
 
 
+def test_an_index_is_smaller_than_its_texts(spark, tmp_path, monkeypatch):
+    """Postings are written once and without the documents' ids, and texts aren't written beside them; blocks that tasks make at once, or that lie in two parts, are whole."""
+    r, root, names, plain = random.Random(4), f"{tmp_path}/i", [], si.written
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(4, 9))) for _ in range(3000)]
+    rows = [(i % 3, f"document-{i:09d}", " ".join(vocabulary[min(int(r.expovariate(0.004)), 2999)] for _ in range(r.randint(1, 600)))) for i in range(1500)]
+    monkeypatch.setattr(si, "AT_ONCE", 5000, raising=False)
+    monkeypatch.setattr(si, "written", lambda df, name: (names.append(name), plain(df, name))[1])
+    si.add_documents(frame(spark, rows), root, "part", "doc", {"text": 1.0})
+    assert not names
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.4 * sum(len(x[2]) for x in rows)
+    q = asked(spark, [vocabulary[k][:n] for k in (0, 5, 400, 900) for n in (1, 3, 9)] + [f"{vocabulary[1]} {vocabulary[2]} {vocabulary[3][:2]}"])
+    every = top_k(text_search(q, frame(spark, rows), "part", "doc", {"text": 1.0}), ["request_id"], [F.round("bm25", 9), F.col("doc")], 10)
+    wanted = sorted((x.request_id, x.rank, x.doc, round(x.bm25, 7)) for x in every.collect())
+    assert sorted((x.request_id, x.rank, x.doc, round(x.bm25, 7)) for x in si.search_index(q, root, 10).collect()) == wanted
+    monkeypatch.setattr(si, "SENT", 0)  # as with more words than are sent to all tasks
+    assert sorted((x.request_id, x.rank, x.doc, round(x.bm25, 7)) for x in si.search_index(q, root, 10).collect()) == wanted
+
+
 def test_nothing_to_find(spark):
     root = shared_path(spark, "index")
     assert si.search_index(asked(spark, ["a"]), root).count() == 0
