@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,16 @@ from boundra.sources.storage import written
 HEAD, BUCKETS = 3, 64
 #: The bucket of the rows of documents until they have a folder of their own.
 DOCS = -1
-#: Tokens that are put in rows of their blocks at once, and bytes of a batch of documents on its way there.
-AT_ONCE, BATCH = 1 << 18, 4 << 20
+#: Tokens that are put in rows at once, bytes of a batch on its way there, and rows of a batch on its way back.
+AT_ONCE, BATCH, ROWS = 1 << 20, 2 << 20, 1 << 15
 #: Documents of a range, as far as there are not more ranges than so many for a shuffle partition.
-RANGE, RANGES = 512, 8
+RANGE, RANGES = 1024, 8
 #: Blocks of a request that are scored first; each further round takes so many times as many.
 FIRST, GROWTH = 4, 4
 #: Words, and words of blocks that are scored, up to this number are sent to all tasks.
 SENT = 200_000
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(token, 1, HEAD)), F.lit(BUCKETS)).cast("int")
-
-
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
 
@@ -55,66 +52,157 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(f"{path}/types").select(*own).schema).parquet(f"{path}/{table}")
 
 
-def _in_blocks(docs: pa.RecordBatch, group: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens and of documents, of whole blocks; ``group`` has the number of each document's block, ascending."""
+def _shares(tokens: pa.Array, shares: int) -> np.ndarray:
+    """Of each token the number of its bucket, by its first letters, times ``shares``, and which share of the bucket it is in."""
+    heads = pc.utf8_slice_codeunits(tokens, 0, HEAD).dictionary_encode()
+    bucket = np.array([crc32(h.encode()) % BUCKETS for h in heads.dictionary.to_pylist()], np.int64)[np.asarray(heads.indices)]
+    return bucket * shares + (np.array([crc32(t.encode(), 1) % shares for t in tokens.to_pylist()], np.int64) if shares > 1 else 0)
+
+
+def _packed(docs: pa.RecordBatch, group: np.ndarray, shares: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks that follow one another in one part: a row for the tokens of each share of a bucket, compressed, and a row for each block's documents.
+
+    A token has the places of its documents (64 a block), their weighted hits (a byte each where these are small whole numbers) and, for each block, the
+    shortest length. ``group`` has the number of each document's block, from 0.
+    """
     starts = np.flatnonzero(np.diff(group, prepend=-1))
-    bit = np.int64(1) << (np.arange(len(docs)) - starts[group])
-    length, listed = np.asarray(docs.column("length")), docs.column("listed")
+    place = group * 64 + np.arange(len(docs)) - starts[group]
+    length, listed, base = np.asarray(docs.column("length")), docs.column("listed"), docs.column("block")[0].as_py()
+    part = lambda n: docs.column("part").take(pa.array(np.zeros(n, np.int64)))
     token, w = listed.flatten().flatten()
     token = token.dictionary_encode()
-    key = np.asarray(token.indices, np.int64) * len(docs) + np.repeat(np.arange(len(docs)), np.diff(np.asarray(listed.offsets)))
-    key, where = np.unique(key, return_inverse=True)
-    f = np.bincount(where, np.asarray(w), len(key))
-    word, at = np.divmod(key, len(docs))
-    if len(key):
-        own = group[at]
-        firsts = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (own[1:] != own[:-1])]))
-        place, none = pa.array(at[firsts]), [pa.nulls(len(firsts), schema.field(c).type) for c in ("docs", "lengths")]
+    if len(token):
+        share = _shares(token.dictionary, shares)
+        order = np.argsort(share, kind="stable")
+        share, names = share[order], token.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = rank[np.asarray(token.indices)] * len(docs) + np.repeat(np.arange(len(docs)), np.diff(np.asarray(listed.offsets)))
+        key, where = np.unique(key, return_inverse=True)
+        f = np.bincount(where, np.asarray(w), len(key))
+        word, at = np.divmod(key, len(docs))
+        tokens = np.flatnonzero(np.diff(word, prepend=-1, append=-1))  # where a token begins, and the end
+        runs = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (group[at][1:] != group[at][:-1])]))
+        sizes = np.diff(tokens).astype(np.int32)
+        wide = np.logical_or.reduceat((f != np.floor(f)) | (f < 0) | (f > 255), tokens[:-1])
+        of_f = np.repeat(wide, sizes)
+        in_f = np.repeat(of_f, np.where(of_f, 8, 1))
+        hits = np.empty(len(in_f), np.uint8)
+        hits[in_f], hits[~in_f] = f[of_f].view(np.uint8), f[~of_f].astype(np.uint8)
+        shortest = np.minimum.reduceat(length[at], runs).astype(np.int32)
+        place = place[at].astype(np.uint16)
+        text, ends = _bytes(names)
+        cuts = np.append(np.flatnonzero(np.diff(share, prepend=-1)), len(names))
+        to_place, to_hit = tokens[cuts], np.append(0, np.cumsum(np.where(wide, 8, 1) * sizes))[cuts]
+        to_run, to_text = np.searchsorted(runs, to_place), np.append(0, np.cumsum(ends))[cuts]
+        bodies = []
+        for i in range(len(cuts) - 1):
+            own, j = slice(cuts[i], cuts[i + 1]), i + 1
+            parts = [ends[own], sizes[own], shortest[to_run[i] : to_run[j]], place[to_place[i] : to_place[j]], wide[own], text[to_text[i] : to_text[j]], hits[to_hit[i] : to_hit[j]]]
+            bodies.append(np.array([len(x) for x in parts], np.int32).tobytes() + b"".join(x.tobytes() for x in parts))
+        firsts = share[cuts[:-1]]
         yield pa.RecordBatch.from_arrays([
-            token.dictionary.take(pa.array(word[firsts])), docs.column("part").take(place), docs.column("block").take(place), pa.array(np.bitwise_or.reduceat(bit[at], firsts)),
-            pa.array(np.maximum.reduceat(f, firsts)), pa.array(np.minimum.reduceat(length[at], firsts)), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(key)), pa.int32()), pa.array(f)), *none,
+            pa.array((firsts // shares).astype(np.int32)), pa.array((firsts % shares).astype(np.int32)), part(len(bodies)), pa.array(np.full(len(bodies), base)), pa.array([len(x) for x in bodies], pa.int32()),
+            pa.array([pa.compress(x, "zstd", asbytes=True) for x in bodies], pa.binary()), *(pa.nulls(len(bodies), schema.field(c).type) for c in ("docs", "lengths")),
         ], names=schema.names)
-    place, ends = pa.array(starts), pa.array(np.append(starts, len(docs)), pa.int32())
-    none = {c: pa.nulls(len(starts), schema.field(c).type) for c in ("token", "max_f", "fs")}
-    yield pa.RecordBatch.from_arrays([
-        none["token"], docs.column("part").take(place), docs.column("block").take(place), pa.array(np.bitwise_or.reduceat(bit, starts)),
-        none["max_f"], pa.array(np.minimum.reduceat(length, starts)), none["fs"], pa.ListArray.from_arrays(ends, docs.column("doc")), pa.ListArray.from_arrays(ends, docs.column("length")),
+    ends, block, n = pa.array(np.append(starts, len(docs)), pa.int32()), base + np.arange(len(starts)), len(starts)
+    lists = [pa.ListArray.from_arrays(ends, docs.column(c)) for c in ("doc", "length")]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, DOCS, np.int32)), pa.array((block % shares).astype(np.int32)), part(n), pa.array(block), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *lists], names=schema.names)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of strings without nulls, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _unpacked(row: dict, part: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a packed row's tokens, one for each token and block."""
+    body = pa.decompress(row["body"], row["size"], "zstd", asbytes=True)
+    counts, kinds, parts, at = np.frombuffer(body, np.int32, 7), (np.int32, np.int32, np.int32, np.uint16, np.bool_, np.uint8, np.uint8), [], 28
+    for n, kind in zip(counts.tolist(), kinds):
+        parts.append(np.frombuffer(body, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    ends, sizes, shortest, places, wide, text, hits = parts
+    places = places.astype(np.int64)
+    token = np.repeat(np.arange(len(sizes)), sizes)
+    of_f = np.repeat(wide, sizes)
+    in_f = np.repeat(of_f, np.where(of_f, 8, 1))
+    f = np.empty(len(places))
+    f[of_f], f[~of_f] = hits[in_f].view(np.float64), hits[~in_f]
+    group = places >> 6
+    runs = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
+    names = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.append(0, np.cumsum(ends)).astype(np.int32)), pa.py_buffer(text)])
+    return pa.RecordBatch.from_arrays([
+        names.take(pa.array(token[runs])), part.take(pa.array(np.zeros(len(runs), np.int64))), pa.array(row["block"] + group[runs]), pa.array(np.bitwise_or.reduceat(np.int64(1) << (places & 63), runs)), pa.array(np.maximum.reduceat(f, runs)),
+        pa.array(shortest), pa.ListArray.from_arrays(pa.array(np.append(runs, len(places)), pa.int32()), pa.array(f)), *(pa.nulls(len(runs), schema.field(c).type) for c in ("docs", "lengths")), pa.array(np.full(len(runs), row["bucket"], np.int32)),
     ], names=schema.names)
 
 
-def _rows_of_blocks(listed: DataFrame) -> DataFrame:
-    """Rows of tokens and of documents, made where the documents lie, in the order in which they lie there."""
+def _packed_rows(listed: DataFrame, shares: int) -> DataFrame:
+    """Packed rows of tokens and of documents, made where the documents lie, in the order in which they lie there."""
     part, doc = (listed.schema[c].dataType.simpleString() for c in ("part", "doc"))
-    spelled = f"token string, part {part}, block bigint, mask bigint, max_f double, min_length int, fs array<double>, docs array<{doc}>, lengths array<int>"
 
-    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, schema = None, None
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, schema = [], 0, None
         for batch in batches:
             if schema is None:
                 kinds = {c: batch.schema.field(c).type for c in ("part", "doc")}
-                schema = pa.schema([("token", pa.string()), ("part", kinds["part"]), ("block", pa.int64()), ("mask", pa.int64()), ("max_f", pa.float64()), ("min_length", pa.int32()), ("fs", pa.list_(pa.float64())), ("docs", pa.list_(kinds["doc"])), ("lengths", pa.list_(pa.int32()))])
-            now = batch if rest is None else pa.concat_batches([rest, batch])
-            # a block may lie in two parts and then is two
-            same = np.diff(np.asarray(now.column("block"))) == 0
-            same &= np.diff(np.asarray(pc.fill_null(now.column("part").dictionary_encode().indices, -1))) == 0
-            firsts = np.flatnonzero(np.concatenate([[True], ~same])) if len(now) else np.zeros(1, np.int64)
-            rest = now.slice(int(firsts[-1]))  # the next batch may go on with the last block
-            yield from whole(now.slice(0, int(firsts[-1])), firsts[:-1], schema)
-        if rest is not None and len(rest):
-            yield from whole(rest, np.zeros(1, np.int64), schema)
-
-    def whole(docs: pa.RecordBatch, firsts: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+                schema = pa.schema([("bucket", pa.int32()), ("share", pa.int32()), ("part", kinds["part"]), ("block", pa.int64()), ("size", pa.int32()), ("body", pa.binary()), ("docs", pa.list_(kinds["doc"])), ("lengths", pa.list_(pa.int32()))])
+            held.append(batch)
+            n += pc.sum(batch.column("length")).as_py() or 0
+            if n >= AT_ONCE:
+                held, n = [(yield from whole(pa.concat_batches(held), schema, False))], 0
+        if sum(map(len, held)):
+            yield from whole(pa.concat_batches(held), schema, True)
+
+    def whole(docs: pa.RecordBatch, schema: pa.Schema, last: bool):
+        """Rows of all blocks but the last one, which the next batch may go on with; this is returned."""
+        block = np.asarray(docs.column("block"))
+        part = np.asarray(pc.fill_null(docs.column("part").dictionary_encode().indices, -1))
+        new_part = np.concatenate([[False], part[1:] != part[:-1]])  # a block that lies in two parts is two
+        firsts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]) | new_part)
         upto = np.append(0, np.cumsum(np.asarray(docs.column("length"), np.int64)))
         ends = np.append(firsts[1:], len(docs))
-        k = 0
-        while k < len(firsts):
-            last = max(k, int(np.searchsorted(upto[ends], upto[firsts[k]] + AT_ONCE, "right")) - 1)
-            a, b = int(firsts[k]), int(ends[last])
-            yield from _in_blocks(docs.slice(a, b - a), np.repeat(np.arange(last - k + 1), ends[k : last + 1] - firsts[k : last + 1]), schema)
-            k = last + 1
+        k, n = 0, len(firsts) if last else len(firsts) - 1
+        while k < n:
+            to = k + 1
+            while to < n and not new_part[firsts[to]] and to - k < 1024 and upto[ends[to]] - upto[firsts[k]] <= AT_ONCE:
+                to += 1
+            a, b = int(firsts[k]), int(ends[to - 1])
+            yield from _packed(docs.slice(a, b - a), np.repeat(np.arange(to - k), ends[k:to] - firsts[k:to]), shares, schema)
+            k = to
+        return docs.slice(int(firsts[-1]))
 
     numbered = listed.withColumn("_id", F.monotonically_increasing_id())
-    return numbered.select("part", "doc", "length", F.shiftright("_id", 6).alias("block"), "listed").mapInArrow(combined, spelled)
+    spelled = f"bucket int, share int, part {part}, block bigint, size int, body binary, docs array<{doc}>, lengths array<int>"
+    return numbered.select("part", "doc", "length", F.shiftright("_id", 6).alias("block"), "listed").mapInArrow(packed, spelled)
+
+
+def _unpacked_rows(packed: DataFrame) -> DataFrame:
+    """Rows of tokens and blocks, and of documents, of packed rows."""
+    part, docs = (packed.schema[c].dataType.simpleString() for c in ("part", "docs"))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = lambda c: (c, batch.schema.field(c).type)
+            schema = pa.schema([("token", pa.string()), kind("part"), ("block", pa.int64()), ("mask", pa.int64()), ("max_f", pa.float64()), ("min_length", pa.int32()), ("fs", pa.list_(pa.float64())), kind("docs"), kind("lengths"), ("bucket", pa.int32())])
+            of_docs = pc.equal(batch.column("bucket"), DOCS)
+            tokens, documents = batch.filter(pc.invert(of_docs)), batch.filter(of_docs)
+            made, n = [], 0
+            for k, row in enumerate(tokens.select(["bucket", "block", "size", "body"]).to_pylist()):
+                made.append(_unpacked(row, tokens.column("part").slice(k, 1), schema))
+                n += len(made[-1])
+                if n >= ROWS:
+                    yield pa.concat_batches(made)
+                    made, n = [], 0
+            if made:
+                yield pa.concat_batches(made)
+            if len(documents):
+                has = documents.schema.names
+                yield pa.RecordBatch.from_arrays([documents.column(c) if c in has else pa.nulls(len(documents), schema.field(c).type) for c in schema.names], names=schema.names)
+
+    return packed.mapInArrow(unpacked, f"token string, part {part}, block bigint, mask bigint, max_f double, min_length int, fs array<double>, docs {docs}, lengths array<int>, bucket int")
 
 
 def _write_segment(listed: DataFrame, root: str) -> str:
@@ -122,12 +210,9 @@ def _write_segment(listed: DataFrame, root: str) -> str:
     spark, name = listed.sparkSession, f"segment-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    token = F.col("token")
-    rows = _rows_of_blocks(listed).withColumn("bucket", F.when(token.isNull(), DOCS).otherwise(_bucket(token)))
-    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/types")
     # a bucket is in as many tasks as there are for it, so that each writes few files and a large bucket isn't one task's
-    own = F.when(token.isNull(), F.xxhash64("block")).otherwise(F.xxhash64("token"))
-    rows = rows.repartition(n, F.col("bucket"), F.pmod(own, F.lit(max(1, n // BUCKETS)))).sortWithinPartitions("bucket", "token", "part", "block")
+    rows = _unpacked_rows(_packed_rows(listed, max(1, n // BUCKETS)).repartition(n, "bucket", "share")).sortWithinPartitions("bucket", "token", "part", "block")
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/types")
     batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))  # whole texts are on their way
     try:
