@@ -102,6 +102,31 @@ def test_an_index_is_smaller_than_its_texts(spark, tmp_path, monkeypatch):
     assert sorted((x.request_id, x.rank, x.doc, round(x.bm25, 7)) for x in si.search_index(q, root, 10).collect()) == wanted
 
 
+def test_any_hits_and_any_shares_of_buckets_come_back(spark):
+    """Hits that aren't a byte, tokens of any letters, more shares than one of each bucket, and nothing at all."""
+    r, root = random.Random(5), shared_path(spark, "index")
+    common = [(0, f"d{i}", "ul " * r.choice([1, 2, 700]) + " ".join(r.choices(["łąka", "𝔘lica", "a", "straße", "東京"], k=5))) for i in range(150)]
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        si.add_documents(frame(spark, common), root, "part", "doc", {"text": 0.3})
+        si.add_documents(frame(spark, []), root, "part", "doc", {"text": 0.3})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    path = f"{root}/{Manifest(spark, root).read()[1]['segments'][0]}"
+    hits = {(x.token, x.f): x.n for x in spark.read.parquet(f"{path}/blocks").select("token", F.explode("fs").alias("f")).groupBy("token", F.round("f", 6).alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {}
+    for _, _, text in common:
+        for t in set(text.lower().split()):
+            key = (t, round(0.3 * text.lower().split().count(t), 6))
+            wanted[key] = wanted.get(key, 0) + 1
+    assert hits == wanted
+    q = asked(spark, ["ul", "łą", "𝔘lica ul", "東京 straße"])
+    every = top_k(text_search(q, frame(spark, common), "part", "doc", {"text": 0.3}), ["request_id"], [F.round("bm25", 9), F.col("doc")], 5)
+    assert sorted((x.request_id, x.rank, x.doc) for x in si.search_index(q, root, 5).collect()) == sorted((x.request_id, x.rank, x.doc) for x in every.collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(si.BATCH)
+
+
 def test_nothing_to_find(spark):
     root = shared_path(spark, "index")
     assert si.search_index(asked(spark, ["a"]), root).count() == 0
